@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard_join import jaccard_join
+from .line_dedup import dedup_lines
+from .mixing import mix_sources, taken
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,58 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "is_first")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return taken(mix_sources(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sources share."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed", "words_left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+_SWAP = "".join(
+    f"""
+, r{r + 1} AS (SELECT * REPLACE (CASE WHEN substr(md5(concat_ws('|', 'mix-1', src, turn, {r}, greatest(place, (((k{r} - place) % blocks) + blocks) % blocks))), 1, 1) < '8'
+    THEN (((k{r} - place) % blocks) + blocks) % blocks ELSE place END AS place) FROM r{r})"""
+    for r in range(6)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": f"""
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, '~') AS src, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS bucket, CAST({_WORDS} AS BIGINT) AS size FROM documents)
+, place AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+, s0 AS (SELECT src, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src)
+, s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, source_size * 3.0::DOUBLE AS most, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s0)
+, s2 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
+    / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1)
+, s3 AS (SELECT *, max(CASE WHEN NOT most < weight * level THEN level END) OVER () AS shared FROM s2)
+, s4 AS (SELECT src, source_size, CASE WHEN most < weight * level THEN most ELSE least(most, weight * shared) END AS target, CAST(ceil(source_size / 256) AS BIGINT) AS blocks FROM s3)
+, s AS (SELECT *, CAST(least(floor(target / 256 + 0.5::DOUBLE), blocks * 3) AS BIGINT) AS quota FROM s4)
+, j AS (SELECT src, blocks, unnest(range(quota)) AS slot FROM s WHERE quota > 0)
+, r0 AS (SELECT j.src, blocks, slot, slot // blocks AS turn, slot % blocks AS place, CAST(('0x' || substr(md5('mix-1|' || src || '|shard|' || slot), 1, 15)) AS BIGINT) % 64 AS shard,
+    {", ".join(f"CAST(('0x' || substr(md5('mix-1|' || src || '|key|{r}'), 1, 15)) AS BIGINT) % blocks AS k{r}" for r in range(6))} FROM j){_SWAP}
+, draws AS (SELECT src, place AS block, count(*) AS times, min(shard) AS shard FROM r6 GROUP BY ALL)
+, met AS (SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 + 1 AS BIGINT)) ELSE [NULL::BIGINT] END) AS block FROM place p)
+SELECT m.doc_id, m.size, s.source_size, s.target, CAST(coalesce(sum((least(m.start + m.size, (m.block + 1) * 256) - greatest(m.start, m.block * 256)) * d.times), 0) AS BIGINT) AS taken, CAST(min(d.shard) AS INTEGER) AS first_shard
+FROM met m JOIN s USING (src) LEFT JOIN draws d ON d.src = m.src AND d.block = m.block GROUP BY m.doc_id, m.src, m.bucket, m.start, m.size, s.source_size, s.target
+""",
+    "op4_line_dedup": r"""
+WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents)
+, raw AS (SELECT doc_id, source, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM cut)
+, lines AS (SELECT doc_id, source, pos, lower(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line FROM raw)
+, common AS (SELECT line FROM lines WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT source) >= 6)
+, hits AS (SELECT l.*, row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, pos) AS k FROM lines l SEMI JOIN common c ON l.line = c.line)
+, kept AS (SELECT r.doc_id, string_agg(CASE WHEN h.pos IS NULL THEN r.line END, chr(10) ORDER BY r.pos) AS text, count(h.pos) AS lines_removed FROM raw r LEFT JOIN (SELECT * FROM hits WHERE k > 1) h ON h.doc_id = r.doc_id AND h.pos = r.pos GROUP BY r.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.lines_removed, 0) AS BIGINT) AS lines_removed,
+    coalesce(regexp_matches(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END, '[^ 	-]'), false) AS words_left
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+}
