@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontamination import find_items
 from .jaccard_join import jaccard_join
 from .line_dedup import dedup_lines
 from .mixing import mix_sources, taken
+from .quality_rules import quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +33,24 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed", "words_left")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.col("matches.item_id").alias("item_ids"), F.array_max("matches.similarity").alias("similarity"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every document and whether it is kept."""
+    return quality_rules(table(spark, sf_dir, "documents")).drop("rkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -71,7 +88,25 @@ WITH cut AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM do
 , hits AS (SELECT l.*, row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS LAST, pos) AS k FROM lines l SEMI JOIN common c ON l.line = c.line)
 , kept AS (SELECT r.doc_id, string_agg(CASE WHEN h.pos IS NULL THEN r.line END, chr(10) ORDER BY r.pos) AS text, count(h.pos) AS lines_removed FROM raw r LEFT JOIN (SELECT * FROM hits WHERE k > 1) h ON h.doc_id = r.doc_id AND h.pos = r.pos GROUP BY r.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, CAST(coalesce(k.lines_removed, 0) AS BIGINT) AS lines_removed,
-    coalesce(regexp_matches(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END, '[^ 	-]'), false) AS words_left
+    coalesce(regexp_matches(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END, '[^ 	-
+]'), false) AS words_left
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op9_quality_rules": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+, win AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS i, w FROM d)
+, keyed AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 8], ' ')) AS k FROM win)
+, rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1) GROUP BY doc_id)
+, line AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw FROM d)
+, full_line AS (SELECT doc_id, source, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM line WHERE regexp_matches(raw, '[^\x20\x09-\x0D]'))
+, dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM full_line GROUP BY doc_id)
+, own AS (SELECT doc_id, source, array_to_string(w, ' ') AS norm, sum(len(w)) AS words FROM full_line GROUP BY ALL)
+, often AS (SELECT source, norm FROM own WHERE words >= 4 GROUP BY ALL HAVING count(*) > 30)
+, cut AS (SELECT o.doc_id, sum(o.words) AS n FROM own o JOIN often f ON f.norm = o.norm AND f.source IS NOT DISTINCT FROM o.source WHERE o.words >= 4 GROUP BY o.doc_id)
+, r AS (SELECT d.doc_id, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS removed_words
+    FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= n_words * 0.5 AS kept FROM r
 """,
 }

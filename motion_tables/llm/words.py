@@ -67,24 +67,33 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; works through the bytes in pieces of whole words."""
+def fold(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each run of values that begins at an entry of ``first``: the sum of its values, each times a power of its place."""
+    place = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
+    most = int(place.max()) if len(place) else 0
+    if most >= _LOW:
+        steps = np.concatenate([[np.uint64(1)], np.cumprod(np.full(most // _LOW, _STEP[0], dtype=np.uint64))])
+        value = value * (_POWER[place % _LOW] * steps[place // _LOW])
+    else:
+        value = value * _POWER[place]
+    return np.add.reduceat(value, first) if len(first) else np.zeros(0, np.uint64)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _VALUE) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, none empty, works in pieces of whole spans.  Bytes between spans must have a 0 in the table."""
     out = np.empty(len(starts), dtype=np.uint64)
     cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, len(data), _PIECE)), [len(starts)]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         low, high = starts[a], ends[b - 1]
-        first = starts[a:b] - low
-        value = _VALUE[data[low:high]]
-        place = np.arange(high - low) - np.repeat(first, np.diff(np.append(first, high - low)))
-        if len(place) and place.max() >= _LOW:
-            steps = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(place.max()) // _LOW, _STEP[0], dtype=np.uint64))])
-            value *= _POWER[place % _LOW] * steps[place // _LOW]
-        else:
-            value *= _POWER[place]
-        out[a:b] = np.add.reduceat(value, first)
+        out[a:b] = fold(table[data[low:high]], starts[a:b] - low)
     return mix(out + (ends - starts).astype(np.uint64) * _LANE[0])
 
 
+#: For spans that are lines: only the byte between lines counts nothing.
+LINE_VALUE = series(256, 1)
+LINE_VALUE[0x0A] = 0
+
+
 def windows(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k words in a row and each row's first window; a row of 1 to k-1 words has one window of them all."""
     n, count = len(h), np.diff(at)
