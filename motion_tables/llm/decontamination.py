@@ -75,37 +75,44 @@ class Index:
     def search(self, h: np.ndarray, hit: np.ndarray, m: int, threshold: float) -> dict[int, tuple[float, int, int]]:
         """Best window of each item in one text, given the text's m-word shingles and which of them any item has."""
         best: dict[int, tuple[float, int, int]] = {}
-        for size, (ids, counts, prints, table) in self.by_size.items():
-            if min(self.k, size) != m:
-                continue
-            width = size - m + 1  # shingles of a window
-            if len(h) < width:
-                continue
-            begin = np.unique((hit[:, None] - np.arange(width)[None, :]).ravel())
-            begin = begin[(begin >= 0) & (begin + width <= len(h))]
-            for part in np.split(begin, np.arange(4096, len(begin), 4096)):
-                if not len(part):
-                    continue
-                low, high = part[0], part[-1] + width
-                if high - low <= 4 * len(part) + 2 * width:
-                    total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(h[low:high]), axis=0)])
-                    sums = total[part - low + width] - total[part - low]
-                else:
-                    sums = np.stack([_signs(h[p : p + width]).sum(axis=0) for p in part])
-                mine = simhash(sums)
-                near = np.zeros((len(part), len(ids)), dtype=bool)
-                for b in range(BLOCKS):
-                    near |= table[b][mine[:, b]]
-                w, i = np.nonzero(near)
-                close = _ONES[mine[w] ^ prints[i]].sum(axis=1) <= RADIUS
-                for x, y in zip(w[close].tolist(), i[close].tolist()):
-                    p = int(part[x])
-                    score = similarity(h[p : p + width].tolist(), counts[y], width)
-                    item = int(ids[y])
-                    if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
-                        best[item] = (score, p, size)
+        sizes = [size for size in self.by_size if min(self.k, size) == m]
+        most = max(sizes) - m + 1
+        cuts = np.flatnonzero(np.diff(hit) > 2 * most) + 1  # hits further apart share no window
+        for near_by in np.split(hit, cuts):
+            for part in np.split(near_by, np.arange(4096, len(near_by), 4096)):
+                low = max(0, int(part[0]) - most)
+                total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(h[low : int(part[-1]) + most]), axis=0)])
+                for size in sizes:
+                    self._search(h, part, low, total, size, size - m + 1, threshold, best)
         return best
 
+    def _search(self, h: np.ndarray, hit: np.ndarray, low: int, total: np.ndarray, size: int, width: int, threshold: float, best: dict) -> None:
+        """The windows of one size that hold a hit; total: the sums of the signs of the shingles from ``low`` on."""
+        ids, counts, prints, table = self.by_size[size]
+        first = max(0, int(hit[0]) - width + 1)
+        last = min(int(hit[-1]), len(h) - width)
+        if last < first:
+            return
+        inside = np.zeros(last - first + 2 + width, dtype=np.int32)
+        np.add.at(inside, np.maximum(hit - width + 1, first) - first, 1)
+        np.add.at(inside, np.minimum(hit, last) + 1 - first, -1)
+        held = np.cumsum(inside)[: last - first + 1]  # hits in each window: at least its shingles in common with any item
+        begin = np.flatnonzero(held > 0) + first
+        mine = simhash(total[begin - low + width] - total[begin - low])
+        near = table[0][mine[:, 0]]
+        for b in range(1, BLOCKS):
+            near |= table[b][mine[:, b]]
+        w, i = np.nonzero(near)
+        enough = held[begin[w] - first] * (1 + threshold) >= 2 * threshold * width - 1e-9
+        w, i = w[enough], i[enough]
+        close = _ONES[mine[w] ^ prints[i]].sum(axis=1) <= RADIUS
+        for x, y in zip(w[close].tolist(), i[close].tolist()):
+            p = int(begin[x])
+            score = similarity(h[p : p + width].tolist(), counts[y], width)
+            item = int(ids[y])
+            if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
+                best[item] = (score, p, size)
+
 
 def similarity(window: list[int], item: Counter, total: int) -> float:
     """Weighted Jaccard similarity of a window and an item of ``total`` shingles each."""
