@@ -256,7 +256,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def jaccard_join(
-    docs: DataFrame, *, words: int = 5, threshold: float = 0.8, recall: float = 0.999, branch: float = 2.0, leaf: int = 64, block: int = 512, block_shingles: int = 1 << 21
+    docs: DataFrame, *, words: int = 5, threshold: float = 0.8, recall: float = 0.999, branch: float = 2.0, leaf: int = 64, leaf_block: int = 4096, block: int = 512, block_shingles: int = 1 << 21
 ) -> DataFrame:
     """Links of near-equal texts: one row per row of ``docs`` (columns doc_id and text; others are not read).
 
@@ -290,7 +290,7 @@ def jaccard_join(
             level = below.join(large, "parent").select("path", "node")
     leaves = stored(leaves, "leaves")
     members = leaves.join(own.select("node", "sketch"), "node")
-    blocks = _blocks(members, "path", block, F.lit(0), 1)
+    blocks = _blocks(members, "path", leaf_block, F.lit(0), 1)  # a sketch is 64 bytes
     near = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold - 0.2), "a long, b long")
     near = stored(near.distinct(), "candidates")
     groups = stored(components(near), "groups")
