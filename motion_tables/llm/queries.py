@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_items
+from .html_extraction import extract_main_text
 from .jaccard_join import jaccard_join
 from .line_dedup import dedup_lines
 from .mixing import mix_sources, taken
@@ -53,6 +54,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("rkey")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -117,5 +124,13 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
     FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cut USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= n_words * 0.5 AS kept FROM r
+""",
+    # Of pages as the given tables have them: one article, its blocks in p and h1 elements, and four named references.
+    "op10_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages)
+, b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '<(/?b|br)>', ' ', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM a)
+, c AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(x, '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM c
 """,
 }
