@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import with_own_columns
 from .words import hashes, spans, utf8, windows
 
 BLOCKS, BITS = 8, 8
@@ -178,4 +179,4 @@ def find_items(docs: DataFrame, items: DataFrame, *, words: int = 5, threshold:
 
 def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs, with their own columns, in which no item is found."""
-    return find_items(docs, items, **how).where(F.size("matches") == 0).select(*docs.columns)
+    return with_own_columns(docs, ["matches"], lambda d: find_items(d, items, **how).where(F.size("matches") == 0))

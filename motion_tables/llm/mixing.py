@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import row_key
+
 WHITE = " \t\n\x0b\x0c\r"
 ROUNDS = 6
 
@@ -67,7 +69,7 @@ def mix_sources(
 ) -> Mix:
     """Takes from each source of docs (doc_id, text, source; others are carried by none of the tables) words near its target.
 
-    rows: doc_id, source, size, source_size, target, and the row's place: src, bucket, n (unique together) and start, its
+    rows: rkey (a key of the row, equal for equal rows), doc_id, source, size, source_size, target, and the row's place: src, bucket, n (unique together) and start, its
     first word in the source's stream.  sources: src, source, source_size, target, blocks, quota.  slots: src, block, turn, slot, shard.
 
     A null or empty text has size 0 and takes no part; a null source is a source of its own, last in
@@ -76,8 +78,8 @@ def mix_sources(
     """
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, bucket_digits)
-    rows = docs.select("doc_id", "source", src.alias("src"), bucket.alias("bucket"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    order = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "tie")
+    rows = docs.select("doc_id", "source", src.alias("src"), bucket.alias("bucket"), word_count(F.col("text")).alias("size"), row_key().alias("rkey"))
+    order = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "rkey")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     buckets = docs.select("source", src.alias("src"), bucket.alias("bucket"), word_count(F.col("text")).alias("size")).groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
@@ -90,7 +92,7 @@ def mix_sources(
     along = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.drop("source").withColumn("offset", F.coalesce(F.sum("words").over(along), F.lit(0))).join(sources, "src")
     rows = rows.join(placed.select("src", "bucket", "offset", "source_size", "target"), ["src", "bucket"])
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "src", "bucket", "n", (F.col("offset") + F.col("before")).alias("start"))
+    rows = rows.select("rkey", "doc_id", "source", "size", "source_size", "target", "src", "bucket", "n", (F.col("offset") + F.col("before")).alias("start"))
 
     share = lambda words: F.floor(F.col("quota") * (words / F.col("source_size"))).cast("long")
     own = placed.where("words > 0").withColumn("low", share(F.col("offset"))).withColumn("high", share(F.col("offset") + F.col("words"))).where("high > low")
@@ -122,9 +124,19 @@ def pieces(mix: Mix, block_words: int = 256) -> DataFrame:
 
 
 def taken(mix: Mix, block_words: int = 256) -> DataFrame:
-    """One row per text: doc_id, source, size, source_size, target, taken (words, repeats counted), first_shard (null if none)."""
+    """One row per text: rkey, doc_id, source, size, source_size, target, taken (words, repeats counted), first_shard (null if none)."""
     draws = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     met = pieces(mix, block_words).join(draws, ["src", "block"], "left")
-    row = ["doc_id", "source", "size", "source_size", "target", "src", "bucket", "n"]
+    row = ["rkey", "doc_id", "source", "size", "source_size", "target", "src", "bucket", "n"]
     out = met.groupBy(*row).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.min("shard").alias("first_shard"))
     return out.drop("src", "bucket", "n")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs with size, source_size, target and taken of every row (columns of these names are replaced); rows that the mix leaves out have taken 0."""
+    block_words = how.get("block_words", 256)
+    new = ["size", "source_size", "target", "taken"]
+    twin = Window.partitionBy("_mix_key").orderBy("_mix_key")  # equal rows differ in nothing but their number
+    got = taken(mix_sources(docs, **how), block_words).select(F.col("rkey").alias("_mix_key"), *new).withColumn("_mix_twin", F.row_number().over(Window.partitionBy("_mix_key").orderBy("taken")))
+    keyed = docs.drop(*new).withColumn("_mix_key", row_key()).withColumn("_mix_twin", F.row_number().over(twin))
+    return keyed.join(got, ["_mix_key", "_mix_twin"]).drop("_mix_key", "_mix_twin")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import with_own_columns
 from .words import hashes, series, spans, utf8
 
 FORMS, SHAPES, WIDTH, REACH = 1 << 14, 240, 48, 2
@@ -224,3 +225,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return out.mapInArrow(work, out.schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **how) -> DataFrame:
+    """The rows of docs, with their own columns, that score at least ``least``."""
+    model = fit(docs, labels, **how)
+    return with_own_columns(docs, ["score"], lambda d: score(d, model).where(F.col("score") >= least))

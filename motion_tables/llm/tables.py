@@ -44,6 +44,13 @@ def row_key() -> "F.Column":
     return F.xxhash64("doc_id", "text")
 
 
+def with_own_columns(docs: DataFrame, used: list[str], step) -> DataFrame:
+    """step(docs) with the columns of docs as they were, though the step makes columns of the names in ``used``."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in used}
+    out = step(docs.withColumnsRenamed(own)).drop(*used)
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): columns node, comp with the smallest node; only nodes with an edge appear.
 
