@@ -12,6 +12,7 @@ from .html_extraction import extract_main_text
 from .jaccard_join import jaccard_join
 from .line_dedup import dedup_lines
 from .mixing import mix_sources, taken
+from .pii import replace_pii
 from .quality_classifier import fit, fold, score
 from .quality_rules import quality_rules
 
@@ -35,6 +36,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed", "words_left")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, key="surrogates-1").select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.col("entities.kind").alias("kinds"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that it holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
