@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .decontamination import find_items
 from .html_extraction import extract_main_text
 from .jaccard_join import jaccard_join
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .lm_scoring import lm_scores
 from .mixing import mix_sources, taken
 from .pii import replace_pii
 from .quality_classifier import fit, fold, score
@@ -26,6 +28,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "is_first")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-log-likelihood of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scores(docs).select("doc_id", "n_tokens", "log_likelihood", "mean_log_prob")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return taken(mix_sources(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
@@ -56,6 +64,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_licenses(docs)
+    return found.select("doc_id", F.col("licenses.license_id").alias("license_ids"), F.col("licenses.coverage").alias("coverages"), F.col("licenses.first_word").alias("first_words"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of every document and whether it is kept."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("rkey")
@@ -68,11 +83,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
