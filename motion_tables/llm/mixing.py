@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], repeats: float) -> Dat
 
 
 def mix_sources(
-    docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: float = 3.0, block_words: int = 256, shards: int = 64, seed: str = "mix-1", bucket_digits: int = 3
+    docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: float = 3.0, block_words: int = 128, shards: int = 64, seed: str = "mix-1", bucket_digits: int = 3
 ) -> Mix:
     """Takes from each source of docs (doc_id, text, source; others are carried by none of the tables) words near its target.
 
@@ -114,7 +114,7 @@ def mix_sources(
     return Mix(rows, sources, slots)
 
 
-def pieces(mix: Mix, block_words: int = 256) -> DataFrame:
+def pieces(mix: Mix, block_words: int = 128) -> DataFrame:
     """The rows of a mix, one row for each block that they reach into: src, block, words there (null for a row without words)."""
     last = F.col("start") + F.col("size")
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words).cast("long"), F.floor((last - 1) / block_words).cast("long")))
@@ -123,7 +123,7 @@ def pieces(mix: Mix, block_words: int = 256) -> DataFrame:
     return out.withColumn("words", words)
 
 
-def taken(mix: Mix, block_words: int = 256) -> DataFrame:
+def taken(mix: Mix, block_words: int = 128) -> DataFrame:
     """One row per text: rkey, doc_id, source, size, source_size, target, taken (words, repeats counted), first_shard (null if none)."""
     draws = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     met = pieces(mix, block_words).join(draws, ["src", "block"], "left")
@@ -134,7 +134,7 @@ def taken(mix: Mix, block_words: int = 256) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with size, source_size, target and taken of every row (columns of these names are replaced); rows that the mix leaves out have taken 0."""
-    block_words = how.get("block_words", 256)
+    block_words = how.get("block_words", 128)
     new = ["size", "source_size", "target", "taken"]
     twin = Window.partitionBy("_mix_key").orderBy("_mix_key")  # equal rows differ in nothing but their number
     got = taken(mix_sources(docs, **how), block_words).select(F.col("rkey").alias("_mix_key"), *new).withColumn("_mix_twin", F.row_number().over(Window.partitionBy("_mix_key").orderBy("taken")))

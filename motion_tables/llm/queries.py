@@ -111,14 +111,14 @@ WITH d AS (SELECT doc_id, source, coalesce('=' || source, '~') AS src, substr(md
 , s2 AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
     / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1)
 , s3 AS (SELECT *, max(CASE WHEN NOT most < weight * level THEN level END) OVER () AS shared FROM s2)
-, s4 AS (SELECT src, source_size, CASE WHEN most < weight * level THEN most ELSE least(most, weight * shared) END AS target, CAST(ceil(source_size / 256) AS BIGINT) AS blocks FROM s3)
-, s AS (SELECT *, CAST(least(floor(target / 256 + 0.5::DOUBLE), blocks * 3) AS BIGINT) AS quota FROM s4)
+, s4 AS (SELECT src, source_size, CASE WHEN most < weight * level THEN most ELSE least(most, weight * shared) END AS target, CAST(ceil(source_size / 128) AS BIGINT) AS blocks FROM s3)
+, s AS (SELECT *, CAST(least(floor(target / 128 + 0.5::DOUBLE), blocks * 3) AS BIGINT) AS quota FROM s4)
 , j AS (SELECT src, blocks, unnest(range(quota)) AS slot FROM s WHERE quota > 0)
 , r0 AS (SELECT j.src, blocks, slot, slot // blocks AS turn, slot % blocks AS place, CAST(('0x' || substr(md5('mix-1|' || src || '|shard|' || slot), 1, 15)) AS BIGINT) % 64 AS shard,
     {", ".join(f"CAST(('0x' || substr(md5('mix-1|' || src || '|key|{r}'), 1, 15)) AS BIGINT) % blocks AS k{r}" for r in range(6))} FROM j){_SWAP}
 , draws AS (SELECT src, place AS block, count(*) AS times, min(shard) AS shard FROM r6 GROUP BY ALL)
-, met AS (SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 + 1 AS BIGINT)) ELSE [NULL::BIGINT] END) AS block FROM place p)
-SELECT m.doc_id, m.size, s.source_size, s.target, CAST(coalesce(sum((least(m.start + m.size, (m.block + 1) * 256) - greatest(m.start, m.block * 256)) * d.times), 0) AS BIGINT) AS taken, CAST(min(d.shard) AS INTEGER) AS first_shard
+, met AS (SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(start // 128 AS BIGINT), CAST((start + size - 1) // 128 + 1 AS BIGINT)) ELSE [NULL::BIGINT] END) AS block FROM place p)
+SELECT m.doc_id, m.size, s.source_size, s.target, CAST(coalesce(sum((least(m.start + m.size, (m.block + 1) * 128) - greatest(m.start, m.block * 128)) * d.times), 0) AS BIGINT) AS taken, CAST(min(d.shard) AS INTEGER) AS first_shard
 FROM met m JOIN s USING (src) LEFT JOIN draws d ON d.src = m.src AND d.block = m.block GROUP BY m.doc_id, m.src, m.bucket, m.start, m.size, s.source_size, s.target
 """,
     "op4_line_dedup": r"""
