@@ -1,4 +1,4 @@
-"""The registered queries over the given tables, and their SQL."""
+"""The registered queries over the given tables, and their SQL: one module for each family of operators."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from motion_tables.plans import catalog_queries, join_queries, metric_queries, series_queries, shape_queries
+
+_PARTS = (shape_queries, series_queries, join_queries, metric_queries, catalog_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
