@@ -60,7 +60,7 @@ def frame_counts(labels: DataFrame) -> DataFrame:
 def coverage(labels: DataFrame) -> DataFrame:
     """Of every view: labelled points, hidden ones, videos, and points by backend as columns."""
     base = labels.groupBy("view").agg(F.count("*").alias("labelled"), F.count_if(~F.col("visible")).alias("hidden"), F.count_distinct("video_id").alias("videos"))
-    wide = labels.groupBy("view").pivot("backend", ["F", "O"]).agg(F.count("*")).withColumnsRenamed({"F": "points_f", "O": "points_o"})
+    wide = labels.groupBy("view").pivot("backend", ["F", "O"]).agg(F.count(F.lit(1))).withColumnsRenamed({"F": "points_f", "O": "points_o"})
     return base.join(wide, "view")
 
 

@@ -1 +1,88 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries of catalog jobs: the tables of customers, suppliers, parts and orders stand for golfers, sources, collections and shots."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from motion_tables.operators import catalog as C
+from motion_tables.plans.registry import Registry
+from motion_tables.sources import derived as D
+
+_R = Registry()
+QUERIES, ORACLE_SQL = _R.queries, _R.sql
+
+
+@_R.add("c1_catalog_violations", """SELECT 'stream' AS entity, CAST(l_orderkey AS VARCHAR) AS id, 'window ends before it begins' AS rule FROM lineitem WHERE l_quantity < 2
+UNION ALL SELECT 'shot', CAST(o_orderkey AS VARCHAR), 'no club' FROM orders WHERE o_totalprice < 20000
+UNION ALL SELECT 'stream', CAST(l_suppkey AS VARCHAR), 'unknown source' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY l_suppkey
+UNION ALL SELECT 'stream', CAST(l_orderkey * 100 + l_linenumber AS VARCHAR), 'duplicate stream' FROM lineitem GROUP BY l_orderkey * 100 + l_linenumber HAVING count(*) > 1""")
+def catalog_violations(spark, d):
+    l, o, s = (D.table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
+    return C.violations(
+        C.rule(l, "stream", "l_orderkey", F.col("l_quantity") < 2, "window ends before it begins"),
+        C.rule(o, "shot", "o_orderkey", F.col("o_totalprice") < 20000, "no club"),
+        C.dangling(l, "stream", "l_suppkey", s.where("s_acctbal > 0"), "s_suppkey", "unknown source"),
+        C.duplicates(l.withColumn("stream_id", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "stream", "stream_id", "duplicate stream"),
+    )
+
+
+@_R.add("c6_eligibility", """WITH q AS (SELECT o_orderkey AS shot, list_filter([CASE WHEN o_orderstatus <> 'F' THEN 'not reviewed' END, CASE WHEN o_totalprice < 50000 THEN 'club not visible' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'resolution too low' END], lambda x: x IS NOT NULL) AS reasons FROM orders) SELECT shot, len(reasons) = 0 AS eligible, reasons FROM q""")
+def eligibility(spark, d):
+    why = C.reasons((F.col("o_orderstatus") != "F", "not reviewed"), (F.col("o_totalprice") < 50000, "club not visible"), (F.col("o_orderpriority").like("5%"), "resolution too low"))
+    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("shot"), why.alias("reasons")).select("shot", (F.size("reasons") == 0).alias("eligible"), "reasons")
+
+
+def _working(spark, d):
+    c = D.table(spark, d, "customer").where("c_custkey % 9 <> 4")
+    moved = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "MOVED").otherwise(F.col("c_mktsegment"))).withColumn("c_nationkey", F.when(F.col("c_custkey") % 10 == 0, F.lit(None).cast("int")).otherwise(F.col("c_nationkey")))
+    return moved
+
+
+@_R.add("c9_drift", """WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 11 <> 3), b AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 9 <> 4)
+, j AS (SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change, a.c_nationkey IS DISTINCT FROM b.c_nationkey AS n, a.c_mktsegment IS DISTINCT FROM b.c_mktsegment AS m FROM a FULL JOIN b ON a.c_custkey = b.c_custkey)
+SELECT c_custkey, change, CASE WHEN change <> 'changed' THEN [] ELSE list_filter([CASE WHEN n THEN 'c_nationkey' END, CASE WHEN m THEN 'c_mktsegment' END], lambda x: x IS NOT NULL) END AS fields FROM j WHERE change <> 'changed' OR n OR m""")
+def drift(spark, d):
+    return C.drift(D.table(spark, d, "customer").where("c_custkey % 11 <> 3"), _working(spark, d), "c_custkey", ["c_nationkey", "c_mktsegment"])
+
+
+@_R.add("snk4_upserted_annotations", """WITH e AS (SELECT o_custkey AS c_custkey, 'ORDERED' AS c_mktsegment, -1 AS c_nationkey FROM orders WHERE o_orderkey % 7 = 1 GROUP BY o_custkey), cur AS (SELECT * FROM customer WHERE c_custkey % 4 <> 2)
+SELECT coalesce(cur.c_custkey, e.c_custkey) AS c_custkey, CASE WHEN cur.c_custkey IS NULL THEN e.c_nationkey ELSE cur.c_nationkey END AS c_nationkey, CASE WHEN e.c_custkey IS NULL THEN cur.c_mktsegment ELSE e.c_mktsegment END AS c_mktsegment FROM cur FULL JOIN e ON e.c_custkey = cur.c_custkey""")
+def upserted_annotations(spark, d):
+    edits = D.table(spark, d, "orders").where("o_orderkey % 7 = 1").select(F.col("o_custkey").alias("c_custkey")).distinct().select("c_custkey", F.lit("ORDERED").alias("c_mktsegment"), F.lit(-1).alias("c_nationkey"))
+    return C.upserted(D.table(spark, d, "customer").where("c_custkey % 4 <> 2").select("c_custkey", "c_nationkey", "c_mktsegment"), edits, "c_custkey", ["c_nationkey"], ["c_mktsegment"])
+
+
+@_R.add("snk5_revision_checks", """SELECT o_orderkey AS id, CASE WHEN revision IS NOT DISTINCT FROM loaded THEN 'accepted' ELSE 'conflict' END AS outcome, CASE WHEN revision IS NOT DISTINCT FROM loaded THEN coalesce(revision, 0) + 1 ELSE revision END AS revision
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 5 END AS loaded FROM orders) e LEFT JOIN (SELECT l_orderkey, count(*) % 5 AS revision FROM lineitem GROUP BY l_orderkey) s ON l_orderkey = o_orderkey""")
+def revision_checks(spark, d):
+    stored = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") % 5).alias("revision"))
+    edits = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderkey") % 5).alias("loaded_revision"))
+    return C.revision_checked(stored, edits, "id")
+
+
+@_R.add("c12_last_edits", "SELECT conv_id, role, turn, length(text) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1")
+def last_edits(spark, d):
+    return C.last_edits(D.table(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", F.length("text").cast("long").alias("n"))
+
+
+@_R.add("c14_frozen_unchanged", "SELECT a.o_orderkey AS id, 'frozen shot changed' AS rule FROM orders a LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 13 <> 5) b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus = 'F' AND b.o_orderkey IS NULL")
+def frozen_unchanged(spark, d):
+    o = D.table(spark, d, "orders")
+    gone = C.drift(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'F' and o_orderkey % 13 <> 5"), "o_orderkey", ["o_totalprice"])
+    return gone.select(F.col("o_orderkey").alias("id"), F.lit("frozen shot changed").alias("rule"))
+
+
+@_R.add("a18_duplicate_bytes", "SELECT md5(text) AS sha, list_sort(list(doc_id)) AS sources FROM documents GROUP BY ALL HAVING count(*) > 1")
+def duplicate_bytes(spark, d):
+    return D.table(spark, d, "documents").groupBy(F.md5("text").alias("sha")).agg(F.array_sort(F.collect_list("doc_id")).alias("sources")).where(F.size("sources") > 1)
+
+
+@_R.add("src12_content_identity", "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html)) AS size_bytes FROM pages")
+def content_identity(spark, d):
+    return D.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size_bytes"))
+
+
+@_R.add("src2_ground_truth", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS frame, CAST(round_even(CAST(json_extract(props, '$.k') AS INTEGER) * 1000 / 60.0::DOUBLE * 30 / 1000, 0) AS BIGINT) AS at_30 FROM events")
+def ground_truth(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return D.table(spark, d, "events").select("event_id", k.alias("frame"), F.bround(k * 1000 / F.lit(60.0) * 30 / 1000).cast("long").alias("at_30"))

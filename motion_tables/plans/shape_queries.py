@@ -12,7 +12,6 @@ from motion_tables.sources.derived import rounded, x, y, z
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
-LM = F.col("lm")
 
 _STEM = "regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
 _VIEW = "CASE WHEN lower(camera) LIKE '%down the line%' OR lower(camera) LIKE '%downtheline%' OR lower(camera) LIKE '%dtl%' THEN 'dtl' WHEN lower(camera) LIKE '%face on%' OR lower(camera) LIKE '%faceon%' OR lower(camera) LIKE '%front%' THEN 'face_on' END"
@@ -98,7 +97,7 @@ def _mids(f) -> str:
 
 @_R.add("sc12_body_scale", f"WITH {D.POSE} SELECT video_id, frame, round(greatest({_TORSO}, 1e-6::DOUBLE), 6) AS scale, round(greatest({_norm(_mids(x), _mids(y), _mids(z))}, 0.01::DOUBLE), 6) AS scale_3d FROM p")
 def body_scale(spark, d):
-    return rounded(D.pose(spark, d).select("video_id", "frame", P.body_scale(LM).alias("scale"), P.body_scale_3d(LM).alias("scale_3d")))
+    return rounded(D.pose(spark, d).select("video_id", "frame", P.body_scale(F.col("lm")).alias("scale"), P.body_scale_3d(F.col("lm")).alias("scale_3d")))
 
 
 def _angle3(a: int, b: int, c: int) -> str:
@@ -108,7 +107,7 @@ def _angle3(a: int, b: int, c: int) -> str:
 
 @_R.add("sc13_included_angles", f"WITH {D.POSE}, q AS (SELECT video_id, frame, {x(3)} - {x(1)} AS a, {y(3)} - {y(1)} AS b, {x(3)} - {x(5)} AS c, {y(3)} - {y(5)} AS d FROM p) SELECT video_id, frame, CASE WHEN sqrt(power(a, 2) + power(b, 2)) * sqrt(power(c, 2) + power(d, 2)) > 0 THEN round(degrees(acos(least(greatest((a * c + b * d) / (sqrt(a * a + b * b) * sqrt(c * c + d * d)), -1), 1))), 4) END AS lead_elbow FROM q")
 def included_angles(spark, d):
-    j = lambda k: P.at(LM, k)
+    j = lambda k: P.at(F.col("lm"), k)
     return rounded(D.pose(spark, d).select("video_id", "frame", P.included_angle(j(1), j(3), j(5)).alias("lead_elbow")), 4)
 
 
@@ -125,37 +124,37 @@ _ANGLES = {
 
 @_R.add("sc15_joint_angles", f"WITH {D.POSE} SELECT video_id, frame, {', '.join(f'round({v}, 5) AS {k}' for k, v in _ANGLES.items())} FROM p")
 def joint_angles(spark, d):
-    return rounded(D.pose(spark, d).select("video_id", "frame", *[v.alias(k) for k, v in P.angles(LM).items()]), 5)
+    return rounded(D.pose(spark, d).select("video_id", "frame", *[v.alias(k) for k, v in P.angles(F.col("lm")).items()]), 5)
 
 
 @_R.add("sc14_elevations", f"WITH {D.POSE} SELECT video_id, frame, round(degrees(atan2({y(1)} - {y(5)}, abs({x(5)} - {x(1)}))), 5) AS lead_arm FROM p")
 def elevations(spark, d):
-    return rounded(D.pose(spark, d).select("video_id", "frame", P.elevation(P.at(LM, 1), P.at(LM, 5)).alias("lead_arm")), 5)
+    return rounded(D.pose(spark, d).select("video_id", "frame", P.elevation(P.at(F.col("lm"), 1), P.at(F.col("lm"), 5)).alias("lead_arm")), 5)
 
 
 @_R.add("sc16_normalized_pose", f"""WITH {D.POSE}, q AS (SELECT video_id, frame, e, greatest({_norm(_mids(x), _mids(y), _mids(z))}, 0.01::DOUBLE) AS s, ({x(13)} + {x(14)}) / 2 AS hx, ({y(13)} + {y(14)}) / 2 AS hy, ({z(13)} + {z(14)}) / 2 AS hz FROM p)
 SELECT video_id, frame, j AS joint, round((e[3 * j + 1] - hx) / s, 5) + 0 AS x, round((e[3 * j + 2] - hy) / s, 5) + 0 AS y, round((e[3 * j + 3] - hz) / s, 5) + 0 AS z FROM q, (SELECT unnest(range(21)) AS j)""")
 def normalized_pose(spark, d):
-    n = D.pose(spark, d).select("video_id", "frame", F.posexplode(P.normalized(LM)).alias("joint", "q"))
+    n = D.pose(spark, d).select("video_id", "frame", F.posexplode(P.normalized(F.col("lm"))).alias("joint", "q"))
     return rounded(n.select("video_id", "frame", "joint", "q.*"), 5)
 
 
 @_R.add("sc17_club_angle", f"WITH {D.POSE} SELECT video_id, frame, round(degrees(atan2(abs({x(8)} - {x(7)}), abs({y(8)} - {y(7)}))), 5) AS angle FROM p")
 def club_angle(spark, d):
-    a, b = P.at(LM, 7), P.at(LM, 8)
+    a, b = P.at(F.col("lm"), 7), P.at(F.col("lm"), 8)
     return rounded(D.pose(spark, d).select("video_id", "frame", P.club_angle(a["x"], a["y"], b["x"], b["y"]).alias("angle")), 5)
 
 
 @_R.add("sc18_shaft_parallel", f"WITH {D.POSE} SELECT video_id, frame FROM p WHERE abs(degrees(atan2(abs({x(8)} - {x(7)}), abs({y(8)} - {y(7)}))) - 80) <= 15")
 def shaft_parallel(spark, d):
-    a, b = P.at(LM, 7), P.at(LM, 8)
+    a, b = P.at(F.col("lm"), 7), P.at(F.col("lm"), 8)
     return D.pose(spark, d).where(F.abs(P.club_angle(a["x"], a["y"], b["x"], b["y"]) - 80) <= 15).select("video_id", "frame")
 
 
 @_R.add("sc19_lead_arm", f"WITH {D.POSE} SELECT video_id, frame, round(CASE WHEN video_id % 2 = 1 THEN {y(6)} - {y(2)} ELSE {y(5)} - {y(1)} END / greatest({_TORSO}, 1e-6::DOUBLE), 5) AS elevation FROM p")
 def lead_arm(spark, d):
     hand = F.when(F.col("video_id") % 2 == 1, "left").otherwise("right")
-    return rounded(D.pose(spark, d).select("video_id", "frame", P.lead_arm_elevation(LM, hand).alias("elevation")), 5)
+    return rounded(D.pose(spark, d).select("video_id", "frame", P.lead_arm_elevation(F.col("lm"), hand).alias("elevation")), 5)
 
 
 @_R.add("sc21_interpolated", f"WITH {D.POSE}, q AS (SELECT video_id, frame, e, lead(e) OVER (PARTITION BY video_id ORDER BY frame) AS n FROM p) SELECT video_id, frame, round({x(5)} + (n[16] - {x(5)}) * 0.25, 6) AS x, round({y(5)} + (n[17] - {y(5)}) * 0.25, 6) AS y FROM q WHERE n IS NOT NULL")
@@ -163,7 +162,7 @@ def interpolated(spark, d):
     from motion_tables.operators.windows import by
 
     p = D.pose(spark, d).withColumn("n", F.lead("lm").over(by())).where("n is not null")
-    q = P.at(P.interpolated(LM, F.col("n"), F.lit(0.25)), P.L_WRIST)
+    q = P.at(P.interpolated(F.col("lm"), F.col("n"), F.lit(0.25)), P.L_WRIST)
     return rounded(p.select("video_id", "frame", q["x"].alias("x"), q["y"].alias("y")))
 
 
@@ -195,7 +194,7 @@ def storage_keys(spark, d):
 
 @_R.add("sc29_in_image", f"WITH {D.POSE} SELECT video_id, frame, {x(0)} BETWEEN -0.1 AND 0.1 AND {y(0)} BETWEEN -0.1 AND 0.1 AS inside FROM p")
 def in_image(spark, d):
-    n = P.at(LM, P.NOSE)
+    n = P.at(F.col("lm"), P.NOSE)
     return D.pose(spark, d).select("video_id", "frame", (n["x"].between(-0.1, 0.1) & n["y"].between(-0.1, 0.1)).alias("inside"))
 
 
