@@ -70,9 +70,9 @@ def swap_test(sides: DataFrame) -> DataFrame:
     return sides.withColumn("keep", F.when(both, move("l", "l") + move("r", "r"))).withColumn("swap", F.when(both, move("l", "r") + move("r", "l")))
 
 
-def savgol7(s: DataFrame, column: str, into: str) -> DataFrame:
+def savgol7(s: DataFrame, column: str, into: str, key: str | list[str] = KEY) -> DataFrame:
     """Savitzky-Golay smoothing, window 7, order 2; the ends come from the fit of the first or last seven values; a series under seven stays."""
-    w, all_ = by(), whole()
+    w, all_ = by(key), whole(key)
     n = F.count("*").over(all_)
     place = F.row_number().over(w) - 1
     # Rows 0 to 3 of the projection of seven values on a quadratic, times 42 or 21.
@@ -82,7 +82,7 @@ def savgol7(s: DataFrame, column: str, into: str) -> DataFrame:
     fit = lambda weights, values: sum((v * c for v, c in zip(values, weights)), F.lit(0.0)) / 42
     head = [F.nth_value(column, k + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in range(7)]
     out = s.withColumn("_n", n).withColumn("_i", place)
-    back = Window.partitionBy(KEY).orderBy(F.col("frame").desc())
+    back = all_.orderBy(F.col("frame").desc())
     tail = [F.nth_value(column, k + 1).over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in range(7)]
     expr = F.when(F.col("_n") < 7, F.col(column))
     for i in range(3):
