@@ -7,7 +7,7 @@ the threshold.  Texts with equal sets form one class, and only classes take part
    byte a lane, and for every run the paths it takes: a set goes down a path's child for each of
    its shingles whose hash under (run, path) is under ``branch / size``.  So two sets share a child
    for about ``branch * overlap / larger size`` of their common shingles.
-2. Level by level, a path that few classes took is a leaf; a larger one is split by its children.
+2. Level by level, a path that no more than ``leaf`` classes took is a leaf; a larger one is split by its children.
    At the last level a bucket of any size is a leaf, in blocks.
 3. Leaves are compared all against all by sketch, in blocks of bounded size, and each leaf gives
    its members' local groups (one row a member, never its pairs).  Their union over all leaves and
@@ -256,7 +256,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def jaccard_join(
-    docs: DataFrame, *, words: int = 5, threshold: float = 0.8, recall: float = 0.999, branch: float = 2.0, leaf: int = 64, leaf_block: int = 4096, block: int = 512, block_shingles: int = 1 << 21
+    docs: DataFrame, *, words: int = 5, threshold: float = 0.8, recall: float = 0.999, branch: float = 2.0, leaf: int = 4096, block: int = 512, block_shingles: int = 1 << 21
 ) -> DataFrame:
     """Links of near-equal texts: one row per row of ``docs`` (columns doc_id and text; others are not read).
 
@@ -290,7 +290,7 @@ def jaccard_join(
             level = below.join(large, "parent").select("path", "node")
     leaves = stored(leaves, "leaves")
     members = leaves.join(own.select("node", "sketch"), "node")
-    blocks = _blocks(members, "path", leaf_block, F.lit(0), 1)  # a sketch is 64 bytes
+    blocks = _blocks(members, "path", leaf, F.lit(0), 1)  # a sketch is 64 bytes
     near = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold - 0.2), "a long, b long")
     near = stored(near.distinct(), "candidates")
     groups = stored(components(near), "groups")
