@@ -11,7 +11,7 @@ value of the corpus, is drawn again until none is left.  The few that are drawn
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import dropped, row_key, stored
@@ -158,10 +158,10 @@ def replace_pii(docs: DataFrame, *, key: str, most_draws: int = 20) -> DataFrame
     drawn = stored(every.select("*", F.lit(0).alias("attempt"), draw(key, F.col("kind"), F.col("value"), F.col("canon"), F.lit(0)).alias("surrogate")), "surrogates")
     for attempt in range(1, most_draws + 2):
         real = drawn.select("kind", F.col("canon").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-        first = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon", "gender")
-        shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
-        again = drawn.join(shared, ["kind", "surrogate"]).withColumn("k", F.row_number().over(first)).where("k > 1").select("kind", "canon", "gender")
-        again = again.union(drawn.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon", "gender")).distinct().withColumn("again", F.lit(True))
+        names = drawn.select("kind", "canon", "surrogate", "attempt").distinct()  # one name with titles of either gender is one entity
+        shared = names.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count_distinct("canon").alias("n")).where("n > 1")
+        again = names.join(shared, ["kind", "surrogate"]).where("canon <> first.canon").select("kind", "canon")
+        again = again.union(names.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")).distinct().withColumn("again", F.lit(True))
         again = stored(again, "again")
         if again.isEmpty():
             break
@@ -170,7 +170,7 @@ def replace_pii(docs: DataFrame, *, key: str, most_draws: int = 20) -> DataFrame
         new = draw(key, F.col("kind"), F.col("value"), F.col("canon"), F.lit(attempt))
         redo = F.col("again").isNotNull()
         before = drawn
-        drawn = drawn.join(again, ["kind", "canon", "gender"], "left").select("kind", "canon", "gender", "value", F.when(redo, attempt).otherwise(F.col("attempt")).alias("attempt"), F.when(redo, new).otherwise(F.col("surrogate")).alias("surrogate"))
+        drawn = drawn.join(again, ["kind", "canon"], "left").select("kind", "canon", "gender", "value", F.when(redo, attempt).otherwise(F.col("attempt")).alias("attempt"), F.when(redo, new).otherwise(F.col("surrogate")).alias("surrogate"))
         drawn = stored(drawn, "surrogates")
         dropped(before, again)
 
