@@ -163,3 +163,32 @@ def test_bootstrap_of_equal_backends_is_zero(spark):
     l = spark.createDataFrame(rows, "backend string, view string, video_id long, frame long, joint int, visible boolean, err double")
     r = M.paired_bootstrap(l, "F", "O", 0.05, draws=50).first()
     assert (r.difference, r.low, r.high) == (0.0, 0.0, 0.0)
+
+
+def test_repaired_times_increase(spark):
+    from motion_tables.operators import labels as L
+
+    s = spark.createDataFrame([("v", i, t) for i, t in enumerate([0.0, 10.0, None, 20.0, 500.0, 90.0])], "video_id string, frame int, t_ms double")
+    got = L.repaired_times(s).orderBy("frame").collect()
+    times = [r.t_ms for r in got]
+    assert times[:3] == [0.0, 10.0, 26.67] and all(a < b for a, b in zip(times, times[1:]))
+    assert [r.estimated for r in got] == [False, False, True, True, False, True]
+
+
+def test_manifest_rules_are_all_reported(spark):
+    from motion_tables.operators import labels as L
+
+    rows = [(1, "a", 0, 5, 1, 0, 2), (1, "a", 3, 1, 5, 1, 1), (2, "b", 3, 1, 5, 1, 1)]
+    got = L.manifest_violations(spark.createDataFrame(rows, "shot_id long, camera_id string, frame_count long, first_ns long, last_ns long, dropped long, gap_missing long")).collect()
+    assert sorted(tuple(r) for r in got) == sorted((1, x) for x in ("stream without frames", "stream ends before it begins", "gaps miss more than were dropped", "camera named twice"))
+
+
+def test_shaft_positions_need_half_of_the_frames(spark):
+    from motion_tables.operators import labels as L
+
+    rows = [("v", i, i * 10.0, 45.0 + i if i % 5 else None) for i in range(100)] + [("w", i, i * 10.0, 45.0 + i if i % 3 == 0 else None) for i in range(100)]
+    s = spark.createDataFrame(rows, "video_id string, frame int, t_ms double, angle double")
+    spans = spark.createDataFrame([(v, "P2", 0, 99, False) for v in "vw"], "video_id string, p string, lo int, hi int, last boolean")
+    assert [tuple(r)[:3] for r in L.shaft_positions(s, spans).collect()] == []
+    whole = s.withColumn("angle", s.frame + 44.5)
+    assert {tuple(r)[:3] for r in L.shaft_positions(whole, spans).collect()} == {("v", "P2", 46), ("w", "P2", 46)}
