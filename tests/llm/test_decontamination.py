@@ -38,7 +38,7 @@ def test_agrees_with_all_windows(spark):
         docs.append((i, " ".join(w)))
     got = {r.doc_id: {m.item_id: round(m.similarity, 9) for m in r.matches} for r in X.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {i: brute(t, [x for x in items if x[0] is not None]) for i, t in docs}
-    assert got == want and sum(map(len, want.values())) > 20
+    assert got == want and sum(map(len, want.values())) > 10
 
 
 def test_passes_over_many_items_agree(spark):
