@@ -294,15 +294,18 @@ def jaccard_join(
     near = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_compare(threshold - 0.2), "a long, b long")
     near = stored(near.distinct(), "candidates")
     groups = stored(components(near), "groups")
+    dropped(leaves, near)
 
     first = own.select("node", "rkey").join(groups, "node")
     texts = rows.join(first, "rkey")
     sets = texts.select("comp", "node", "text").mapInArrow(_sets(words), "comp long, node long, shingles binary")
     sets = stored(sets, "sets")
+    dropped(own, groups)
     size = F.length("shingles") / 8
     blocks = _blocks(sets, "comp", block, size, block_shingles)
     checked = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold), "node long, links long, root long")
     checked = stored(checked, "checked")
+    dropped(sets)
     links = checked.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = stored(components(checked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "linked")
 
