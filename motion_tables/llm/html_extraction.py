@@ -3,15 +3,15 @@
 A page is a sequence of tokens, each in the role that its path of elements gives it: tags, the words of short text nodes, and longer
 text nodes whole.  Tokens of one host that occur equally often on each of its pages form an equivalence class; a large class on nearly all pages is
 part of the host's template.  Its tokens that stand once a page are the template's frame, in order; classes that
-repeat inside nest in it.  What stands between template tokens are slots, and the text of the slots is extracted.
+repeat nest in the slot of the frame where they begin.  What stands between template tokens are slots, and the text of the slots is extracted:
+a block of text goes, wherever it stands, if the template holds each of its words at that place.  A block that a slot reaches into is kept whole.
 
 The occurrence vector of a token is never gathered: every page adds a hash of (page, count) to two sums, and tokens of one host with
 the same sums and number of pages have the same vector.  So classes come from one aggregation, summed in each task first; no host's pages are
-ever together in one task.  A host of fewer than ``min_pages`` pages takes the template of all hosts.
+ever together in one task.  Copies of a page count once.  A host of fewer than ``min_pages`` pages takes the template of all hosts.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, by their elements' names,
-classes and ids, are left out.  If a page has an article or main element its slots are the text; otherwise the
-slots outside all of those are, without text that the template itself holds.
+classes and ids, are left out afterwards.  If some slot left is in an article or main element only such slots are the text.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(tallied: DataFrame, by: list[str], min_pages: int, support: float, least: int) -> DataFrame:
-    """Per host: frame (tokens of the classes that stand once a page, in order) and nested (tokens of the other classes)."""
+    """Per host: frame (tokens of the classes that stand once a page, in order) and nested (tokens of the other classes, each with the slot of the frame where its class begins)."""
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "sum1", "sum2", "place")]
     tokens = tallied.groupBy(*by, "token").agg(*sums)
     every = tokens.where("token = 0").select(*by, F.col("pages").alias("all_pages")).where(F.col("all_pages") >= min_pages)
@@ -167,7 +167,16 @@ def templates(tallied: DataFrame, by: list[str], min_pages: int, support: float,
     classes = often.groupBy(*by, "pages", "times", "sum1", "sum2").agg(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token")).alias("members")).where(F.size("members") >= least)
     once = F.col("times") == F.col("pages")
     out = classes.groupBy(*by).agg(F.flatten(F.collect_list(F.when(once, F.col("members")))).alias("frame"), F.flatten(F.collect_list(F.when(~once, F.col("members")))).alias("nested"))
-    return out.select(*by, F.array_sort("frame")["token"].alias("frame"), F.col("nested")["token"].alias("nested"))
+    # On every page a token's first place is in its slot, so that the means are in that order too.
+    slot = lambda m: F.size(F.filter("frame", lambda f: f["place"] < m["place"])).cast("long")
+    out = out.withColumn("nested", F.transform("nested", lambda m: F.struct(slot(m).alias("slot"), m["token"].alias("token"))))
+    return out.select(*by, F.array_sort("frame")["token"].alias("frame"), "nested")
+
+
+def _size(text: str) -> int:
+    """Number of tokens of a text node."""
+    n = len(text.split())
+    return n if n <= SHORT else 1
 
 
 def slots(tokens: list[int], frame: dict[int, int]) -> list[int]:
@@ -188,56 +197,67 @@ def slots(tokens: list[int], frame: dict[int, int]) -> list[int]:
     return out[::-1]
 
 
-def extract(page: str, frame: dict[int, int], fixed: set[int]) -> tuple[str, int, int]:
-    """Main text of a page, the slots that it fills and the template's tokens found on the page."""
+def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[str, int, int]:
+    """Main text of a page, the slots that it fills and the template's tokens found on the page.
+
+    frame: the rank of each token; nested: the slot in which each token's class begins.
+    """
     tokens, nodes = parse(page)
     cuts = slots(tokens, frame)
-    inside = any(n is not None and n.inside and n.open and not n.text.isspace() for n in nodes)
-    blocks, block, used = [], [], set()
+    places, ranks = set(cuts), [frame[tokens[c]] for c in cuts]
+
+    def fixed(place: int) -> bool:
+        """Whether the token there is the template's: in its order in the frame, or of a class nested in a slot up to this one."""
+        if place in places:
+            return True
+        slot = nested.get(tokens[place])
+        if slot is None:
+            return False
+        k = bisect_left(cuts, place)
+        return slot <= (ranks[k] if k < len(cuts) else len(frame))
+
+    blocks: list[tuple[str, bool, bool, set[int]]] = []  # text, open, inside an article, slots
+    block: list[Node] = []
 
     def end() -> None:
-        text = _SPACE.sub(" ", "".join(block)).strip()
-        if text:
-            blocks.append(text)
+        own = [(n, n.at + i) for n in block for i in range(_size(n.text))]
+        if own and not all(fixed(place) for _, place in own):
+            blocks.append((_SPACE.sub(" ", "".join(n.text for n in block)).strip(), own[0][0].open, own[0][0].inside, {bisect_left(cuts, n.at) for n, _ in own}))
         block.clear()
 
     for n in nodes:
         if n is None:
             end()
-        elif n.open and n.inside >= inside:
-            words = n.text.split()
-            if words and not inside and fixed:
-                own = [xxhash.xxh64_intdigest(w, n.path) for w in words] if len(words) <= SHORT else [xxhash.xxh64_intdigest(" ".join(words), n.path)]
-                if all(t in fixed for t in own):
-                    continue
-            block.append(n.text)
-            if words:
-                used.add(bisect_left(cuts, n.at))
+        else:
+            block.append(n)
     end()
-    return "\n".join(blocks), len(used), len(cuts)
+    kept = [b for b in blocks if b[1]]
+    kept = [b for b in kept if b[2]] or kept
+    return "\n".join(b[0] for b in kept), len(set().union(*(b[3] for b in kept))), len(cuts)
 
 
 def extract_main_text(pages: DataFrame, *, min_pages: int = 5, support: float = 0.9, least: int = 3, most_broadcast: int = 16 << 20) -> DataFrame:
     """One row per row of pages (page_id, url, html; others are not read): page_id, url, text, slots (that the text fills), frame_tokens (of the template, on the page).
 
     A null or empty html has an empty text, 0 slots and 0 frame tokens.  A null url, or one without a host, belongs to the host of no name.  Pages of hosts
-    under ``min_pages`` pages take the template of all pages, if those are that many.  Repeated rows each count as a page and give the same text.  An
+    under ``min_pages`` different pages take the template of all pages, if those are that many.  Rows of equal html count as one page of their host and give the same text.  An
     empty table gives an empty result.  Templates of up to ``most_broadcast`` bytes in all are sent to the pages, more are joined to them by host.  Text cut off inside a tag, comment or script ends there.
     """
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
+    distinct = keyed.withColumn("page", F.xxhash64("html")).groupBy("host", "page").agg(F.first("html").alias("html"))
     kind = "host long, token long, pages long, times long, sum1 long, sum2 long, place double"
-    tallied = keyed.select("host", F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(_tally, kind)
+    tallied = distinct.mapInArrow(_tally, kind)
     tallied = stored(tallied.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "sum1", "sum2", "place")]), "tokens")
     own = stored(templates(tallied, ["host"], min_pages, support, least), "templates")
-    tokens = own.agg(F.coalesce(F.sum(F.size("frame") + F.size("nested")), F.lit(0))).first()[0]
+    tokens = own.agg(F.coalesce(F.sum(F.size("frame") + 2 * F.size("nested")), F.lit(0))).first()[0]
     shared = templates(tallied, [], min_pages, support, least).first()  # at most a page's tokens / support
-    common = (list(shared.frame), list(shared.nested)) if shared else ([], [])
+    common = (list(shared.frame), [n.asDict() for n in shared.nested]) if shared else ([], [])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple | None = None
         ranks: dict[int, int] = {}
-        fixed: set[int] = set()
+        inner: dict[int, int] = {}
         for batch in batches:
             frames, nests = batch.column(3), batch.column(4)
             texts = []
@@ -246,8 +266,8 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = 5, support: float =
                 if known is None or known[0] != frame or known[1] != nested:
                     known = (frame, nested)
                     ranks = {t & (2**64 - 1): k for k, t in enumerate(frame)}
-                    fixed = {t & (2**64 - 1) for t in nested} | set(ranks)
-                texts.append(extract(page or "", ranks, fixed))
+                    inner = {n["token"] & (2**64 - 1): n["slot"] for n in nested}
+                texts.append(extract(page or "", ranks, inner))
             text, used, cuts = zip(*texts) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(used, pa.int64()), pa.array(cuts, pa.int64())], ["page_id", "url", "text", "slots", "frame_tokens"])
 

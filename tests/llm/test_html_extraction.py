@@ -35,6 +35,23 @@ def test_template_text_goes_where_no_article_is_marked(spark):
     assert alone[1].text.startswith("Welcome to our site\nStory 1 begins")
 
 
+def test_template_text_goes_inside_an_article(spark):
+    bar = "<div><span>Share this story</span></div>"
+    page = "<body><article><h1>Story {i}</h1>" + bar + "<p>It begins {i} here</p><div>Written by the staff of our house, who you can reach by mail</div><p>Ends {i}</p>" + bar + "</article></body>"
+    got = texts(spark, [(i, "http://h.org", page.format(i=i)) for i in range(8)])
+    assert got[3].text == "Story 3\nIt begins 3 here\nEnds 3" and got[3].slots == 3
+    copies = texts(spark, [(i, f"http://h.org/?from={i}", page.format(i=1)) for i in range(8)])  # of one page, from which no template is known
+    assert copies[3].text.startswith("Story 1\nShare this story\nIt begins 1 here")
+
+
+def test_template_words_count_only_where_the_template_has_them():
+    tokens, _ = H.parse("<p>a<p>b<p>c")
+    a, b, c = (tokens[i] for i in (1, 3, 5))
+    frame = {a: 0, b: 1}
+    assert H.extract("<p>b<p>x<p>a", frame, {})[0] in ("x\na", "b\nx")  # out of order: one of them is data
+    assert H.extract("<p>c<p>a<p>c<p>b<p>c", frame, {c: 2})[0] == "c\nc"  # nested in the last slot only
+
+
 def test_classes_are_tokens_of_equal_occurrences(spark):
     df = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><article>{'<p>x' * (i % 3 + 1)}</article></body>") for i in range(9)], "page_id long, url string, html string")
     tokens, _ = H.parse("<body><article><p>x</article></body>")
