@@ -11,7 +11,7 @@ the same sums and number of pages have the same vector.  So classes come from on
 ever together in one task.  Copies of a page count once.  A host of fewer than ``min_pages`` pages takes the template of all hosts.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, by their elements' names,
-classes and ids, are left out afterwards.  If some slot left is in an article or main element only such slots are the text.
+whole classes and ids, are left out afterwards; but where no article outside such names has text, names do not count on elements that hold an article or main element.  If some slot left is in an article or main element only such slots are the text.
 """
 
 from __future__ import annotations
@@ -45,29 +45,39 @@ _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt",
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _WALL = {"p": {"article", "aside", "body", "div", "main", "section", "td", "th", "li", "blockquote"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _NEVER = frozenset("head nav footer aside form button select menu dialog object canvas".split())
-_OTHER = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|notices?|cookies?|consent|popup|modal|newsletter|subscribe"
-    r"|comments?|replies|disqus|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|complementary|contentinfo|search)(?![a-z])",
-    re.I,
-)
+_OTHER = r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menus?|nav|navbar|navigation|breadcrumbs?|masthead|notices?|cookies?|consent|popup|modal|newsletter|subscribe" \
+    r"|comments?|replies|disqus|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|complementary|contentinfo|search|footer|header"
+# Whole names alone: listed words, and between them words that say nothing of the content.
+_NAMED = re.compile(rf"(?:(?:site|top|bottom|left|right|main|global)[-_])*(?:{_OTHER})(?:[-_](?:{_OTHER}|bar|box|area|list|section|block|wrap|wrapper|container|widget|links?|buttons?))*[-_]?\d*", re.I)
 _INSIDE = frozenset(("article", "main"))
 SHORT = 8
 _SALT = series(4, 8) | np.uint64(1)
 
 
 class Node:
-    """A text node: its text, its path's hash, its place among the page's tokens and whether it can be main text."""
+    """A text node: its text, its path's hash, its place among the page's tokens, whether its elements can hold main text, the elements around it whose names say that they do not, and whether it is in an article."""
+
+    __slots__ = ("text", "path", "at", "open", "named", "inside")
+
+    def __init__(self, text: str, path: int, at: int, is_open: bool, named: tuple[int, ...], inside: bool):
+        self.text, self.path, self.at, self.open, self.named, self.inside = text, path, at, is_open, named, inside
 
-    __slots__ = ("text", "path", "at", "open", "inside")
 
-    def __init__(self, text: str, path: int, at: int, is_open: bool, inside: bool):
-        self.text, self.path, self.at, self.open, self.inside = text, path, at, is_open, inside
+def _other(names: str, inside: bool) -> bool:
+    """Whether some whole name is one of other content; a header in an article is the article's."""
+    return any(_NAMED.fullmatch(x) and not (inside and "header" in x.lower()) for x in names.split())
 
 
 def parse(page: str) -> tuple[list[int], list[Node | None]]:
     """The page's tokens as hashes in their roles; its text nodes in order, None where a block ends."""
+    return _parse(page)[:2]
+
+
+def _parse(page: str) -> tuple[list[int], list[Node | None], set[int]]:
+    """As parse, and the named elements that hold an article or main element."""
     tokens, nodes = [], []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]  # name, path, open, inside an article
+    stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, True, (), False)]  # name, path, open, named elements, inside an article
+    holders: set[int] = set()
     digest = xxhash.xxh64_intdigest
 
     def shut(depth: int) -> None:
@@ -76,15 +86,15 @@ def parse(page: str) -> tuple[list[int], list[Node | None]]:
 
     for m in _TOKEN.finditer(page):
         text, name = m["text"], m["name"]
-        _, path, is_open, inside = stack[-1]
+        _, path, is_open, named, inside = stack[-1]
         if text is not None:
             plain = entities.unescape(text)
             words = plain.split()
             if words:
-                nodes.append(Node(plain, path, len(tokens), is_open, inside))
+                nodes.append(Node(plain, path, len(tokens), is_open, named, inside))
                 tokens.extend(digest(w, path) for w in words) if len(words) <= SHORT else tokens.append(digest(" ".join(words), path))
             elif plain:
-                nodes.append(Node(" ", path, len(tokens), is_open, inside))
+                nodes.append(Node(" ", path, len(tokens), is_open, named, inside))
             continue
         if name is None:
             continue
@@ -100,7 +110,7 @@ def parse(page: str) -> tuple[list[int], list[Node | None]]:
                     nodes.append(None)
             continue
         if name == "br":
-            nodes.append(Node(" ", path, len(tokens), is_open, inside))
+            nodes.append(Node(" ", path, len(tokens), is_open, named, inside))
         if name in _INLINE:
             tokens.append(digest("<" + name, path))
             continue
@@ -112,16 +122,20 @@ def parse(page: str) -> tuple[list[int], list[Node | None]]:
                     break
                 if stack[depth][0] in wall:
                     break
-        _, path, is_open, inside = stack[-1]
+        _, path, is_open, named, inside = stack[-1]
         names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m["rest"])) if m["rest"] else ""
         role = digest("<" + name + "." + names, path)
         tokens.append(role)
         nodes.append(None)
         if name not in _VOID and not m["rest"].endswith("/"):
             inside_now = inside or name in _INSIDE
-            closed = name in _NEVER or (name == "header" and not inside_now) or (name not in ("body", "html", "article", "main") and bool(_OTHER.search(names)))
-            stack.append((name, role, is_open and not closed, inside_now))
-    return tokens, nodes
+            closed = name in _NEVER or (name == "header" and not inside_now)
+            if name in _INSIDE and not inside:
+                holders.update(named)
+            elif name not in ("body", "html", "article", "main") and _other(names, inside_now):
+                named = (*named, len(tokens))
+            stack.append((name, role, is_open and not closed, named, inside_now))
+    return tokens, nodes, holders
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +216,7 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
 
     frame: the rank of each token; nested: the slot in which each token's class begins.
     """
-    tokens, nodes = parse(page)
+    tokens, nodes, holders = _parse(page)
     cuts = slots(tokens, frame)
     places, ranks = set(cuts), [frame[tokens[c]] for c in cuts]
 
@@ -216,13 +230,13 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
         k = bisect_left(cuts, place)
         return slot <= (ranks[k] if k < len(cuts) else len(frame))
 
-    blocks: list[tuple[str, bool, bool, set[int]]] = []  # text, open, inside an article, slots
+    blocks: list[tuple[str, tuple[int, ...], bool, set[int]]] = []  # text, named elements, inside an article, slots
     block: list[Node] = []
 
     def end() -> None:
         own = [(n, n.at + i) for n in block for i in range(_size(n.text))]
-        if own and not all(fixed(place) for _, place in own):
-            blocks.append((_SPACE.sub(" ", "".join(n.text for n in block)).strip(), own[0][0].open, own[0][0].inside, {bisect_left(cuts, n.at) for n, _ in own}))
+        if own and own[0][0].open and not all(fixed(place) for _, place in own):
+            blocks.append((_SPACE.sub(" ", "".join(n.text for n in block)).strip(), own[0][0].named, own[0][0].inside, {bisect_left(cuts, n.at) for n, _ in own}))
         block.clear()
 
     for n in nodes:
@@ -231,8 +245,9 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
         else:
             block.append(n)
     end()
-    kept = [b for b in blocks if b[1]]
-    kept = [b for b in kept if b[2]] or kept
+    named = [b for b in blocks if not b[1]]
+    freed = [b for b in blocks if holders.issuperset(b[1])]  # no name closes an element that holds the page's article
+    kept = [b for b in named if b[2]] or [b for b in freed if b[2]] or freed
     return "\n".join(b[0] for b in kept), len(set().union(*(b[3] for b in kept))), len(cuts)
 
 

@@ -52,6 +52,18 @@ def test_template_words_count_only_where_the_template_has_them():
     assert H.extract("<p>c<p>a<p>c<p>b<p>c", frame, {c: 2})[0] == "c\nc"  # nested in the last slot only
 
 
+@pytest.mark.parametrize("wrap", ['<div class="layout no-sidebar">{}</div>', '<div id="page" class="has-sidebar">{}</div>', '<div class="banner">{}</div>', '<div class="x"><div id="search">{}</div></div>'])
+def test_names_close_no_element_that_holds_the_article(wrap):
+    page = wrap.format('<p>Out</p><article><div class="article-header"><h1>Head</h1></div><p>Text</p><section class="related-work">Work</section><div class="social-science">Field</div><div class="share-buttons">Post it</div></article>')
+    assert H.extract(page, {}, {})[0] == "Head\nText\nWork\nField"
+
+
+def test_names_still_close_what_is_beside_the_article():
+    page = '<div class="sidebar ad">Buy</div><article>Text</article><div id="comments"><article class="comment">Nice</article></div>'
+    assert H.extract(page, {}, {})[0] == "Text"
+    assert H.extract('<div class="site-header">Top</div><p>Text</p><div class="cookie-notice-2">We use</div><div class="no-menu">More</div>', {}, {})[0] == "Text\nMore"
+
+
 def test_classes_are_tokens_of_equal_occurrences(spark):
     df = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><article>{'<p>x' * (i % 3 + 1)}</article></body>") for i in range(9)], "page_id long, url string, html string")
     tokens, _ = H.parse("<body><article><p>x</article></body>")
