@@ -4,7 +4,7 @@ A benchmark item of L words is looked for in every window of L words of every te
 its five-word shingles, each counted as often as it stands there.  Fingerprints are cut into eight blocks of eight
 bits; two fingerprints within the radius of 23 bits agree in some block up to two bits, so looking up each block's
 neighbours (37 of its 256 values) finds every item within the radius.  A window and an item within it are then compared exactly: the sum of
-the smaller counts of each shingle over the sum of the larger ones.
+the smaller counts of each shingle over the sum of the larger ones.  A text of fewer words than the item is one window, the whole of it.
 
 A window without any shingle of any item has similarity 0 with all of them; only the others are
 fingerprinted, which leaves out nothing.  Each text is worked through on its own, in the task that read it: no shuffle.
@@ -80,48 +80,71 @@ class Index:
         most = max(sizes) - m + 1
         cuts = np.flatnonzero(np.diff(hit) > 2 * most) + 1  # hits further apart share no window
         for near_by in np.split(hit, cuts):
-            for part in np.split(near_by, np.arange(4096, len(near_by), 4096)):
-                low = max(0, int(part[0]) - most)
-                total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(h[low : int(part[-1]) + most]), axis=0)])
+            for at in range(0, len(near_by), 4096):  # windows by where they begin: up to the 4096th hit from here, after the hit before
+                first = int(near_by[at - 1]) + 1 if at else max(0, int(near_by[0]) - most)
+                low, last = max(first, int(near_by[at]) - most), int(near_by[min(at + 4096, len(near_by)) - 1])
+                part = near_by[at : np.searchsorted(near_by, last + most)]
+                total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(h[low : last + most]), axis=0)])
                 for size in sizes:
-                    self._search(h, part, low, total, size, size - m + 1, threshold, best)
+                    self._search(h, part, low, last, total, size, size - m + 1, threshold, best)
+        for size in sizes:
+            if len(h) < size - m + 1:
+                self._whole(h, hit, m, size, threshold, best)
         return best
 
-    def _search(self, h: np.ndarray, hit: np.ndarray, low: int, total: np.ndarray, size: int, width: int, threshold: float, best: dict) -> None:
-        """The windows of one size that hold a hit; total: the sums of the signs of the shingles from ``low`` on."""
+    def _near(self, mine: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint and an item of a table that agree in some block up to NEAR bits."""
+        near = table[0][mine[:, 0]]
+        for b in range(1, BLOCKS):
+            near |= table[b][mine[:, b]]
+        return np.nonzero(near)
+
+    def _whole(self, h: np.ndarray, hit: np.ndarray, m: int, size: int, threshold: float, best: dict) -> None:
+        """A whole text, shorter than the items of this size."""
         ids, counts, prints, table = self.by_size[size]
-        first = max(0, int(hit[0]) - width + 1)
-        last = min(int(hit[-1]), len(h) - width)
+        width = size - m + 1
+        if len(hit) * (1 + threshold) < threshold * (len(h) + width) - 1e-9:
+            return
+        mine = simhash(_signs(h).sum(axis=0)[None, :])
+        for y in self._near(mine, table)[1].tolist():
+            if _ONES[mine[0] ^ prints[y]].sum() <= RADIUS:
+                self._keep(best, int(ids[y]), similarity(h.tolist(), counts[y], width), 0, len(h) + m - 1, threshold)
+
+    def _keep(self, best: dict, item: int, score: float, p: int, words: int, threshold: float) -> None:
+        if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
+            best[item] = (score, p, words)
+
+    def _search(self, h: np.ndarray, hit: np.ndarray, low: int, last: int, total: np.ndarray, size: int, width: int, threshold: float, best: dict) -> None:
+        """The windows of one size that hold a hit and begin from ``low`` to ``last``; hit: all hits in them; total: the sums of the signs of the shingles from ``low`` on."""
+        ids, counts, prints, table = self.by_size[size]
+        first = max(low, int(hit[0]) - width + 1)
+        last = min(last, len(h) - width)
         if last < first:
             return
-        inside = np.zeros(last - first + 2 + width, dtype=np.int32)
+        hit = hit[hit < last + width]
+        inside = np.zeros(last - first + 2, dtype=np.int32)
         np.add.at(inside, np.maximum(hit - width + 1, first) - first, 1)
         np.add.at(inside, np.minimum(hit, last) + 1 - first, -1)
         held = np.cumsum(inside)[: last - first + 1]  # hits in each window: at least its shingles in common with any item
         begin = np.flatnonzero(held > 0) + first
         mine = simhash(total[begin - low + width] - total[begin - low])
-        near = table[0][mine[:, 0]]
-        for b in range(1, BLOCKS):
-            near |= table[b][mine[:, b]]
-        w, i = np.nonzero(near)
+        w, i = self._near(mine, table)
         enough = held[begin[w] - first] * (1 + threshold) >= 2 * threshold * width - 1e-9
         w, i = w[enough], i[enough]
         close = _ONES[mine[w] ^ prints[i]].sum(axis=1) <= RADIUS
         for x, y in zip(w[close].tolist(), i[close].tolist()):
             p = int(begin[x])
-            score = similarity(h[p : p + width].tolist(), counts[y], width)
-            item = int(ids[y])
-            if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
-                best[item] = (score, p, size)
+            self._keep(best, int(ids[y]), similarity(h[p : p + width].tolist(), counts[y], width), p, size, threshold)
 
 
 def similarity(window: list[int], item: Counter, total: int) -> float:
-    """Weighted Jaccard similarity of a window and an item of ``total`` shingles each."""
+    """Weighted Jaccard similarity of a window and an item of ``total`` shingles."""
+    both = len(window) + total
     common = sum(s in item for s in window)
-    if common * 5 < total * 2:  # then it is under 0.25
+    if common * 5 < both:  # then it is under 0.25
         return 0.0
     common = sum(min(c, item[s]) for s, c in Counter(window).items() if s in item)
-    return common / (2 * total - common)
+    return common / (both - common)
 
 
 def _find(broadcast, names: list[str], threshold: float):
@@ -160,7 +183,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, words: int = 5, threshold:
     """docs with ``matches``: for each item of ``items`` (item_id, text) that a window of the text reaches, the best similarity and where it begins.
 
     At most ``most_words`` words of items are sent to the executors at once: more are taken in passes over the same rows.  A
-    null or empty text has no matches; an item without words, or with a null id, is never found.  An item of fewer words than a shingle is
+    text shorter than an item is compared with it as a whole.  A null or empty text has no matches; an item without words, or with a null id, is never found.  An item of fewer words than a shingle is
     found as those words in a row.  Items that share an id are both looked for, and the better one reported.  Other columns of docs
     are kept; a column ``matches`` is replaced.  An empty table on either side gives no matches.
     """

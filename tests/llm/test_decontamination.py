@@ -41,6 +41,30 @@ def test_agrees_with_all_windows(spark):
     assert got == want and sum(map(len, want.values())) > 10
 
 
+def matches(text, items):
+    index = X.Index([i for i, _ in items], [t for _, t in items], 5)
+    data, at = X.utf8(X.pa.array([text]))
+    starts, ends, first = X.spans(data, at)
+    h, _ = X.windows(X.hashes(data, starts, ends), first, 5)
+    return {i: (round(s, 9), p, n) for i, (s, p, n) in index.search(h, index.hits(h, 5), 5, 0.8).items()}
+
+
+def test_items_at_every_place_of_a_long_run_of_hits():
+    items = [(i, words(60, 100 + i)) for i in range(300)]
+    for gap in ("", " between the items"):
+        got = matches(gap.join(" " + t for _, t in items), items)  # 16800 hits
+        assert {*got} == set(range(300)) and {x[0] for x in got.values()} == {1.0}
+        assert [got[i][1] for i in range(300)] == [i * (60 + len(gap.split())) for i in range(300)]
+
+
+def test_shortened_items_are_found_as_whole_texts():
+    items = [(i, words(60, 100 + i)) for i in range(20)]
+    for i, t in items:
+        assert matches(" ".join(t.split()[:-2]), items) == {i: (round(54 / 56, 9), 0, 58)}
+        assert matches(" ".join(t.split()[1:]), items) == {i: (round(55 / 56, 9), 0, 59)}
+        assert matches(" ".join(t.split()[:40]), items) == {}
+
+
 def test_passes_over_many_items_agree(spark):
     items = spark.createDataFrame([(i, words(20, i)) for i in range(30)], "item_id long, text string")
     docs = spark.createDataFrame([(i, words(30, 1000 + i) + " " + words(20, i)) for i in range(30)], "doc_id long, text string")
