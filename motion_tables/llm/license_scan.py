@@ -5,7 +5,9 @@ anchors, the longest increasing run of them is kept, and the gaps between are al
 gives its equal head and tail.  Coverage is the share of the template's words that are aligned.
 
 Only places that could reach the coverage are aligned: a text must hold enough of the template's words, counted with repeats, and so must a
-stretch of ``slack`` times the template's length.  Both bounds leave out nothing that the alignment could find there.  Each text is
+window of ``slack`` times the template's length.  Both bounds leave out nothing that the alignment could find there.  From each word of the template on, the window
+of its length and the one of ``slack`` times that are aligned; the best is reported and the words before and after it are scanned in the same way.  A
+short notice or header counts only if the name and version in it stand there too.  Each text is
 worked through on its own in the task that read it: no shuffle.
 """
 
@@ -39,6 +41,21 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+# Runs of words that a find of the template must hold: its name and version.
+NAMES = {
+    "MIT-notice": ["MIT"],
+    "Apache-2.0-notice": ["Apache License", "2.0"],
+    "GPL-3.0-notice": ["GNU General Public License", "3"],
+    "CC-BY-NC-4.0-notice": ["CC BY-NC 4.0"],
+    "CC-BY-4.0-notice": ["CC BY 4.0"],
+    "CC-BY-SA-4.0-notice": ["CC BY-SA 4.0"],
+    "CC0-1.0-notice": ["CC0 1.0"],
+    "BSD-3-Clause-notice": ["BSD 3-Clause"],
+    "MPL-2.0-header": ["Mozilla Public License", "2.0"],
+    "GPL-3.0-header": ["GNU General Public License", "3"],
+    "Apache-2.0-header": ["Apache License", "2.0"],
+}
+
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + list(range(128, 256))] = True
 _LOWER = series(256, 1)
@@ -94,10 +111,21 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def trimmed(pairs: list[tuple[int, int]], need: float) -> list[tuple[int, int]]:
+    """Pairs without those at either end that are fewer than the other words between them and the rest, if the rest is enough."""
+    start, total, best = 0, 0, (0, 0, 0)
+    for i in range(len(pairs)):
+        gap = pairs[i][0] - pairs[i - 1][0] - 1 if i > start else 0
+        start, total = (i, 1) if total < gap else (start, total - gap + 1)
+        best = max(best, (total, -start, i + 1))
+    rest = pairs[-best[1] : best[2]]
+    return rest if len(rest) >= need else pairs
+
+
 class Scanner:
     """Templates by name, with the bounds of what can reach the coverage."""
 
-    def __init__(self, templates: dict[str, str], coverage: float, slack: float):
+    def __init__(self, templates: dict[str, str], coverage: float, slack: float, phrases: dict[str, list[str]]):
         names = [n for n in templates if templates[n]]
         h, at = tokens(pa.array([templates[n] for n in names], pa.string()))
         self.coverage, self.slack = coverage, slack
@@ -109,7 +137,8 @@ class Scanner:
             own = h[at[i] : at[i + 1]]
             if len(own):
                 ids, times = np.unique(np.searchsorted(self.words, own), return_counts=True)
-                self.templates.append((name, own.tolist(), ids, times))
+                said = [tokens(pa.array([x], pa.string()))[0].tolist() for x in phrases.get(name, ())]
+                self.templates.append((name, own.tolist(), ids, times, said))
 
     def scan(self, h: np.ndarray, at: np.ndarray) -> dict[int, list[dict]]:
         """Licenses found in each row."""
@@ -121,15 +150,16 @@ class Scanner:
         rows, n = len(at) - 1, len(self.words)
         counts = np.bincount(row * n + word, minlength=rows * n).reshape(rows, n)
         found: dict[int, list[dict]] = {}
-        for name, own, ids, times in self.templates:
+        for name, own, ids, times, said in self.templates:
             need = self.coverage * len(own) - 1e-9
+            limit = np.zeros(n, dtype=np.int64)
+            limit[ids] = times
             for r in np.flatnonzero(np.minimum(counts[:, ids], times).sum(axis=1) >= need).tolist():
                 mine = row == r
-                places = hit[mine][np.isin(word[mine], ids)] - at[r]
-                for a, b in self._stretches(places, len(own), need):
-                    pairs = patience(h[at[r] + a : at[r] + b].tolist(), own)
-                    if len(pairs) >= need:
-                        found.setdefault(r, []).append({"license_id": name, "coverage": len(pairs) / len(own), "first_word": a + pairs[0][0], "words": pairs[-1][0] - pairs[0][0] + 1, "aligned": len(pairs)})
+                mine[mine] = limit[word[mine]] > 0
+                text = h[at[r] : at[r + 1]].tolist()
+                for pairs in self._finds(text, hit[mine] - at[r], word[mine], own, limit, need, said):
+                    found.setdefault(r, []).append({"license_id": name, "coverage": len(pairs) / len(own), "first_word": pairs[0][0], "words": pairs[-1][0] - pairs[0][0] + 1, "aligned": len(pairs)})
         return {r: self._best(x) for r, x in found.items()}
 
     def _best(self, found: list[dict]) -> list[dict]:
@@ -140,27 +170,64 @@ class Scanner:
                 kept.append(m)
         return sorted(({k: v for k, v in m.items() if k != "aligned"} for m in kept), key=lambda m: m["first_word"])
 
-    def _stretches(self, places: np.ndarray, size: int, need: float) -> list[tuple[int, int]]:
-        """Stretches of text, none overlapping, in which some window of slack times the template holds enough of its words."""
-        width = int(size * self.slack) + 1
-        ends = np.searchsorted(places, places + width)
-        out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(ends - np.arange(len(places)) >= need).tolist():
-            a, b = int(places[i]), int(places[ends[i] - 1]) + 1
-            if out and a < out[-1][1] and b - out[-1][0] <= 2 * width:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            elif not out or a >= out[-1][1] or b - out[-1][1] >= need:
-                out.append((a, b))
+    def _finds(self, text: list, places: np.ndarray, word: np.ndarray, own: list, limit: np.ndarray, need: float, said: list[list]) -> list[list[tuple[int, int]]]:
+        """Aligned pairs of each place of a template, none overlapping, given where its words stand in the text."""
+        size, width = len(own), int(len(own) * self.slack) + 1
+        bounds = []
+        for i, j in self._windows(places, width, need):
+            for k in {int(np.searchsorted(places, places[i] + size)), j}:
+                bound = int(np.minimum(np.bincount(word[i:k], minlength=len(limit)), limit).sum())
+                if bound >= need:
+                    bounds.append((-bound, int(places[i]), int(places[k - 1]) + 1))
+        bounds.sort()
+        aligned: dict[tuple[int, int], list] = {}
+        out, todo = [], [(0, len(text))]
+        while todo:
+            low, high = todo.pop()
+            best: tuple | None = None
+            for bound, a, b in bounds:
+                if best and -bound < best[0]:
+                    break
+                if a < low or b > high:
+                    if a >= high or b <= low or a < low:
+                        continue
+                    b = high
+                if b - a < need:
+                    continue
+                if (a, b) not in aligned:
+                    pairs = trimmed(patience(text[a:b], own), need)
+                    aligned[a, b] = [(a + x, y) for x, y in pairs] if len(pairs) >= need else []
+                pairs = aligned[a, b]
+                if pairs and all(self._holds(text[pairs[0][0] : pairs[-1][0] + 1], x) for x in said):
+                    key = (len(pairs), pairs[0][0] - pairs[-1][0], -a)
+                    if best is None or key > best[:3]:
+                        best = (*key, pairs)
+                    if len(pairs) == size == pairs[-1][0] - pairs[0][0] + 1:
+                        break
+            if best:
+                pairs = best[3]
+                out.append(pairs)
+                todo += [(low, pairs[0][0]), (pairs[-1][0] + 1, high)]
         return out
 
+    @staticmethod
+    def _holds(words: list, run: list) -> bool:
+        return any(words[i : i + len(run)] == run for i in range(len(words) - len(run) + 1))
+
+    def _windows(self, places: np.ndarray, width: int, need: float) -> list[tuple[int, int]]:
+        """Runs of places that a window of slack times the template from one of them on holds, if those could be enough."""
+        ends = np.searchsorted(places, places + width)
+        at = np.flatnonzero(ends - np.arange(len(places)) >= need)
+        return list(zip(at.tolist(), ends[at].tolist()))
+
 
-def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage: float = 0.8, slack: float = 1.3) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, coverage: float = 0.8, slack: float = 1.3, names: dict[str, list[str]] | None = None) -> DataFrame:
     """docs with ``licenses``: for each place where a template is covered its id, the coverage, and the first word and number of words of the place.  Of places that overlap the one with most words aligned is kept.
 
     A null or empty text has none; neither has a template without words.  Templates are a setting, a few pages of text, not data.  A column of
-    the name is replaced, others are kept; equal rows are treated alike; an empty table gives an empty result.
+    the name is replaced, others are kept; a find must hold the runs of words that ``names`` has for its template; equal rows are treated alike; an empty table gives an empty result.
     """
-    scanner = Scanner(TEMPLATES if templates is None else templates, coverage, slack)
+    scanner = Scanner(TEMPLATES if templates is None else templates, coverage, slack, names if names is not None else NAMES if templates is None else {})
     out = docs.withColumn("licenses", F.lit(None).cast(KIND))
     names = out.columns
     at_text, at_found = names.index("text"), names.index("licenses")

@@ -45,6 +45,21 @@ def test_edited_and_repeated_and_absent(spark):
     assert got[2:] == [[], [], [], []]
 
 
+def test_copies_side_by_side(spark):
+    notice, mit = L.TEMPLATES["MIT-notice"], L.TEMPLATES["MIT"]
+    one, two = "edit " + mit.split(" ", 1)[1], mit.rsplit(" ", 1)[0] + " edit"
+    got = found(spark, [f"{notice} {notice}", f"{notice} " * 5, f"{one} {two}", f"{mit} {mit} {mit}", f"{two} {one}"])
+    size = len(L.tokens(L.pa.array([mit]))[0])
+    assert [m[2] for m in got[0]] == [0, 5] and [m[2] for m in got[1]] == [0, 5, 10, 15, 20]
+    assert [m[::2] for m in got[2]] == [("MIT", 1), ("MIT", size)] and [m[2] for m in got[3]] == [0, size, 2 * size]
+    assert [m[::2] for m in got[4]] == [("MIT", 0), ("MIT", size + 1)]
+
+
+def test_neighbouring_licenses_are_not_taken_for_it(spark):
+    got = found(spark, ["Released under the BSD License.", "Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC 3.0."])
+    assert got == [[]] * 6
+
+
 def test_scattered_words_are_no_license(spark):
     spread = " ".join(w + " " + words(40, i) for i, w in enumerate(L.TEMPLATES["GPL-3.0-notice"].split()))
     assert found(spark, [spread]) == [[]]
