@@ -6,7 +6,7 @@ place), then the word's class and the word within its class, each by a softmax.
 1. Word counts over all documents: each task sums its own, one aggregation merges them; the most frequent words get ids of their own, the
    rest share hashed ids.
 2. Training over all documents, in rounds: each task runs Adagrad from the round's parameters over a share of the positions (the masked ones, by
-   hash, others each round), and parameters are averaged by words seen, in an aggregation.  What is gathered grows with the tasks.
+   hash, others each round, until each was masked once), and parameters are averaged by words seen, in an aggregation.  What is gathered grows with the tasks.
 3. One pass scores every word of every document.
 """
 
@@ -24,6 +24,7 @@ from .words import hashes, mix, spans, utf8
 CLASSES, WITHIN, WIDTH, REACH = 32, 32, 24, 2
 VOCABULARY = CLASSES * WITHIN
 OWN = 768
+SHARE = ROUNDS = 8
 PAD = VOCABULARY
 ROW = 32
 _SHAPES = [(2 * REACH, VOCABULARY + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, WITHIN), (CLASSES, WITHIN)]
@@ -168,7 +169,13 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], order
 
 
-def trained(docs: DataFrame, known: np.ndarray, rank: np.ndarray, *, rounds: int = 2, share: int = 8, batch_words: int = 2048, rate: float = 0.1) -> Params:
+def masked(h: np.ndarray, first: np.ndarray, turn: int, share: int = SHARE) -> np.ndarray:
+    """Whether each position is a target of a round: in ``share`` rounds each is once."""
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    return mix(h ^ (place.astype(np.uint64) << np.uint64(20))) % np.uint64(share) == np.uint64(turn % share)
+
+
+def trained(docs: DataFrame, known: np.ndarray, rank: np.ndarray, *, rounds: int = ROUNDS, share: int = SHARE, batch_words: int = 2048, rate: float = 0.1) -> Params:
     """Parameters after ``rounds`` passes over all texts; each masks one in ``share`` of the positions."""
     p = Params.fresh()
     for turn in range(rounds):
@@ -183,8 +190,7 @@ def trained(docs: DataFrame, known: np.ndarray, rank: np.ndarray, *, rounds: int
                     h, first = word_hashes(batch.column(0).slice(low, 256))
                     word = ids(h, known, rank)
                     around = neighbours(word, first)
-                    place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))
-                    pick = mix(h ^ (place.astype(np.uint64) << np.uint64(20))) % np.uint64(share) == np.uint64(turn % share)
+                    pick = masked(h, first, turn, share)
                     held.append((word[pick], around[:, pick]))
                     while sum(len(w) for w, _ in held) >= batch_words:
                         w, a = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], axis=1)

@@ -51,6 +51,12 @@ def test_documents_beat_word_frequencies_of_the_start(spark):
     assert got["log_likelihood"].sum() / got["n_tokens"].sum() > -np.log(L.VOCABULARY) + 0.4
 
 
+def test_every_position_is_a_target_once():
+    h, first = L.word_hashes(pa.array([" ".join(f"w{i % 50}" for i in range(2000)), None, "a b a b"]))
+    assert (sum(L.masked(h, first, turn).astype(int) for turn in range(L.ROUNDS)) == 1).all()
+    assert L.trained.__kwdefaults__["rounds"] == L.ROUNDS == L.trained.__kwdefaults__["share"]
+
+
 def test_parameters_survive_their_rows():
     p = L.Params.fresh()
     assert all(np.array_equal(a, b) for a, b in zip(p, L.Params.of(p.rows())))
