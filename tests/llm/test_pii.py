@@ -1,6 +1,9 @@
 import re
+import time
+from collections import defaultdict
 
 import pytest
+import regex
 
 from motion_tables.llm import pii
 
@@ -42,7 +45,8 @@ def test_type_format_gender_and_script(replaced):
     assert names[0].split()[0] == "Mr." and names[0].split()[1] in pii.FIRST["latin"]["m"] and names[1].split()[0] == "Mrs" and names[2].startswith("Frau ")
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", e[2][0][1]) and re.fullmatch(r"\+1 \d{3} \d{3} \d{4}", e[2][1][1])
     cards = [s for k, s in e[2] if k == "card"]
-    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", cards[0]) and luhn(cards[0]) and not luhn(TEXTS[1][1][-16:])
+    assert len(cards) == 2 and re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", cards[0]) and luhn(cards[0])
+    assert not luhn(TEXTS[1][1][-16:]) and replaced[2].text.endswith(TEXTS[1][1][-16:])  # no card
     assert re.fullmatch(r"[0-9a-f]{40}", e[3][0][1]) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", e[3][1][1])
     assert re.search(r"[А-я]", e[3][2][1].split()[-1]) and re.search(r"[Α-ω]", e[3][3][1].split()[-1])
 
@@ -53,17 +57,72 @@ def test_coreference(replaced):
     assert name(e[1][0][1]) == name(e[1][1][1]) == name(e[5][0][1])
     assert e[1][3] == e[1][4] == e[5][1] and e[1][5] == e[5][2]
     digits = [re.sub(r"\D", "", s) for _, s in e[2]]
-    assert digits[0] == digits[1] and digits[2] == digits[3] != digits[4]
-
-
-def test_distinct_values_stay_distinct(spark):
-    """A space of few values, so that draws collide: one-letter addresses of one domain."""
-    letters = "abcdefghijklm"
-    df = spark.createDataFrame([(i, f"{c}@mail.org and {c}1@mail.org") for i, c in enumerate(letters)], "doc_id long, text string")
-    rows = pii.replace_pii(df, key="z", most_draws=60).collect()
-    got = [x.surrogate for r in rows for x in r.entities]
-    real = {f"{c}{n}@mail.org" for c in letters for n in ("", "1")}
-    assert len(set(got)) == len(got) == 26 and not real & set(got)
+    assert digits[0] == digits[1] and digits[2] == digits[3] and len(digits) == 4
+
+
+def brute(spark, docs):
+    """Each entity's canonical parts, by plain Python, against the surrogates' parts: pairs that must be a one-to-one map of each kind."""
+    found = regex.compile(pii.ANY)
+    before = {r.doc_id: r.text for r in docs.collect()}
+    pairs = defaultdict(set)
+    for r in pii.replace_pii(docs, key="z").collect():
+        old = [m[0] for m in found.finditer(before[r.doc_id] or "")]
+        new = [m for m in old if len(re.sub(r"\D", "", m)) >= 13 and re.fullmatch(r"[\d -]+", m) and not luhn(m)]
+        old = [m for m in old if m not in new]
+        assert len(old) == len(r.entities) and all(m in r.text for m in new)
+        for o, e in zip(old, r.entities):
+            o, s = o.lower(), e.surrogate.lower()
+            if e.kind == "email":
+                pairs["local"].add((o.split("@")[0], s.split("@")[0]))
+                pairs["domain"].add((o.split("@")[1], s.split("@")[1]))
+            elif e.kind == "name":
+                pairs["last"].add((o.split()[-1], s.split()[-1]))
+            else:
+                digits = (lambda x: re.sub(r"\D", "", x)) if e.kind in ("phone", "card", "ssn") else str
+                pairs[e.kind].add((digits(o), digits(s)))
+    return pairs
+
+
+def one_to_one(pairs):
+    for found in pairs.values():
+        assert len({a for a, _ in found}) == len({b for _, b in found}) == len(found)
+        assert not {a for a, _ in found} & {b for _, b in found}
+
+
+def test_crowded_entities_stay_distinct(spark):
+    """26 addresses of one letter, and phone numbers that fill a third of the numbers of their length."""
+    rows = [(i, f"{c}@mail.org and {c}1@mail.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    rows += [(100 + i, f"+1 {i:02} {j:02}") for i in range(60) for j in range(0, 100, 5)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    pairs = brute(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(pairs["local"]) == 52 and len(pairs["domain"]) == 1 and len(pairs["phone"]) == 1200
+    one_to_one(pairs)
+
+
+def test_coreference_after_redraws(spark):
+    """More given names than the lists have: those drawn again change no surname, and each stays the same wherever it stands."""
+    given = [f"{a}{b}" for a in ("Al", "Be", "Ce", "Do", "Ev", "Fa", "Gi", "Ho") for b in ("an", "ber", "din", "fon", "gar")]
+    rows = [(i, f"Mr {g} Smith, Dr {g} Jones and Mr Smith") for i, g in enumerate(given)]
+    out = {r.doc_id: [e.surrogate.split() for e in r.entities] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    assert {x[0][2] for x in out.values()} == {x[2][1] for x in out.values()} and len({x[0][2] for x in out.values()}) == 1
+    assert all(x[0][1] == x[1][1] for x in out.values()) and len({x[0][1] for x in out.values()}) == len(given)
+
+
+def test_against_brute_force(spark):
+    pairs = brute(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    assert {"local", "domain", "ip", "phone", "card", "secret"} <= {*pairs}
+    one_to_one(pairs)
+
+
+def test_very_long_words(spark):
+    """A word of 100,000 characters takes no longer than another text of its length."""
+    n = 10**5
+    rows = [(0, "x" * n), (1, "a." * (n // 2)), (2, "a@" * (n // 2)), (3, "1" * n), (4, "0123456789abcdef" * (n // 16)), (5, "a@" + "b." * (n // 2)), (6, "sk-" * (n // 3)), (7, "+1" * (n // 2)), (8, "Mr A" + "b" * n), (9, "1.1." * (n // 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    began = time.time()
+    out = {r.doc_id: r for r in pii.replace_pii(df, key="k").collect()}
+    assert time.time() - began < 60
+    assert all(out[i].text == rows[i][1] for i in (0, 1, 2, 3, 7, 9)) and out[8].text != rows[8][1]
 
 
 def test_edges(edges, none):
