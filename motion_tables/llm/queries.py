@@ -112,10 +112,19 @@ WITH d AS (SELECT doc_id, source, coalesce('=' || source, '~') AS src, substr(md
     / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1)
 , s3 AS (SELECT *, max(CASE WHEN NOT most < weight * level THEN level END) OVER () AS shared FROM s2)
 , s4 AS (SELECT src, source_size, CASE WHEN most < weight * level THEN most ELSE least(most, weight * shared) END AS target, CAST(ceil(source_size / 128) AS BIGINT) AS blocks FROM s3)
-, s AS (SELECT *, CAST(least(floor(target / 128 + 0.5::DOUBLE), blocks * 3) AS BIGINT) AS quota FROM s4)
-, j AS (SELECT src, blocks, unnest(range(quota)) AS slot FROM s WHERE quota > 0)
-, r0 AS (SELECT j.src, blocks, slot, slot // blocks AS turn, slot % blocks AS place, CAST(('0x' || substr(md5('mix-1|' || src || '|shard|' || slot), 1, 15)) AS BIGINT) % 64 AS shard,
-    {", ".join(f"CAST(('0x' || substr(md5('mix-1|' || src || '|key|{r}'), 1, 15)) AS BIGINT) % blocks AS k{r}" for r in range(6))} FROM j){_SWAP}
+, s5 AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least(floor(target * blocks / source_size + 0.5::DOUBLE), blocks * 3) ELSE 0 END AS BIGINT) AS quota FROM s4)
+, s AS (SELECT *, CAST(sum(quota) OVER (ORDER BY src) - quota AS BIGINT) AS off, CAST(sum(quota) OVER () AS BIGINT) AS total FROM s5)
+, m AS (SELECT max(total) AS total, CAST(greatest(1, (max(total) + 63) // 64) AS BIGINT) AS per FROM s)
+, g AS (SELECT g // per AS shard, CAST(('0x' || substr(md5('mix-1|draw|' || g), 1, 15)) AS BIGINT) % total AS d FROM (SELECT per, total, unnest(range(total)) AS g FROM m))
+, c AS (SELECT shard, src, any_value(quota) AS quota, count(*) AS n FROM g JOIN s ON d >= off AND d < off + quota GROUP BY ALL)
+, c1 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src) AS BIGINT) AS every, CAST(sum(n) OVER (PARTITION BY src ORDER BY shard) AS BIGINT) AS high FROM c)
+, own AS (SELECT src, shard, high - n - floor(greatest(every - quota, 0) * (high - n) / every) AS low, high - floor(greatest(every - quota, 0) * high / every) AS high FROM c1)
+, room AS (SELECT k AS shard, CAST(least(per, total - k * per) - coalesce(o.n, 0) AS BIGINT) AS n FROM (SELECT per, total, unnest(range((total + per - 1) // per)) AS k FROM m) LEFT JOIN (SELECT shard, sum(high - low) AS n FROM own GROUP BY shard) o ON o.shard = k)
+, open_in AS (SELECT shard, row_number() OVER (ORDER BY shard) AS unit FROM (SELECT shard, unnest(range(n)) FROM room))
+, lack AS (SELECT src, slot, row_number() OVER (ORDER BY src, slot) AS unit FROM (SELECT s.src, unnest(range(CAST(coalesce(o.n, 0) AS BIGINT), quota)) AS slot FROM s LEFT JOIN (SELECT src, max(high) AS n FROM own GROUP BY src) o USING (src)))
+, j AS (SELECT src, shard, unnest(range(CAST(low AS BIGINT), CAST(high AS BIGINT))) AS slot FROM own UNION ALL SELECT src, shard, slot FROM lack JOIN open_in USING (unit))
+, r0 AS (SELECT j.src, blocks, slot, slot // blocks AS turn, slot % blocks AS place, shard,
+    {", ".join(f"CAST(('0x' || substr(md5('mix-1|' || src || '|key|{r}'), 1, 15)) AS BIGINT) % blocks AS k{r}" for r in range(6))} FROM j JOIN s USING (src)){_SWAP}
 , draws AS (SELECT src, place AS block, count(*) AS times, min(shard) AS shard FROM r6 GROUP BY ALL)
 , met AS (SELECT p.*, unnest(CASE WHEN size > 0 THEN range(CAST(start // 128 AS BIGINT), CAST((start + size - 1) // 128 + 1 AS BIGINT)) ELSE [NULL::BIGINT] END) AS block FROM place p)
 SELECT m.doc_id, m.size, s.source_size, s.target, CAST(coalesce(sum((least(m.start + m.size, (m.block + 1) * 128) - greatest(m.start, m.block * 128)) * d.times), 0) AS BIGINT) AS taken, CAST(min(d.shard) AS INTEGER) AS first_shard

@@ -54,6 +54,31 @@ def test_slots_permute_a_source_and_spread_over_shards(spark):
     assert per.shape[1] == 8 and (per.loc["=a"] > 100).all()
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources of 1 to 2,000 words: within a block's words of the target, and exact where that is three times the size."""
+    for sizes in ([50, 5000], [130, 9000], [300, 1, 40_000], [1, 50, 130, 300, 2000, 127, 129, 4000]):
+        docs = spark.createDataFrame([(100 * i + k, " ".join(["w"] * n), f"s{i}") for i, size in enumerate(sizes) for k, n in enumerate([size // 3, size - size // 3])], "doc_id long, text string, source string")
+        g = M.taken(M.mix_sources(docs)).toPandas().groupby("source").agg(size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+        assert ((g.taken - g.target).abs() <= 128).all(), g
+        assert (g.taken == g.target)[g.target == 3 * g["size"]].all(), g
+
+
+def test_shards_have_their_slots_and_draws(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 500), "abc"[i % 7 // 3]) for i in range(140)], "doc_id long, text string, source string")
+    m = M.mix_sources(docs, block_words=10, shards=32)
+    slots, sources, counts = m.slots.toPandas(), {r.src: r for r in m.sources.collect()}, m.counts.toPandas()
+    assert slots.groupby("src").size().to_dict() == {s: r.quota for s, r in sources.items() if r.quota}
+    size = -(-len(slots) // 32)
+    per = slots.groupby("shard").size()
+    assert (per.iloc[:-1] == size).all() and per.sum() == len(slots) == counts["drawn"].sum()
+    assert (counts.groupby("shard")["drawn"].sum() == per).all()
+    for s, r in sources.items():  # draws spread as those of a multinomial, and settling moves few slots
+        p = r.quota / len(slots)
+        n = counts[counts.src == s].set_index("shard")["drawn"].reindex(per.index, fill_value=0)
+        assert 0.3 < n.var() / (size * p * (1 - p)) < 3
+        assert (slots[slots.src == s].groupby("shard").size().reindex(per.index, fill_value=0) - n).abs().sum() < 8 * len(slots) ** 0.5
+
+
 def test_edges(edges, none):
     rows = M.taken(M.mix_sources(edges)).collect()
     assert len(rows) == edges.count() and all(r.taken <= 3 * r["size"] for r in rows) and all(r.taken == 0 for r in rows if r["size"] == 0)
