@@ -376,7 +376,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 value, first = word_scores(part.column(names.index("text")), own)
                 n = np.diff(first)
                 row = np.repeat(np.arange(len(n)), n)
-                score = np.bincount(row, value, minlength=len(n))
+                score = np.bincount(row, value, minlength=len(n)).astype(np.float64)  # whole numbers if there is no word
                 columns = list(part.columns)
                 columns[names.index("n_tokens")] = pa.array(n, pa.int64())
                 columns[names.index("log_likelihood")] = pa.array(score)
