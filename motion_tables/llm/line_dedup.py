@@ -6,6 +6,9 @@ sketch's error decides; lines near it get an exact distinct count.  Every occurr
 
 Before sketches are made, one plain aggregation leaves out lines that occur fewer times than sites are asked for,
 or on one site only: none of those can be boilerplate.
+
+A line may be a third of all rows.  Its occurrences are dealt out by a salt from their rows' keys: joins are on (line, salt), with the
+other side repeated for every salt, and what follows is summed in each task before it meets by line.
 """
 
 from __future__ import annotations
@@ -20,19 +23,29 @@ LG_K = 10
 ERROR = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
+#: Parts that the occurrences of a line are dealt into.
+SALTS = 32
+
+
+def salted(lines: DataFrame) -> DataFrame:
+    """Rows of one line each, repeated for every salt."""
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def normal(line: Column) -> Column:
     """A line without white space at its ends, in lower case."""
     return F.lower(F.btrim(line, F.lit(" \t\x0b\x0c\r")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes of the lines (line, site) that stand on at least min_sites sites."""
+    """Hashes of the lines (line, salt, site) that stand on at least min_sites sites."""
     counted = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
     spread = counted.where((F.col("n") >= min_sites) & ((F.col("low") != F.col("high")) | F.lit(min_sites <= 1)))
-    at = lines.select("line", "site").join(spread.select("line"), "line", "left_semi")
+    on = ["line", "salt"]
+    at = lines.select(*on, "site").join(salted(spread.select("line")), on, "left_semi")
     sketched = stored(at.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     near = sketched.where((F.col("sites") >= min_sites * (1 - ERROR)) & (F.col("sites") < min_sites * (1 + ERROR)))
-    exact = lines.select("line", "site").join(near.select("line"), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    exact = lines.select(*on, "site").join(salted(near.select("line")), on, "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("sites"))
     sure = sketched.where(F.col("sites") >= min_sites * (1 + ERROR))
     return sure.select("line").union(exact.where(F.col("sites") >= min_sites).select("line"))
 
@@ -50,13 +63,13 @@ def dedup_lines(docs: DataFrame, *, site: str = "source", min_sites: int = 6, mi
     key = row_key()
     cut = docs.select(key.alias("rkey"), "doc_id", F.xxhash64(site).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     line = normal(F.col("raw"))
-    lines = cut.withColumn("raw", line).where(F.length("raw") >= min_chars).select("rkey", "doc_id", "site", "pos", F.xxhash64("raw").alias("line"))
+    lines = cut.withColumn("raw", line).where(F.length("raw") >= min_chars).select("rkey", "doc_id", "site", "pos", F.xxhash64("raw").alias("line"), F.pmod("rkey", F.lit(SALTS)).cast("int").alias("salt"))
     lines = stored(lines, "lines")
     common = stored(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(common, "line").select("line", "rkey", "doc_id", "pos")
+    hits = lines.join(salted(common), ["line", "salt"]).select("line", "salt", "rkey", "doc_id", "pos")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "rkey", "pos")
     first = hits.groupBy("line").agg(F.min(place).alias("first"))
-    extra = hits.join(first, "line").where((F.col("rkey") != F.col("first.rkey")) | (F.col("pos") != F.col("first.pos")))
+    extra = hits.join(salted(first), ["line", "salt"]).where((F.col("rkey") != F.col("first.rkey")) | (F.col("pos") != F.col("first.pos")))
     removed = extra.groupBy("rkey").agg(F.collect_set("pos").alias("_removed_lines")).withColumnRenamed("rkey", "_row_of_lines")
 
     out = docs.withColumn("_row_of_lines", key).join(removed, "_row_of_lines", "left")

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this machine only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset a folder of this machine if all executors are on it, as in tests; else there is none that they share, and it raises."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
