@@ -26,6 +26,17 @@ def piecewise(pairs: DataFrame, names: list[str]) -> DataFrame:
     return p.select("pair_id", (F.col("u0") + F.col("i")).alias("user_frame"), (F.col("r0") + F.floor(F.col("i") / F.col("u") * F.col("r")).cast("int")).alias("ref_frame"))
 
 
+def two_phase(pairs: DataFrame) -> DataFrame:
+    """pair_id, user_frame, ref_frame of pairs (pair_id, u_frames, u_impact, r_frames, r_impact) in two straight lines, up to the impact and after it; a phase that is empty on a side is left out."""
+    frame = F.col("user_frame")
+    before = pairs.where("u_impact > 0 and r_impact > 0").select("pair_id", "u_impact", "r_impact", F.explode(F.sequence(F.lit(0).cast("long"), F.col("u_impact").cast("long"))).alias("user_frame"))
+    before = before.select("pair_id", "user_frame", F.floor(frame / F.col("u_impact") * F.col("r_impact")).cast("long").alias("ref_frame"))
+    rest = lambda k: F.col(f"{k}_frames") - 1 - F.col(f"{k}_impact")
+    after = pairs.where((rest("u") > 0) & (rest("r") > 0)).select("pair_id", "u_impact", "r_impact", rest("u").alias("u"), rest("r").alias("r"), F.explode(F.sequence(F.lit(1).cast("long"), rest("u").cast("long"))).alias("i"))
+    after = after.select("pair_id", (F.col("u_impact") + F.col("i")).alias("user_frame"), (F.col("r_impact") + F.floor(F.col("i") / F.col("u") * F.col("r"))).cast("long").alias("ref_frame"))
+    return before.unionByName(after)
+
+
 def smoothed(p: DataFrame) -> DataFrame:
     """Landmarks after Savitzky-Golay smoothing of each coordinate."""
     flat = p.select(KEY, "frame", "t_ms", F.posexplode(F.flatten(F.transform("lm", lambda q: F.array(q["x"], q["y"], q["z"])))).alias("k", "v"))

@@ -2,13 +2,12 @@
 
 import pytest
 
-from motion_tables.plans import catalog_queries, join_queries, label_queries, metric_queries, series_queries, shape_queries, space_queries
+from motion_tables.plans import queries
 
 from .oracle import same
 
 FOLDER = "/root/testdata/sf0.001"
-PARTS = (shape_queries, series_queries, join_queries, metric_queries, catalog_queries, space_queries, label_queries)
-CASES = [(n, p) for p in PARTS for n in p.QUERIES]
+CASES = [(n, p) for p in queries.PARTS for n in p.QUERIES]
 
 
 @pytest.mark.parametrize("name,part", CASES, ids=[n for n, _ in CASES])
