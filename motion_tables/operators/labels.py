@@ -77,14 +77,6 @@ def repaired_times(s: DataFrame, fps: float = 60.0) -> DataFrame:
     return s.select(KEY, "frame", "t_ms").groupBy(KEY).applyInPandas(walk, f"{KEY} {kind}, frame int, t_ms double, estimated boolean")
 
 
-def manifest_violations(streams: DataFrame) -> DataFrame:
-    """Rules of a capture manifest's streams (shot_id, camera_id, frame_count, first_ns, last_ns, dropped, gap_missing): shot_id, rule, all that are broken."""
-    rules = [(F.col("frame_count") <= 0, "stream without frames"), (F.col("last_ns") < F.col("first_ns"), "stream ends before it begins"), (F.col("gap_missing") > F.col("dropped"), "gaps miss more than were dropped")]
-    own = streams.select("shot_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules]))).alias("rule"))
-    twice = streams.groupBy("shot_id", "camera_id").agg(F.count("*").alias("n")).where("n > 1").select("shot_id", F.lit("camera named twice").alias("rule"))
-    return own.unionByName(twice)
-
-
 def position_rows(documents: DataFrame) -> DataFrame:
     """video_id, p, frame from annotation documents (doc, a JSON object of recordings to objects of positions with a frame); entries without a frame are left out."""
     m = documents.select(F.explode(F.from_json("doc", "map<string, map<string, struct<frame:int, timestamp_ms:double>>>")).alias("video_id", "positions"))

@@ -76,16 +76,6 @@ def repaired_times(spark, d):
     return rounded(L.repaired_times(s))
 
 
-@_R.add("c4_manifest_violations", """WITH st AS (SELECT l_orderkey AS shot_id, l_suppkey % 7 AS camera_id, CAST(l_quantity AS BIGINT) - 1 AS frame_count, CAST(l_extendedprice AS BIGINT) AS first_ns, CAST(l_extendedprice AS BIGINT) + l_partkey % 9 - 1 AS last_ns, l_linenumber % 3 AS dropped, l_partkey % 4 AS gap_missing FROM lineitem)
-SELECT shot_id, 'stream without frames' AS rule FROM st WHERE frame_count <= 0 UNION ALL SELECT shot_id, 'stream ends before it begins' FROM st WHERE last_ns < first_ns UNION ALL SELECT shot_id, 'gaps miss more than were dropped' FROM st WHERE gap_missing > dropped
-UNION ALL SELECT shot_id, 'camera named twice' FROM st GROUP BY shot_id, camera_id HAVING count(*) > 1""")
-def manifest_violations(spark, d):
-    l = D.table(spark, d, "lineitem")
-    first = F.bround("l_extendedprice").cast("long")
-    s = l.select(F.col("l_orderkey").alias("shot_id"), (F.col("l_suppkey") % 7).alias("camera_id"), (F.col("l_quantity").cast("long") - 1).alias("frame_count"), first.alias("first_ns"), (first + F.col("l_partkey") % 9 - 1).alias("last_ns"), (F.col("l_linenumber") % 3).alias("dropped"), (F.col("l_partkey") % 4).alias("gap_missing"))
-    return L.manifest_violations(s)
-
-
 @_R.add("src1_position_rows", f"WITH {D.POSITIONS} SELECT CAST(video_id AS VARCHAR) AS video_id, p, predicted AS frame FROM pos")
 def position_rows(spark, d):
     """Positions written as one JSON document a recording, and read back as rows."""
