@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motion_tables.operators import catalog as C
+from motion_tables.operators import catalog_rules as K
 from motion_tables.plans.registry import Registry
 from motion_tables.sources import derived as D
 
@@ -12,24 +13,82 @@ _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
 
 
-@_R.add("c1_catalog_violations", """SELECT 'stream' AS entity, CAST(l_orderkey AS VARCHAR) AS id, 'window ends before it begins' AS rule FROM lineitem WHERE l_quantity < 2
-UNION ALL SELECT 'shot', CAST(o_orderkey AS VARCHAR), 'no club' FROM orders WHERE o_totalprice < 20000
-UNION ALL SELECT 'stream', CAST(l_suppkey AS VARCHAR), 'unknown source' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY l_suppkey
-UNION ALL SELECT 'stream', CAST(l_orderkey * 100 + l_linenumber AS VARCHAR), 'duplicate stream' FROM lineitem GROUP BY l_orderkey * 100 + l_linenumber HAVING count(*) > 1""")
+#: The catalog's tables by SQL that both engines read: customers are golfers, parts sources, orders shots, lines streams, suppliers collections.
+_TABLES = {
+    "golfers": ("customer", "SELECT CASE WHEN c_custkey % 97 = 0 THEN concat('g?', c_custkey) ELSE concat('g', c_custkey) END AS golfer_id, CASE WHEN c_custkey % 3 = 0 THEN 'reference' ELSE 'user' END AS role FROM {t}"),
+    "sources": ("part", """SELECT concat('s', p_partkey) AS source_id, CASE WHEN p_partkey % 29 = 0 THEN 'nobody' WHEN p_partkey % 11 <> 0 THEN concat('g', p_partkey % 10 + 1) END AS golfer_id, concat('h', CASE WHEN p_partkey % 50 = 1 THEN p_partkey - 1 ELSE p_partkey END) AS sha256, p_size * 10 AS frame_count, 1920 AS width, 1080 AS height,
+        CASE WHEN p_partkey % 4 = 0 THEN 'estimated' ELSE 'verified' END AS timestamps, CASE p_partkey % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'slowed' WHEN 2 THEN 'slowed' ELSE 'real_time' END AS motion_time, CASE WHEN p_partkey % 6 <> 0 THEN 240 END AS capture_fps, CASE WHEN p_partkey % 7 <> 0 THEN 'file' END AS basis, p_partkey % 8 = 1 AS variable FROM {t}"""),
+    "shots": ("orders", """SELECT concat('o', o_orderkey) AS shot_id, CASE WHEN o_orderkey % 31 = 0 THEN 'nobody' ELSE concat('g', o_custkey % 10 + 1) END AS golfer_id, CASE o_orderkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'pitch' ELSE 'putt' END AS swing_type,
+        CASE o_custkey % 4 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'asserted' ELSE 'verified' END AS same_status, CASE WHEN o_orderkey % 5 <> 0 THEN 'flash' END AS same_method, CASE WHEN o_orderkey % 6 = 0 THEN ' ' ELSE 'ann' END AS same_by,
+        CASE o_custkey % 5 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'unknown' WHEN 2 THEN 'estimated' ELSE 'verified' END AS sync_status, 'audio' AS sync_method, CASE WHEN o_orderkey % 8 <> 1 THEN 'ann' END AS sync_by,
+        CASE o_custkey % 3 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'verified' ELSE 'unknown' END AS cal_status, CASE WHEN o_orderkey % 9 <> 2 THEN 'board' END AS cal_method, 'bob' AS cal_by, CASE WHEN o_orderkey % 12 = 1 THEN -1 WHEN o_orderkey % 12 = 2 THEN 2 END AS uncertainty_ms,
+        CASE WHEN o_orderkey % 14 = 1 THEN -1 WHEN o_orderkey % 4 = 3 THEN 1 END AS exposure_uncertainty_ms, CASE o_orderkey % 4 WHEN 0 THEN 'included' WHEN 1 THEN 'bounded' WHEN 3 THEN 'bounded' END AS exposure_alignment,
+        CASE o_orderstatus WHEN 'F' THEN 'reviewed' WHEN 'O' THEN 'unreviewed' ELSE 'rejected' END AS review_status, CASE WHEN o_orderkey % 10 <> 3 THEN 'cat' END AS review_by FROM {t}"""),
+    "streams": ("lineitem", """SELECT concat('o', l_orderkey) AS shot_id, concat('c', l_linenumber) AS stream_id, CASE WHEN l_partkey % 37 = 0 THEN 'gone' ELSE concat('s', l_partkey) END AS source_id, CASE l_suppkey % 7 WHEN 0 THEN 'unknown' ELSE concat('v', l_suppkey % 7) END AS view, l_suppkey % 5 - 1 AS start_frame, l_partkey % 200 AS end_frame,
+        CASE WHEN l_partkey % 3 = 0 THEN l_suppkey % 9 - 1 END AS crop_x, CASE WHEN l_partkey % 3 = 0 THEN 4 END AS crop_y, CASE WHEN l_partkey % 3 = 0 THEN 1900 + l_partkey % 30 END AS crop_w, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey % 11 * 100 END AS crop_h,
+        CASE l_partkey % 4 WHEN 0 THEN 'bad' WHEN 1 THEN 'partial' ELSE 'good' END AS body, CASE l_suppkey % 4 WHEN 0 THEN 'unassessed' WHEN 1 THEN 'partial' ELSE 'good' END AS club, CASE WHEN l_linenumber % 4 = 0 THEN 'no' ELSE 'yes' END AS resolution FROM {t}"""),
+    "collections": ("supplier", "SELECT concat('k', s_suppkey) AS collection_id, CASE WHEN s_suppkey % 13 = 0 THEN 'nobody' ELSE concat('g', s_suppkey % 10 + 1) END AS golfer_id, CASE WHEN s_suppkey % 3 = 0 THEN 'frozen' ELSE 'draft' END AS status, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 1 THEN '2024' END AS frozen_at, CASE WHEN s_suppkey % 3 = 0 THEN 'ann' END AS frozen_by, CASE WHEN s_suppkey % 6 = 0 THEN 'x' END AS snapshot, CASE WHEN s_suppkey % 4 <> 0 THEN 'full' END AS swing_type FROM {t}"),
+    "members": ("orders", "SELECT concat('k', o_orderkey % 10 + 1) AS collection_id, concat(CASE WHEN o_orderkey % 64 = 0 THEN 'x' ELSE 'o' END, o_orderkey) AS shot_id FROM {t} WHERE o_orderkey % 4 = 0"),
+}
+_CATALOG = ", ".join(f"{k} AS ({q.replace('{t}', t)})" for k, (t, q) in _TABLES.items())
+
+
+def _catalog(spark, d, *names):
+    return [spark.sql(_TABLES[k][1], t=D.table(spark, d, _TABLES[k][0])) for k in names]
+
+
+def _rule(entity, id_, table, cond, text):
+    return f"SELECT '{entity}' AS entity, {id_} AS id, '{text}' AS rule FROM {table} WHERE {cond}"
+
+
+_SHOT_RULES = [
+    ("kg IS NULL", "unknown golfer"), ("n = 1 AND (same_status <> 'not_applicable' OR sync_status <> 'not_applicable')", "one stream, but not not_applicable"), ("n <> 1 AND same_status NOT IN ('asserted', 'verified')", "several streams, but not of the same swing"),
+    ("n <> 1 AND (sync_status = 'not_applicable' OR cal_status = 'not_applicable')", "several streams, but no synchronization or calibration"), ("n <> 1 AND sync_status = 'verified' AND same_status <> 'verified'", "synchronization verified, same swing not"), ("uncertainty_ms < 0", "negative uncertainty"),
+    ("exposure_uncertainty_ms < 0", "negative exposure uncertainty"), ("exposure_alignment = 'bounded' AND exposure_uncertainty_ms IS NULL", "exposure bounded without a bound"), ("coalesce(exposure_alignment, 'unknown') <> 'bounded' AND exposure_uncertainty_ms IS NOT NULL", "exposure bound without being bounded"),
+    ("exposure_alignment IS NOT NULL AND sync_status NOT IN ('estimated', 'verified')", "exposure alignment without synchronization"), ("same_status IN ('verified', 'asserted', 'estimated') AND (same_method IS NULL OR trim(same_by) = '')", "same swing decided without method or person"),
+    ("sync_status IN ('verified', 'asserted', 'estimated') AND sync_by IS NULL", "synchronization decided without method or person"), ("cal_status IN ('verified', 'asserted', 'estimated') AND cal_method IS NULL", "calibration decided without method or person"), ("review_status <> 'unreviewed' AND review_by IS NULL", "review without a reviewer"),
+]
+_OFF = "(least(crop_x, crop_y) < 0 OR least(crop_w, crop_h) < 1)"
+_STREAM_RULES = [
+    ("there IS NULL", "unknown source"), ("there AND sg <> golfer_id", "source of another golfer"), ("there AND NOT (start_frame >= 0 AND start_frame <= end_frame AND end_frame < frame_count)", "window not within the source"), (f"there AND crop_x IS NOT NULL AND {_OFF}", "crop without place or size"),
+    (f"there AND crop_x IS NOT NULL AND NOT {_OFF} AND (crop_x + crop_w > width OR crop_y + crop_h > height)", "crop past the frame"),
+]
+
+
+@_R.add("c1_catalog_violations", f"""WITH {_CATALOG}, ns AS (SELECT shot_id, count(*) AS n FROM streams GROUP BY shot_id)
+, sh AS (SELECT s.* REPLACE (s.golfer_id AS golfer_id), coalesce(n, 0) AS n, g.golfer_id AS kg FROM shots s LEFT JOIN ns USING (shot_id) LEFT JOIN golfers g ON g.golfer_id = s.golfer_id)
+, st AS (SELECT t.*, s.golfer_id AS sg, frame_count, width, height, CASE WHEN s.source_id IS NOT NULL THEN true END AS there, h.golfer_id FROM streams t LEFT JOIN sources s ON s.source_id = t.source_id JOIN shots h ON h.shot_id = t.shot_id)
+, co AS (SELECT c.*, g.golfer_id AS kg, role FROM collections c LEFT JOIN golfers g ON g.golfer_id = c.golfer_id)
+, me AS (SELECT m.*, c.golfer_id AS owner, c.status, c.swing_type AS wanted, s.golfer_id, s.swing_type FROM members m JOIN collections c ON c.collection_id = m.collection_id LEFT JOIN shots s ON s.shot_id = m.shot_id)
+{_rule('golfer', 'golfer_id', 'golfers', "contains(golfer_id, '?')", 'no valid identifier')}
+UNION ALL SELECT 'source', s.source_id, 'unknown golfer' FROM sources s LEFT JOIN golfers g ON g.golfer_id = s.golfer_id WHERE s.golfer_id IS NOT NULL AND g.golfer_id IS NULL
+UNION ALL SELECT 'source', source_id, 'same bytes as another source' FROM (SELECT source_id, min(source_id) OVER (PARTITION BY sha256) AS first FROM sources) WHERE source_id <> first
+UNION ALL {' UNION ALL '.join(_rule('shot', 'shot_id', 'sh', c, t) for c, t in _SHOT_RULES)} UNION ALL {' UNION ALL '.join(_rule('stream', "shot_id || '/' || stream_id", 'st', c, t) for c, t in _STREAM_RULES)}
+UNION ALL SELECT 'stream', shot_id || '/' || stream_id, 'duplicate stream id' FROM (SELECT *, row_number() OVER (PARTITION BY shot_id, stream_id) AS k FROM streams) WHERE k > 1
+UNION ALL {_rule('collection', 'collection_id', 'co', 'kg IS NULL', 'unknown golfer')} UNION ALL {_rule('collection', 'collection_id', 'co', "role <> 'reference'", 'of a user')}
+UNION ALL {_rule('collection', 'collection_id', 'co', "status = 'frozen' AND (frozen_at IS NULL OR frozen_by IS NULL OR snapshot IS NULL)", 'frozen without provenance')} UNION ALL {_rule('collection', 'collection_id', 'co', "status = 'draft' AND (frozen_at IS NOT NULL OR frozen_by IS NOT NULL OR snapshot IS NOT NULL)", 'draft with provenance')}
+UNION ALL {_rule('member', "collection_id || '/' || shot_id", 'me', 'golfer_id IS NULL', 'unknown shot')} UNION ALL {_rule('member', "collection_id || '/' || shot_id", 'me', 'golfer_id <> owner', 'shot of another golfer')} UNION ALL {_rule('member', "collection_id || '/' || shot_id", 'me', "status = 'draft' AND swing_type <> wanted", 'shot of another swing type')}""")
 def catalog_violations(spark, d):
-    l, o, s = (D.table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
-    return C.violations(
-        C.rule(l, "stream", "l_orderkey", F.col("l_quantity") < 2, "window ends before it begins"),
-        C.rule(o, "shot", "o_orderkey", F.col("o_totalprice") < 20000, "no club"),
-        C.dangling(l, "stream", "l_suppkey", s.where("s_acctbal > 0"), "s_suppkey", "unknown source"),
-        C.duplicates(l.withColumn("stream_id", F.col("l_orderkey") * 100 + F.col("l_linenumber")), "stream", "stream_id", "duplicate stream"),
-    )
+    return K.violations(*_catalog(spark, d, "golfers", "sources", "shots", "streams", "collections", "members"))
 
 
-@_R.add("c6_eligibility", """WITH q AS (SELECT o_orderkey AS shot, list_filter([CASE WHEN o_orderstatus <> 'F' THEN 'not reviewed' END, CASE WHEN o_totalprice < 50000 THEN 'club not visible' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'resolution too low' END], lambda x: x IS NOT NULL) AS reasons FROM orders) SELECT shot, len(reasons) = 0 AS eligible, reasons FROM q""")
+_CLOCK = "CASE WHEN motion_time = 'real_time' AND basis IS NOT NULL THEN NULL WHEN motion_time = 'slowed' AND basis IS NOT NULL AND capture_fps IS NOT NULL THEN CASE WHEN variable THEN stream_id || ': slowed with a variable rate' END WHEN motion_time = 'real_time' THEN stream_id || ': real time without a basis' ELSE stream_id || ': motion time ' || motion_time END"
+
+
+def _listed(cond, text):
+    return f"coalesce(list_sort(list({text}) FILTER (WHERE {cond})), [])"
+
+
+@_R.add("c6_eligibility", f"""WITH {_CATALOG}, st AS (SELECT t.*, timestamps, motion_time, capture_fps, basis, variable FROM streams t JOIN sources s ON s.source_id = t.source_id)
+, g AS (SELECT shot_id, count(*) AS n, count(DISTINCT "view") AS views, bool_or("view" = 'unknown') AS unknown, {_listed("timestamps <> 'verified'", "stream_id || ': timestamps ' || timestamps")} AS times, {_listed(f"({_CLOCK}) IS NOT NULL", _CLOCK)} AS clocks,
+    {_listed("body NOT IN ('good', 'partial')", "stream_id || ': body visibility ' || body")} AS body, {_listed("club NOT IN ('good', 'partial')", "stream_id || ': club visibility ' || club")} AS club, {_listed("resolution <> 'yes'", "stream_id || ': resolution ' || resolution")} AS res FROM st GROUP BY shot_id)
+, j AS (SELECT * FROM shots JOIN g USING (shot_id))
+, k AS (SELECT shot_id, 'stereo_3d' AS gate, CASE WHEN n < 2 THEN ['one view'] ELSE list_filter([CASE WHEN same_status <> 'verified' THEN 'same swing ' || same_status END, CASE WHEN sync_status <> 'verified' THEN 'synchronization ' || sync_status END, CASE WHEN cal_status <> 'verified' THEN 'calibration ' || cal_status END, CASE WHEN unknown OR views < n THEN 'views not distinct and known' END], lambda v: v IS NOT NULL) END AS reasons FROM j
+UNION ALL SELECT shot_id, 'motion_timing', times || clocks || CASE WHEN n > 1 AND sync_status IN ('unknown', 'not_applicable') THEN ['no synchronization'] ELSE [] END FROM j UNION ALL SELECT shot_id, 'body_landmarks', body FROM j UNION ALL SELECT shot_id, 'club_landmarks', club FROM j UNION ALL SELECT shot_id, 'resolution', res FROM j
+UNION ALL SELECT shot_id, 'human_review', CASE WHEN review_status <> 'reviewed' THEN ['review ' || review_status] ELSE [] END FROM j) SELECT shot_id, gate, len(reasons) = 0 AS eligible, reasons FROM k""")
 def eligibility(spark, d):
-    why = C.reasons((F.col("o_orderstatus") != "F", "not reviewed"), (F.col("o_totalprice") < 50000, "club not visible"), (F.col("o_orderpriority").like("5%"), "resolution too low"))
-    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("shot"), why.alias("reasons")).select("shot", (F.size("reasons") == 0).alias("eligible"), "reasons")
+    shots, streams, sources = _catalog(spark, d, "shots", "streams", "sources")
+    return K.eligibility(shots, streams, sources)
 
 
 def _working(spark, d):
