@@ -31,3 +31,78 @@ def compared(user: DataFrame, ref: DataFrame) -> DataFrame:
     u = user.select("pair_id", "view", "frame", "key", F.col("value").alias("user_value"))
     r = ref.select("pair_id", "view", "frame", "key", F.col("value").alias("ref_value"))
     return u.join(r, ["pair_id", "view", "frame", "key"]).withColumn("difference", F.col("user_value") - F.col("ref_value"))
+
+
+# The shortest segment that has a direction, in pixels; least width of the shoulders and of the cue that orients a view, in torso lengths.
+LEAST_PX, LEAST_SHOULDERS, LEAST_CUE = 1e-6, 0.2, 0.05
+JOINTS = ("shoulder", "elbow", "wrist", "hip", "knee", "ankle")
+CENTRES = ("head", "shoulders", "hips", "lead_wrist", "trail_wrist", "hands")
+
+
+def _middle(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(((a["x"] + b["x"]) / 2).alias("x"), ((a["y"] + b["y"]) / 2).alias("y")))
+
+
+def _length(a: Column, b: Column) -> Column:
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+
+
+def named(points: DataFrame) -> DataFrame:
+    """points (video_id, frame, view dtl or face_on, handedness, and a struct of x, y for each of left_ear, right_ear and both sides of JOINTS, null where not detected) with lead_ and trail_ joints, the tracked centres and the torso's length."""
+    right = F.col("handedness") == "right"
+    out = points
+    for j in JOINTS:
+        left, other = F.col(f"left_{j}"), F.col(f"right_{j}")
+        out = out.withColumn(f"lead_{j}", F.when(right, left).otherwise(other)).withColumn(f"trail_{j}", F.when(right, other).otherwise(left))
+    out = out.withColumns({"c_head": _middle(F.col("left_ear"), F.col("right_ear")), "c_shoulders": _middle(F.col("left_shoulder"), F.col("right_shoulder")), "c_hips": _middle(F.col("left_hip"), F.col("right_hip")),
+        "c_lead_wrist": F.col("lead_wrist"), "c_trail_wrist": F.col("trail_wrist"), "c_hands": _middle(F.col("lead_wrist"), F.col("trail_wrist"))})
+    torso = _length(F.col("c_shoulders"), F.col("c_hips"))
+    return out.withColumn("torso", F.when(torso >= LEAST_PX, torso))
+
+
+def body_references(first: DataFrame) -> DataFrame:
+    """From each recording's frame of the first position (as ``named`` gives it): scale (torso length), sign (of the image's x toward the target or the ball, null with a reason), the centres, and why there is no reference."""
+    face = F.col("view") == "face_on"
+    cue = F.when(face, F.col("lead_hip.x") - F.col("trail_hip.x")).otherwise(F.col("c_shoulders.x") - F.col("c_hips.x"))
+    why = F.when(face & (F.col("lead_hip").isNull() | F.col("trail_hip").isNull()), "P1 hips not detected").when(F.abs(cue) < LEAST_CUE * F.col("torso"), F.when(face, "P1 hips overlap horizontally; target direction unknown").otherwise("no forward bend at P1; ball direction unknown"))
+    none = F.when(F.col("torso").isNull(), "P1 torso (both shoulders and both hips) not detected")
+    sign = F.when(none.isNull() & why.isNull(), F.when(cue > 0, 1.0).otherwise(-1.0))
+    return first.select("video_id", F.col("torso").alias("scale"), sign.alias("sign"), F.when(none.isNull(), why).alias("orientation_reason"), none.alias("no_reference"), *[F.col(f"c_{c}").alias(f"p1_{c}") for c in CENTRES])
+
+
+def measurements(points: DataFrame, references: DataFrame) -> DataFrame:
+    """video_id, frame, key, value, reason: four flexions, spine, shoulder tilt and lead arm in degrees, and each centre's displacement from the first position in torso lengths (toward target or ball, and up).  A reason stands where there is no value."""
+    p = points.join(references, "video_id", "left")
+    c, rows = F.col, []
+
+    def emit(key: str, value: Column, reason: Column) -> None:
+        rows.append(F.struct(F.lit(key).alias("key"), F.when(reason.isNull(), value).alias("value"), reason.alias("reason")))
+
+    gone = lambda *names: F.when(F.greatest(*[c(n).isNull().cast("int") for n in (names if len(names) > 1 else names * 2)]) == 1, "landmark not detected")
+    for side in ("lead", "trail"):
+        for key, joints in (("elbow", ("shoulder", "elbow", "wrist")), ("knee", ("hip", "knee", "ankle"))):
+            a, v, b = (f"{side}_{j}" for j in joints)
+            u, w = _length(c(a), c(v)), _length(c(b), c(v))
+            cos = ((c(f"{a}.x") - c(f"{v}.x")) * (c(f"{b}.x") - c(f"{v}.x")) + (c(f"{a}.y") - c(f"{v}.y")) * (c(f"{b}.y") - c(f"{v}.y"))) / (u * w)
+            emit(f"{side}_{key}_flexion", 180 - F.degrees(F.acos(P.clipped(cos, -1.0, 1.0))), F.coalesce(gone(a, v, b), F.when((u < LEAST_PX) | (w < LEAST_PX), "zero-length segment")))
+    oriented = F.when(c("sign").isNull(), F.coalesce("orientation_reason", "no_reference", F.lit("no P1 reference")))
+    dx, dy = c("c_shoulders.x") - c("c_hips.x"), c("c_shoulders.y") - c("c_hips.y")
+    emit("spine_inclination", F.degrees(F.atan2(c("sign") * dx, -dy)), F.coalesce(gone("c_shoulders", "c_hips"), oriented, F.when(F.hypot(dx, dy) < LEAST_PX, "zero-length segment")))
+    narrow = _length(c("lead_shoulder"), c("trail_shoulder")) < LEAST_SHOULDERS * c("torso")
+    flat = lambda a, b: F.when(_length(c(a), c(b)) < LEAST_PX, "zero-length segment")
+    emit("shoulder_tilt", P.elevation(c("trail_shoulder"), c("lead_shoulder")), F.coalesce(gone("lead_shoulder", "trail_shoulder"), F.when(narrow, "shoulders overlap in this projection"), flat("trail_shoulder", "lead_shoulder")))
+    emit("lead_arm_inclination", P.elevation(c("lead_shoulder"), c("lead_wrist")), F.coalesce(gone("lead_shoulder", "lead_wrist"), flat("lead_shoulder", "lead_wrist")))
+    base = F.when(c("scale").isNull(), F.coalesce("no_reference", F.lit("no P1 reference")))
+    for name in CENTRES:
+        lost = F.coalesce(base, F.when(c(f"c_{name}").isNull(), "landmark not detected").when(c(f"p1_{name}").isNull(), "not detected at P1"))
+        emit(f"{name}_dx", c("sign") * (c(f"c_{name}.x") - c(f"p1_{name}.x")) / c("scale"), F.coalesce(lost, oriented))
+        emit(f"{name}_dy", (c(f"p1_{name}.y") - c(f"c_{name}.y")) / c("scale"), lost)
+    return p.select("video_id", "frame", F.explode(F.array(*rows)).alias("m")).select("video_id", "frame", "m.*")
+
+
+def slot_comparison(user: DataFrame, reference: DataFrame) -> DataFrame:
+    """Measurements of a position (pair_id, key, value, reason) of two recordings of one view side by side: both values, user less reference, and a note of what is missing where."""
+    side = lambda df, k: df.select("pair_id", "key", F.col("value").alias(f"{k}_value"), F.col("reason").alias(f"{k}_reason"))
+    j = side(user, "user").join(side(reference, "ref"), ["pair_id", "key"])
+    note = F.concat_ws("; ", F.concat(F.lit("user: "), "user_reason"), F.concat(F.lit("reference: "), "ref_reason"))
+    return j.select("pair_id", "key", "user_value", "ref_value", (F.col("user_value") - F.col("ref_value")).alias("difference"), F.when(note != "", note).alias("note"))
