@@ -63,3 +63,8 @@ def frame_of(t_ms: Column, fps: Column) -> Column:
 
 def time_of(frame: Column, fps: Column) -> Column:
     return frame * 1000 / fps
+
+
+def contract_view(view: Column) -> Column:
+    """A view's name in the contracts; null for one that they do not have."""
+    return F.when(view == "dtl", "down_the_line").when(view == "face_on", "face_on")

@@ -88,3 +88,18 @@ def position_documents(pos: DataFrame) -> DataFrame:
     entry = F.struct(F.substring("p", 2, 9).cast("int").alias("k"), F.col("p"), F.struct("frame").alias("v"))
     g = pos.groupBy("video_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     return g.select("video_id", F.to_json(F.map_from_arrays(F.col("e")["p"], F.col("e")["v"])).alias("doc"))
+
+
+def confirmed(annotations: DataFrame, convention: str = "p7-impact") -> DataFrame:
+    """Annotations of the canonical convention that need no review."""
+    return annotations.where((F.col("convention") == convention) & ~F.coalesce("needs_review", F.lit(False)))
+
+
+def presentation_times(f: DataFrame) -> DataFrame:
+    """presentation_ms: a frame's time with its recording's start offset; null if that is unknown."""
+    return f.withColumn("presentation_ms", F.col("start_offset_ms") + F.col("t_ms"))
+
+
+def club_specifications(shots: DataFrame) -> DataFrame:
+    """The club's entered facts of each shot, and whether its length is known."""
+    return shots.select("shot_id", "club.category", "club.name", "club.length_in", "club.length_basis", F.col("club.length_in").isNotNull().alias("length_known"))
