@@ -51,6 +51,7 @@ _OTHER = r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menus?|nav|
 _NAMED = re.compile(rf"(?:(?:site|top|bottom|left|right|main|global)[-_])*(?:{_OTHER})(?:[-_](?:{_OTHER}|bar|box|area|list|section|block|wrap|wrapper|container|widget|links?|buttons?))*[-_]?\d*", re.I)
 _INSIDE = frozenset(("article", "main"))
 SHORT = 8
+SALTS = 32
 _SALT = series(4, 8) | np.uint64(1)
 
 
@@ -172,8 +173,9 @@ def templates(tallied: DataFrame, by: list[str], min_pages: int, support: float,
     sums = [F.sum(c).alias(c) for c in ("pages", "times", "sum1", "sum2", "place")]
     tokens = tallied.groupBy(*by, "token").agg(*sums)
     every = tokens.where("token = 0").select(*by, F.col("pages").alias("all_pages")).where(F.col("all_pages") >= min_pages)
-    if by:
-        often = tokens.join(every, by)
+    if by:  # a host's tokens are dealt out by a salt, so that a large host is no single task's
+        own = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        often = tokens.withColumn("salt", F.pmod("token", F.lit(SALTS)).cast("int")).join(own, [*by, "salt"]).drop("salt")
     else:
         count = every.first()
         often = tokens.withColumn("all_pages", F.lit(count.all_pages if count else 0)).where(F.lit(count is not None))
