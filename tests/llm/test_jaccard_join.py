@@ -80,3 +80,26 @@ def test_first_of_groups_keeps_columns_and_one_row_a_group(edges):
 
 def test_runs_reach_the_recall():
     assert J.runs_for(0.8, 2.0, 0.999) >= 4 and J.runs_for(0.8, 2.0, 0.9) < J.runs_for(0.8, 2.0, 0.9999)
+
+
+def test_recall_at_the_threshold_with_leaves_that_split(spark):
+    """400 pairs of similarity 0.80 to 0.85 among texts that share long passages, so that paths are large; leaves of 16 split at every level."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for g in range(400):
+        own = [f"g{g}x{k}" for k in range(160)]
+        a = own[:80] + passage + own[80:]
+        while True:  # words changed until the similarity is just over the threshold
+            b = list(a)
+            for _ in range(r.choice([3, 4])):
+                b[r.choice([*range(80), *range(120, 200)])] = f"n{r.randrange(10**9)}"
+            x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                break
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {d: c for d, c, n in got(df, leaf=16) if n}
+    recall = sum(found.get(2 * g + 1) == 2 * g for g in range(400)) / 400
+    assert recall >= 0.99, recall
+    assert all(c // 2 == d // 2 for d, c in found.items())
