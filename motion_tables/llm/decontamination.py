@@ -1,12 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A benchmark item of L words is looked for in every window of L words of every text.  A window's fingerprint is the SimHash of
-its five-word shingles, each counted as often as it stands there.  Fingerprints are cut into eight blocks of eight
-bits; two fingerprints within the radius of 23 bits agree in some block up to two bits, so looking up each block's
-neighbours (37 of its 256 values) finds every item within the radius.  A window and an item within it are then compared exactly: the sum of
+its five-word shingles, each counted as often as it stands there.  Fingerprints are cut into four blocks of sixteen
+bits; two fingerprints within the radius of 23 bits agree in some block up to five bits, so the blocks' neighbours (6,885 of a block's
+65,536 values) hold every item within the radius, and 36 % of the others.  A window and an item within it are then compared exactly: the sum of
 the smaller counts of each shingle over the sum of the larger ones.  A text of fewer words than the item is one window, the whole of it.
 
-A window without any shingle of any item has similarity 0 with all of them; only the others are
+A window with so few shingles of all items together that it could not reach the similarity with any is not
 fingerprinted, which leaves out nothing.  Each text is worked through on its own, in the task that read it: no shuffle.
 """
 
@@ -24,18 +24,17 @@ from pyspark.sql import types as T
 from .tables import with_own_columns
 from .words import hashes, spans, utf8, windows
 
-BLOCKS, BITS = 8, 8
-NEAR = 2
+BLOCKS, BITS = 4, 16
+NEAR = 5
 RADIUS = BLOCKS * (NEAR + 1) - 1
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())]))
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
-_REACH = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= NEAR
+_ONES = np.unpackbits(np.arange(1 << BITS, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1).sum(axis=1, dtype=np.uint8)
 
 
 def simhash(sums: np.ndarray) -> np.ndarray:
-    """Fingerprints, eight bytes each, of rows of 64 signed sums."""
-    return np.packbits(sums > 0, axis=1)
+    """Fingerprints, four blocks each, of rows of 64 signed sums."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
 
 
 def _signs(h: np.ndarray) -> np.ndarray:
@@ -43,7 +42,7 @@ def _signs(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The items by number of words: shingles, fingerprints and the lookup of each block's neighbours."""
+    """The items by number of words: shingles and fingerprints."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int):
         data, at = utf8(pa.array(texts, pa.string()))
@@ -51,15 +50,14 @@ class Index:
         h, w_at = windows(hashes(data, starts, ends), first, k)
         n = np.diff(first)
         self.k = k
-        self.by_size: dict[int, tuple[np.ndarray, list[Counter], np.ndarray, np.ndarray]] = {}
+        self.by_size: dict[int, tuple[np.ndarray, list[Counter], np.ndarray]] = {}
         groups = defaultdict(list)
         for i in np.flatnonzero(n):
             groups[int(n[i])].append(i)
         for size, own in groups.items():
             sets = [h[w_at[i] : w_at[i + 1]] for i in own]
             prints = simhash(np.stack([_signs(s).sum(axis=0) for s in sets]))
-            table = np.stack([_REACH[:, prints[:, b]] for b in range(BLOCKS)])  # block, value, item
-            self.by_size[size] = (np.array([ids[i] for i in own]), [Counter(s.tolist()) for s in sets], prints, table)
+            self.by_size[size] = (np.array([ids[i] for i in own]), [Counter(s.tolist()) for s in sets], prints)
         self.shingles = {}  # by shingle length: the sorted shingles and a first sieve by their upper 20 bits
         for m in sorted({min(k, s) for s in self.by_size}):
             held = np.unique(np.concatenate([h[w_at[i] : w_at[i + 1]] for i in np.flatnonzero(np.minimum(n, k) == m)]))
@@ -92,23 +90,29 @@ class Index:
                 self._whole(h, hit, m, size, threshold, best)
         return best
 
-    def _near(self, mine: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a fingerprint and an item of a table that agree in some block up to NEAR bits."""
-        near = table[0][mine[:, 0]]
-        for b in range(1, BLOCKS):
-            near |= table[b][mine[:, b]]
-        return np.nonzero(near)
+    def _near(self, mine: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a fingerprint and an item within the radius, among those that agree in some block up to NEAR bits."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(1, (1 << 20) // len(prints))
+        for low in range(0, len(mine), step):
+            part = mine[low : low + step]
+            near = _ONES[part[:, :1] ^ prints[:, 0]] <= NEAR
+            for b in range(1, BLOCKS):
+                near |= _ONES[part[:, b : b + 1] ^ prints[:, b]] <= NEAR
+            x, y = np.nonzero(near)
+            close = _ONES[part[x] ^ prints[y]].sum(axis=1) <= RADIUS
+            found.append((x[close] + low, y[close]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
     def _whole(self, h: np.ndarray, hit: np.ndarray, m: int, size: int, threshold: float, best: dict) -> None:
         """A whole text, shorter than the items of this size."""
-        ids, counts, prints, table = self.by_size[size]
+        ids, counts, prints = self.by_size[size]
         width = size - m + 1
         if len(hit) * (1 + threshold) < threshold * (len(h) + width) - 1e-9:
             return
         mine = simhash(_signs(h).sum(axis=0)[None, :])
-        for y in self._near(mine, table)[1].tolist():
-            if _ONES[mine[0] ^ prints[y]].sum() <= RADIUS:
-                self._keep(best, int(ids[y]), similarity(h.tolist(), counts[y], width), 0, len(h) + m - 1, threshold)
+        for y in self._near(mine, prints)[1].tolist():
+            self._keep(best, int(ids[y]), similarity(h.tolist(), counts[y], width), 0, len(h) + m - 1, threshold)
 
     def _keep(self, best: dict, item: int, score: float, p: int, words: int, threshold: float) -> None:
         if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
@@ -116,7 +120,7 @@ class Index:
 
     def _search(self, h: np.ndarray, hit: np.ndarray, low: int, last: int, total: np.ndarray, size: int, width: int, threshold: float, best: dict) -> None:
         """The windows of one size that hold a hit and begin from ``low`` to ``last``; hit: all hits in them; total: the sums of the signs of the shingles from ``low`` on."""
-        ids, counts, prints, table = self.by_size[size]
+        ids, counts, prints = self.by_size[size]
         first = max(low, int(hit[0]) - width + 1)
         last = min(last, len(h) - width)
         if last < first:
@@ -126,13 +130,11 @@ class Index:
         np.add.at(inside, np.maximum(hit - width + 1, first) - first, 1)
         np.add.at(inside, np.minimum(hit, last) + 1 - first, -1)
         held = np.cumsum(inside)[: last - first + 1]  # hits in each window: at least its shingles in common with any item
-        begin = np.flatnonzero(held > 0) + first
+        begin = np.flatnonzero((held > 0) & (held * (1 + threshold) >= 2 * threshold * width - 1e-9)) + first
+        if not len(begin):
+            return
         mine = simhash(total[begin - low + width] - total[begin - low])
-        w, i = self._near(mine, table)
-        enough = held[begin[w] - first] * (1 + threshold) >= 2 * threshold * width - 1e-9
-        w, i = w[enough], i[enough]
-        close = _ONES[mine[w] ^ prints[i]].sum(axis=1) <= RADIUS
-        for x, y in zip(w[close].tolist(), i[close].tolist()):
+        for x, y in zip(*(i.tolist() for i in self._near(mine, prints))):
             p = int(begin[x])
             self._keep(best, int(ids[y]), similarity(h[p : p + width].tolist(), counts[y], width), p, size, threshold)
 

@@ -82,3 +82,15 @@ def test_edges(edges, none, spark):
     kept = X.decontaminated(edges, items)
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, None, 5, 8, 11, 12}
     assert X.find_items(none, items).count() == 0 and X.find_items(edges, items.limit(0)).where("size(matches) > 0").count() == 0
+
+
+def test_index_holds_every_fingerprint_within_the_radius():
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    items = r.randint(0, 2, (60, 64))
+    windows = np.concatenate([items[r.randint(0, 60, 400)] ^ (r.rand(400, 64).argsort(axis=1) < r.randint(0, 34, (400, 1))), r.randint(0, 2, (100, 64))])
+    far = (windows[:, None, :] != items[None, :, :]).sum(axis=2)
+    index = X.Index([1], ["a b c d e f g"], 5)
+    x, y = index._near(X.simhash(windows * 2 - 1), X.simhash(items * 2 - 1))
+    assert {*zip(x.tolist(), y.tolist())} == {*zip(*(i.tolist() for i in np.nonzero(far <= X.RADIUS)))} and len(x) > 200
