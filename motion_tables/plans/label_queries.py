@@ -21,11 +21,14 @@ def current_labels(spark, d):
 
 
 @_R.add("j8_label_errors", f"""WITH {D.POINTS}, la AS (SELECT video_id, frame, joint, x + 0.02::DOUBLE * (frame % 4) AS x, y FROM pts WHERE backend = 'a' AND frame % 3 = 0), pr AS (SELECT video_id, frame, joint, x, y FROM pts WHERE backend = 'b' AND conf >= min_conf AND detected)
-SELECT la.video_id, la.frame, la.joint, round(sqrt(power(pr.x - la.x, 2) + power(pr.y - la.y, 2)) / (1 + la.video_id), 6) AS err FROM la LEFT JOIN pr ON pr.video_id = la.video_id AND pr.frame = la.frame AND pr.joint = la.joint""")
+, sc AS (SELECT video_id, sqrt(power(({x(1)} + {x(2)} - {x(13)} - {x(14)}) / 2, 2) + power(({y(1)} + {y(2)} - {y(13)} - {y(14)}) / 2, 2)) AS scale FROM p WHERE frame = 0)
+SELECT la.video_id, la.frame, la.joint, round(sqrt(power(pr.x - la.x, 2) + power(pr.y - la.y, 2)) / sc.scale, 6) AS err FROM la JOIN sc ON sc.video_id = la.video_id LEFT JOIN pr ON pr.video_id = la.video_id AND pr.frame = la.frame AND pr.joint = la.joint""")
 def label_errors(spark, d):
     p = D.points(spark, d)
     labels = p.where("backend = 'a' and frame % 3 = 0").select("video_id", "frame", "joint", (F.col("x") + 0.02 * (F.col("frame") % 4)).alias("x"), "y")
-    scales = p.select("video_id").distinct().withColumn("scale", F.col("video_id") + F.lit(1.0))
+    lm = F.col("lm")
+    torso = F.hypot(*[P.mid(P.at(lm, P.L_SHOULDER), P.at(lm, P.R_SHOULDER), k) - P.mid(P.at(lm, P.L_HIP), P.at(lm, P.R_HIP), k) for k in "xy"])
+    scales = D.pose(spark, d).where("frame = 0").select("video_id", torso.alias("scale"))  # the torso at the first position
     return rounded(L.label_errors(labels, p.where("backend = 'b' and conf >= min_conf and detected"), scales))
 
 

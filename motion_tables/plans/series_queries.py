@@ -207,10 +207,11 @@ def active_segments(spark, d):
     return W.active_segments(D.signal(spark, d), 15.0).select("video_id", F.col("start").alias("first_frame"), F.col("end").alias("last_frame"), "peak")
 
 
-@_R.add("w19_settle_frame", f"""WITH {D.SIGNAL}, c AS (SELECT video_id, quantile_cont(speed, 0.3) * 3.5::DOUBLE AS calm FROM s GROUP BY video_id), q AS (SELECT video_id, frame, max(speed) OVER w AS most, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+@_R.add("w19_settle_frame", f"""WITH {D.SIGNAL}, sm AS (SELECT video_id, frame, sum(speed) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS speed FROM s), c AS (SELECT video_id, quantile_cont(speed, 0.3) * 1.5::DOUBLE AS calm FROM sm GROUP BY video_id)
+, q AS (SELECT video_id, frame, max(speed) OVER w AS most, count(*) OVER w AS n FROM sm WINDOW w AS (PARTITION BY video_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
 SELECT video_id, min(CASE WHEN n = 5 AND most < calm THEN frame END) AS settled FROM q JOIN c USING (video_id) GROUP BY video_id""")
 def settle_frame(spark, d):
-    return W.settle_frame(D.signal(spark, d), "speed", 3.5)
+    return W.settle_frame(W.moving_average(D.signal(spark, d), "speed", 5, "smooth"), "smooth")
 
 
 _CAM = "OVER (PARTITION BY session_id, camera_id ORDER BY sequence)"
