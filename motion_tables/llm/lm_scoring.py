@@ -176,34 +176,35 @@ def log_probs(p: Params, word: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log p of every word's id given its neighbours."""
     out = np.empty(len(word), dtype=np.float64)
     for low in range(0, len(word), 8192):
-        w, h = word[low : low + 8192], hidden(p, around[:, low : low + 8192])
+        w = word[low : low + 8192]
         order, runs = _by_class(w)
+        w, h = w[order], hidden(p, around[:, low : low + 8192][:, order])
         z = h @ p[2] + p[3]
         top = z.max(axis=1)
         value = z[np.arange(len(w)), w // WITHIN] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
         for c, a, b in runs:
-            own = order[a:b]
-            y = h[own] @ p[4][c] + p[5][c]
+            y = h[a:b] @ p[4][c] + p[5][c]
             top = y.max(axis=1)
-            value[own] += y[np.arange(b - a), w[own] % WITHIN] - top - np.log(np.exp(y - top[:, None]).sum(axis=1))
-        out[low : low + 8192] = value
+            value[a:b] += y[np.arange(b - a), w[a:b] % WITHIN] - top - np.log(np.exp(y - top[:, None]).sum(axis=1))
+        out[low : low + 8192][order] = value
     return out
 
 
 def step(p: Params, square: Params, word: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One Adagrad step on a batch of masked words."""
-    n, h = len(word), hidden(p, around)
+    n = len(word)
     order, runs = _by_class(word)
+    word, around = word[order], around[:, order]
+    h = hidden(p, around)
     error = _soft(h @ p[2] + p[3])
     error[np.arange(n), word // WITHIN] -= 1
     back = error @ p[2].T
     grads = [None, None, h.T @ error / n, error.mean(axis=0)]
     for c, a, b in runs:
-        own = order[a:b]
-        e = _soft(h[own] @ p[4][c] + p[5][c])
-        e[np.arange(b - a), word[own] % WITHIN] -= 1
-        back[own] += e @ p[4][c].T
-        for k, g in ((4, h[own].T @ e / n), (5, e.sum(axis=0) / n)):
+        e = _soft(h[a:b] @ p[4][c] + p[5][c])
+        e[np.arange(b - a), word[a:b] % WITHIN] -= 1
+        back[a:b] += e @ p[4][c].T
+        for k, g in ((4, h[a:b].T @ e / n), (5, e.sum(axis=0) / n)):
             square[k][c] += g * g
             p[k][c] -= rate * g / (np.sqrt(square[k][c]) + 1e-6)
     back *= (1 - h * h) / n
@@ -211,13 +212,16 @@ def step(p: Params, square: Params, word: np.ndarray, around: np.ndarray, rate:
     for k in (1, 2, 3):
         square[k] += grads[k] ** 2
         p[k] -= rate * grads[k] / (np.sqrt(square[k]) + 1e-6)
-    for j in range(2 * REACH):
-        order = np.argsort(around[j], kind="stable")
-        key = around[j][order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        g = np.add.reduceat(back[order], at, axis=0)
-        square[0][j][key[at]] += g * g
-        p[0][j][key[at]] -= rate * g / (np.sqrt(square[0][j][key[at]]) + 1e-6)
+    key = (around + np.arange(2 * REACH)[:, None] * (VOCABULARY + 1)).astype(np.uint16).ravel()  # a vector for each place and id
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key = key[at].astype(np.int64)
+    g = np.add.reduceat(back[order % n], at, axis=0)
+    vectors, squares = p[0].reshape(-1, WIDTH), square[0].reshape(-1, WIDTH)
+    total = squares[key] + g * g
+    squares[key] = total
+    vectors[key] -= rate * g / (np.sqrt(total) + 1e-6)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +307,7 @@ def targets(n: int, bucket: int, turn: int, share: int = ROUNDS) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) ^ (np.uint64(bucket) << np.uint64(40))) % np.uint64(share) == np.uint64(turn % share)
 
 
-def trained(buckets: DataFrame, p: Params, *, rounds: int = ROUNDS, batch_words: int = 1024, rate: float = 0.05) -> Params:
+def trained(buckets: DataFrame, p: Params, *, rounds: int = ROUNDS, batch_words: int = 8192, rate: float = 0.3) -> Params:
     """Parameters after ``rounds`` rounds over all buckets; each masks one in ``rounds`` of the positions, so that in all each was masked once."""
     for turn in range(rounds):
         sent = buckets.sparkSession.sparkContext.broadcast(p.rows())
