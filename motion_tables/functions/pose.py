@@ -131,3 +131,8 @@ def is_valid(detected: Column, x: Column, y: Column, conf: Column, least: Column
 
 def slope_confidence(slope: Column) -> Column:
     return clipped(slope / 2, 0.0, 1.0)
+
+
+def let(value: Column, then) -> Column:
+    """then(value) with the value made once: an expression used many times over does not grow with every use."""
+    return F.get(F.transform(F.array(value), then), 0)

@@ -56,23 +56,30 @@ def features(p: DataFrame) -> DataFrame:
 
 
 def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
-    """Exact dynamic time warping of two series of vectors: the distance and the path, by anti-diagonals.  Ties prefer the diagonal, then a step in the first series."""
+    """Exact dynamic time warping of two series of vectors: the distance and the path, by anti-diagonals.  Ties prefer the diagonal, then a step in the first series.
+
+    Memory is a byte for each pair of frames (where its path comes from) and three diagonals of totals; costs are made as a diagonal needs them.
+    """
     n, m = len(a), len(b)
-    cost = np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
-    total = np.full((n + 1, m + 1), np.inf)
-    total[0, 0] = 0
+    came = np.zeros((n + 1, m + 1), dtype=np.uint8)
+    square_a, square_b = (a**2).sum(1), (b**2).sum(1)
+    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # of the last diagonal and the one before it, by place in the first series
+    two[0] = 0
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        total[i, j] = cost[i - 1, j - 1] + np.minimum(np.minimum(total[i - 1, j - 1], total[i - 1, j]), total[i, j - 1])
+        cost = np.sqrt(np.maximum(square_a[i - 1] + square_b[j - 1] - 2 * (a[i - 1] * b[j - 1]).sum(1), 0))
+        from_ = np.stack([two[i - 1], one[i - 1], one[i]])
+        came[i, j] = from_.argmin(axis=0)
+        now = np.full(n + 1, np.inf)
+        now[i] = cost + from_.min(axis=0)
+        one, two = now, one
     i, j, path = n, m, []
-    while i or j:
+    while i and j:
         path.append((i - 1, j - 1))
-        steps = ((total[i - 1, j - 1], i - 1, j - 1), (total[i - 1, j], i - 1, j), (total[i, j - 1], i, j - 1)) if i and j else ()
-        if not steps:
-            break
-        _, i, j = min(steps, key=lambda s: s[0])
-    return float(total[n, m]), np.array([x for x in path[::-1] if min(x) >= 0])
+        way = came[i, j]
+        i, j = i - (way != 2), j - (way != 1)
+    return float(one[n]), np.array(path[::-1])
 
 
 def dtw_paths(feature_rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Cameras, projection, triangulation and what is measured from points in space.
 
-A camera is a row: camera_id, fx, fy, cx, cy, dist array<double>(5), r array<double>(9, row by row) and t array<double>(3) from the rig to the camera.
+A camera is a row: rig_id, camera_id, fx, fy, cx, cy, dist array<double>(5), r array<double>(9, row by row) and t array<double>(3) from the rig to the camera.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motion_tables.functions import pose as P
+
+# Limits of a valid point.
 MAX_REPROJECTION_PX = 3.0
 MIN_PARALLAX_DEG = 5.0
 OUT = "point_id long, x double, y double, z double, cov array<double>, reprojection_px double, parallax_deg double, in_front boolean, n_views int"
@@ -32,17 +35,25 @@ def is_rigid(r: Column) -> Column:
 
 
 def projected(points: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Every point (point_id, x, y, z) in every camera: u, v in pixels and depth; points behind a camera have no pixels.  Cameras are a rig's: a handful, sent to the points."""
-    j = points.crossJoin(F.broadcast(cameras))
-    xc, yc, zc = to_camera(F.col("x"), F.col("y"), F.col("z"), F.col("r"), F.col("t"))
-    j = j.withColumn("depth", zc).withColumn("xn", F.when(F.col("depth") > 0, xc / zc)).withColumn("yn", F.when(F.col("depth") > 0, yc / zc))
-    k1, k2, p1, p2, k3 = (F.get("dist", F.lit(i)) for i in range(5))
-    a, b = F.col("xn"), F.col("yn")
-    r2 = a * a + b * b
-    radial = 1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2
-    xd = a * radial + 2 * p1 * a * b + p2 * (r2 + 2 * a * a)
-    yd = b * radial + p1 * (r2 + 2 * b * b) + 2 * p2 * a * b
-    return j.select("point_id", "camera_id", (F.col("fx") * xd + F.col("cx")).alias("u"), (F.col("fy") * yd + F.col("cy")).alias("v"), "depth")
+    """Every point (rig_id, point_id, x, y, z) in every camera of its rig: u, v in pixels and depth; points behind a camera have no pixels."""
+    c = cameras.select("rig_id", F.struct("camera_id", "fx", "fy", "cx", "cy", "dist", "r", "t").alias("c"))
+    j = points.join(c, "rig_id")
+    x, y, z = to_camera(F.col("x"), F.col("y"), F.col("z"), F.col("c.r"), F.col("c.t"))
+    k = lambda i: F.get(F.col("c.dist"), F.lit(i))
+
+    def pixels(n: Column) -> Column:
+        a, b, r2 = n["a"], n["b"], n["r2"]
+        radial = 1 + k(0) * r2 + k(1) * r2 * r2 + k(4) * r2 * r2 * r2
+        u = a * radial + 2 * k(2) * a * b + k(3) * (r2 + 2 * a * a)
+        v = b * radial + k(2) * (r2 + 2 * b * b) + 2 * k(3) * a * b
+        return F.struct((F.col("c.fx") * u + F.col("c.cx")).alias("u"), (F.col("c.fy") * v + F.col("c.cy")).alias("v"), n["z"].alias("depth"))
+
+    def normal(q: Column) -> Column:
+        ahead = lambda c: F.when(q["z"] > 0, c / q["z"])
+        return P.let(F.struct(ahead(q["x"]).alias("a"), ahead(q["y"]).alias("b"), q["z"].alias("z")), lambda n: P.let(F.struct(n["a"].alias("a"), n["b"].alias("b"), (n["a"] * n["a"] + n["b"] * n["b"]).alias("r2"), n["z"].alias("z")), pixels))
+
+    seen = P.let(F.struct(x.alias("x"), y.alias("y"), z.alias("z")), normal)
+    return j.select("point_id", "c.camera_id", seen.alias("p")).select("point_id", "camera_id", "p.*")
 
 
 def _distorted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -100,7 +111,7 @@ def triangulated(observations: DataFrame, cameras: DataFrame, sigma_px: float =
 
     One shuffle gathers the few views of each point; points with the same number of views are solved together in stacked arrays.
     """
-    seen = observations.dropna().join(F.broadcast(cameras), "camera_id")
+    seen = observations.dropna().join(cameras, "camera_id")
     view = F.struct("camera_id", "u", "v", "fx", "fy", "cx", "cy", "dist", "r", "t")
     g = seen.groupBy("point_id").agg(F.array_sort(F.collect_list(view)).alias("views")).where(F.size("views") > 1)
     flat = lambda *names: F.flatten(F.transform("views", lambda q: F.array(*[q[n] for n in names])))

@@ -73,14 +73,13 @@ def within_tolerance(a: DataFrame, b: DataFrame, key: str, tolerance: int) -> Da
     return j.groupBy(key, "a_id").agg(F.min(F.struct("gap", "b_id")).alias("m")).select(key, "a_id", F.col("m.b_id").alias("b_id"), F.col("m.gap").alias("gap"))
 
 
-def clips(t: DataFrame, f: DataFrame) -> DataFrame:
+def clips(t: DataFrame, f: DataFrame, bucket_ns: int = 3600 * 10**9) -> DataFrame:
     """Frames of each trigger's session from pre_roll before it up to it, both ends included.
 
-    The range is an equi-join on session and a time bucket as wide as the longest pre-roll: a trigger reaches into two buckets, a frame lies in one.
+    The range is an equi-join on session and a time bucket of fixed width: a trigger is repeated for each bucket that its own pre-roll reaches into, a frame lies in one.
     """
-    width = t.agg(F.max("pre_roll_ns")).first()[0] or 1
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    left = t.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("trigger_ns") - F.col("pre_roll_ns")), bucket(F.col("trigger_ns"))))))
+    bucket = lambda c: F.floor(c / F.lit(bucket_ns)).cast("long")
+    left = t.withColumn("bucket", F.explode(F.sequence(bucket(F.col("trigger_ns") - F.col("pre_roll_ns")), bucket(F.col("trigger_ns")))))
     right = f.withColumn("bucket", bucket(F.col("ts_ns")))
     return left.join(right, ["session_id", "bucket"]).where("ts_ns between trigger_ns - pre_roll_ns and trigger_ns").drop("bucket")
 

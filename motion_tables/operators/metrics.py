@@ -149,25 +149,34 @@ def repeated_images(files: DataFrame) -> DataFrame:
     return files.groupBy("grp", "digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")
 
 
+def _uniform(keys: np.ndarray, draw: int) -> np.ndarray:
+    """A number from 0 to 1 of each key and a draw."""
+    x = keys + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+
+
 def paired_bootstrap(labels: DataFrame, first: str, second: str, threshold: float, draws: int = 1000, seed: int = 0) -> DataFrame:
     """Of every view: difference of two backends' shares within a threshold (second less first) with its 95 % interval, resampling frames.
 
     Labels are first summed by frame (one shuffle); a view's frames are two counts each, and a view's resampling draws one Poisson weight a frame and
-    draw, so it needs no more than one block of frames at a time.  Frames scored for one backend only are left out.
+    draw, so it needs no more than one block of frames at a time.  A weight comes from a hash of seed, frame and draw: neither partitions nor blocks change it.  Frames scored for one backend only are left out.
     """
     hit = lambda b: F.count_if((F.col("backend") == b) & (F.col("err") <= threshold))
     of = lambda b: F.count_if(F.col("backend") == b)
-    per = labels.groupBy("view", "video_id", "frame").agg(hit(first).alias("h1"), of(first).alias("n1"), hit(second).alias("h2"), of(second).alias("n2")).where("n1 > 0 and n2 > 0")
+    per = labels.groupBy("view", "video_id", "frame").agg(hit(first).alias("h1"), of(first).alias("n1"), hit(second).alias("h2"), of(second).alias("n2")).where("n1 > 0 and n2 > 0").withColumn("key", F.xxhash64("view", "video_id", "frame", F.lit(seed)))
+    likely = np.cumsum(np.exp(-1.0) / np.array([1.0, *np.cumprod(np.arange(1.0, 16.0))]))  # of Poisson weights up to each number
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in batches:
             for view, g in block.groupby("view", sort=False):
                 counts = g[["h1", "n1", "h2", "n2"]].to_numpy(np.float64)
-                state = np.random.RandomState((seed + int(g["video_id"].sum()) * 31 + int(g["frame"].sum())) % 2**32)
-                sums = state.poisson(1.0, (draws, len(counts))) @ counts
+                keys = g["key"].to_numpy(np.int64).view(np.uint64)
+                sums = np.stack([np.searchsorted(likely, _uniform(keys, k)) @ counts for k in range(draws)])
                 yield pd.DataFrame({"view": view, "draw": np.arange(-1, draws), **{c: np.concatenate([[counts[:, i].sum()], sums[:, i]]) for i, c in enumerate(("h1", "n1", "h2", "n2"))}})
 
-    sums = per.repartition("view", "video_id").sortWithinPartitions("view", "video_id", "frame").mapInPandas(partial, "view string, draw int, h1 double, n1 double, h2 double, n2 double")
+    sums = per.mapInPandas(partial, "view string, draw int, h1 double, n1 double, h2 double, n2 double")
     total = sums.groupBy("view", "draw").agg(*[F.sum(c).alias(c) for c in ("h1", "n1", "h2", "n2")]).where("n1 > 0 and n2 > 0")
     d = total.withColumn("d", F.col("h2") / F.col("n2") - F.col("h1") / F.col("n1"))
     return d.groupBy("view").agg(F.max(F.when(F.col("draw") < 0, F.col("d"))).alias("difference"), F.percentile(F.when(F.col("draw") >= 0, F.col("d")), F.lit(0.025)).alias("low"), F.percentile(F.when(F.col("draw") >= 0, F.col("d")), F.lit(0.975)).alias("high"))

@@ -66,12 +66,16 @@ def transferred_positions(spark, d):
 
 # A rig of two cameras 1440 x 1080, one behind the player and one beside, in metres; rotations row by row.
 CAMERAS = [("dtl", 1500.0, 1501.5, 723.5, 538.0, [-0.12, 0.06, 0.0005, -0.0003, 0.0], [0.0, -1.0, 0.0, 0.0, 0.0, -1.0, 1.0, 0.0, 0.0], [0.95, 1.25, 4.2]), ("face_on", 1500.0, 1501.5, 723.5, 538.0, [-0.12, 0.06, 0.0005, -0.0003, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 1.0, 0.0], [-0.1, 1.15, 3.6])]
-_CAMERA = "camera_id string, fx double, fy double, cx double, cy double, dist array<double>, r array<double>, t array<double>"
+_CAMERA = "rig_id int, camera_id string, fx double, fy double, cx double, cy double, dist array<double>, r array<double>, t array<double>"
+
+
+def _cameras(spark):
+    return spark.createDataFrame([(0, *c) for c in CAMERAS], _CAMERA)
 
 
 def _points(spark, d):
     e = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("e"))
-    return e.select("point_id", *[(F.get("e", F.lit(i)) * 2 + (1.0 if a == "z" else 0.0)).alias(a) for i, a in enumerate("xyz")])
+    return e.select(F.lit(0).alias("rig_id"), "point_id", *[(F.get("e", F.lit(i)) * 2 + (1.0 if a == "z" else 0.0)).alias(a) for i, a in enumerate("xyz")])
 
 
 def _camera_sql() -> str:
@@ -91,20 +95,20 @@ _PROJECT = f"""cam AS ({_camera_sql()}), pt AS (SELECT vec_id AS point_id, embed
 
 @_R.add("g1_projected_points", f"WITH {_PROJECT} SELECT point_id, camera_id, round(u, 4) AS u, round(v, 4) AS v, round(depth, 4) AS depth FROM pj")
 def projected_points(spark, d):
-    return rounded(G.projected(_points(spark, d), spark.createDataFrame(CAMERAS, _CAMERA)), 4)
+    return rounded(G.projected(_points(spark, d), _cameras(spark)), 4)
 
 
 @_R.add("g3_triangulated_points", f"WITH {_PROJECT} SELECT pt.point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, 2 AS n_views FROM pt JOIN pj USING (point_id) WHERE u IS NOT NULL GROUP BY ALL HAVING count(*) = 2")
 def triangulated_points(spark, d):
     """Points seen by both cameras come back from their pixels: the SQL gives the points themselves."""
-    cams = spark.createDataFrame(CAMERAS, _CAMERA)
+    cams = _cameras(spark)
     seen = G.projected(_points(spark, d), cams).select("point_id", "camera_id", "u", "v")
     return rounded(G.triangulated(seen, cams).select("point_id", "x", "y", "z", "n_views"), 4)
 
 
 @_R.add("g4_point_reasons")
 def point_reasons(spark, d):
-    cams = spark.createDataFrame(CAMERAS, _CAMERA)
+    cams = _cameras(spark)
     seen = G.projected(_points(spark, d), cams).select("point_id", "camera_id", (F.col("u") + F.when(F.col("point_id") % 10 == 3, 40.0).otherwise(0.0)).alias("u"), "v")
     return G.point_reasons(G.triangulated(seen, cams)).select("point_id", "reasons")
 

@@ -44,10 +44,10 @@ def ordered_ingest(frames: DataFrame) -> DataFrame:
 
 
 def trigger_clips(triggers: DataFrame, frames: DataFrame, retention: str = "1 day") -> DataFrame:
-    """Frames of each trigger's session within its pre-roll: an interval join of two watermarked streams; frames older than the retention leave the state."""
+    """Frames of each trigger's session within its pre-roll: an interval join of two watermarked streams; frames older than the retention leave the state, so it must be the longest pre-roll at least."""
     t = triggers.withWatermark("ts", retention).withColumnRenamed("ts", "trigger_ts").alias("t")
     f = frames.withWatermark("ts", retention).alias("f")
-    same = F.expr("t.session_id = f.session_id and f.ts_ns <= t.trigger_ns and f.ts_ns >= t.trigger_ns - t.pre_roll_ns and f.ts <= t.trigger_ts and f.ts >= t.trigger_ts - interval 1 day")
+    same = F.expr(f"t.session_id = f.session_id and f.ts_ns <= t.trigger_ns and f.ts_ns >= t.trigger_ns - t.pre_roll_ns and f.ts <= t.trigger_ts and f.ts >= t.trigger_ts - interval {retention}")
     return t.join(f, same).select("t.session_id", "shot_id", "camera_id", "sequence", "ts_ns")
 
 
