@@ -175,14 +175,6 @@ def test_repaired_times_increase(spark):
     assert [r.estimated for r in got] == [False, False, True, True, False, True]
 
 
-def test_manifest_rules_are_all_reported(spark):
-    from motion_tables.operators import labels as L
-
-    rows = [(1, "a", 0, 5, 1, 0, 2), (1, "a", 3, 1, 5, 1, 1), (2, "b", 3, 1, 5, 1, 1)]
-    got = L.manifest_violations(spark.createDataFrame(rows, "shot_id long, camera_id string, frame_count long, first_ns long, last_ns long, dropped long, gap_missing long")).collect()
-    assert sorted(tuple(r) for r in got) == sorted((1, x) for x in ("stream without frames", "stream ends before it begins", "gaps miss more than were dropped", "camera named twice"))
-
-
 def test_shaft_positions_need_half_of_the_frames(spark):
     from motion_tables.operators import labels as L
 
