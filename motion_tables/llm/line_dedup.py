@@ -28,8 +28,8 @@ SALTS = 32
 
 
 def salted(lines: DataFrame) -> DataFrame:
-    """Rows of one line each, repeated for every salt."""
-    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Rows of one line each, repeated for every salt; their number grows with the corpus, so they are never broadcast."""
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def normal(line: Column) -> Column:
