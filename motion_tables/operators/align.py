@@ -113,6 +113,17 @@ def transferred(path: DataFrame, positions: DataFrame) -> DataFrame:
     return both.groupBy("pair_id", "p").agg(best.alias("user_frame"))
 
 
+def label_transfer(poses: DataFrame, pairs: DataFrame, positions: DataFrame) -> DataFrame:
+    """pair_id, p, frame, confidence, method: the reference's positions (pair_id, p, ref_frame, at least P1, P4, P6 and P9) on the user's recording of each pair, by warping, then put right by what is seen around them."""
+    from motion_tables.operators.shaft import local_refinements
+
+    moved = transferred(dtw_paths(features(poses), pairs), positions)
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("user_frame"))).cast("long").alias(p.lower())
+    wide = moved.groupBy("pair_id").agg(*[at(p) for p in ("P1", "P4", "P6", "P9")]).dropna()
+    own = poses.join(pairs.select("pair_id", F.col("user_id").alias(KEY)), KEY).drop(KEY).withColumnRenamed("pair_id", KEY)
+    return local_refinements(own, wide.withColumnRenamed("pair_id", KEY)).withColumnRenamed(KEY, "pair_id")
+
+
 def playback(alignment: DataFrame, slow: int = 4, fps: float = 30.0) -> DataFrame:
     """Every aligned pair as ``slow`` output frames: pair_id, out_frame, user_frame, ref_frame, fraction (of the way to the next pair), out_seconds."""
     w = Window.partitionBy("pair_id").orderBy("user_frame", "ref_frame")

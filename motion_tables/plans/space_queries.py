@@ -58,10 +58,18 @@ def dtw_paths(spark, d):
     return A.dtw_paths(A.features(D.pose(spark, d)), _ring(spark, d))
 
 
+def _marks():
+    return F.explode(F.array(*[F.struct(F.lit(f"P{k}").alias("p"), F.lit(4 * k).alias("ref_frame")) for k in range(1, 11)])).alias("m")
+
+
 @_R.add("j20_transferred_positions")
 def transferred_positions(spark, d):
-    marks = F.explode(F.array(*[F.struct(F.lit(f"P{k}").alias("p"), F.lit(4 * k).alias("ref_frame")) for k in range(1, 11)])).alias("m")
-    return A.transferred(dtw_paths(spark, d), _ring(spark, d).select("pair_id", marks).select("pair_id", "m.*"))
+    return A.transferred(dtw_paths(spark, d), _ring(spark, d).select("pair_id", _marks()).select("pair_id", "m.*"))
+
+
+@_R.add("d16_label_transfer")
+def label_transfer(spark, d):
+    return A.label_transfer(D.pose(spark, d), _ring(spark, d), _ring(spark, d).select("pair_id", _marks()).select("pair_id", "m.*"))
 
 
 # A rig of two cameras 1440 x 1080, one behind the player and one beside, in metres; rotations row by row.

@@ -143,3 +143,17 @@ def test_fits_recover_what_made_them(spark):
     cov = cov @ cov.transpose(0, 2, 1)
     got = X.largest_sigma(spark.createDataFrame([(i, [float(v) for v in c.ravel()]) for i, c in enumerate(cov)], "id int, cov array<double>")).collect()
     assert all(abs(r.sigma_m**2 - np.linalg.eigvalsh(cov[r.id]).max()) < 1e-9 for r in got)
+
+
+def test_d16_transfer_of_a_recording_to_itself_keeps_what_is_not_refined(spark):
+    from motion_tables.operators import align as A
+    from motion_tables.operators import shaft as S
+
+    p = D.pose(spark, FOLDER)
+    v = p.groupBy("video_id").agg(F.max("frame").alias("n")).where("n >= 4")
+    pairs = v.select(F.col("video_id").cast("long").alias("pair_id"), F.col("video_id").alias("user_id"), F.col("video_id").alias("ref_id"))
+    marks = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.lit(f).alias("ref_frame")) for k, f in (("P1", 0), ("P4", 1), ("P6", 2), ("P9", 3))])).alias("m")
+    got = {(r.pair_id, r.p): r.frame for r in A.label_transfer(p, pairs, pairs.select("pair_id", marks).select("pair_id", "m.*")).collect()}
+    plain = v.select(F.col("video_id"), *[F.lit(f).cast("long").alias(k) for k, f in (("p1", 0), ("p4", 1), ("p6", 2), ("p9", 3))])
+    want = {(r.video_id, r.p): r.frame for r in S.local_refinements(p.join(v.select("video_id"), "video_id"), plain).collect()}
+    assert got == want and len(got) == 9 * v.count()
