@@ -69,3 +69,34 @@ def test_edges(edges, none):
     out = L.scan_licenses(edges)
     assert out.count() == edges.count() and {*out.columns} == {*edges.columns}
     assert L.scan_licenses(none).count() == 0 and L.scan_licenses(edges, templates={"empty": ""}).where("size(licenses) > 0").count() == 0
+
+
+def test_random_mixtures_give_every_copy(spark):
+    """Copies of templates side by side, apart and edited, among other words: each planted copy is found once, where it stands."""
+    import random
+
+    r = random.Random(8)
+    names = ["MIT-notice", "Apache-2.0-notice", "CC-BY-4.0-notice", "BSD-3-Clause-notice", "MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "GPL-3.0-header", "GPL-2.0-header", "AGPL-3.0-header"]
+    rows, planted = [], {}
+    for d in range(60):
+        words, want = [], []
+        for _ in range(r.randrange(1, 6)):
+            words += [f"f{r.randrange(10**6)}" for _ in range(r.choice([0, 0, 3, 40]))]
+            name = r.choice(names)
+            copy = L.TEMPLATES[name].split()
+            if len(copy) > 60:  # one word in twenty is another
+                for k in range(len(copy)):
+                    if r.random() < 0.05 and copy[k].lower() not in ("neither", "the", "name"):
+                        copy[k] = f"e{r.randrange(10**6)}"
+            want.append(name)
+            words += copy
+        rows.append((d, " ".join(words)))
+        planted[d] = want
+    got = {x.doc_id: [f.license_id for f in x.licenses] for x in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == planted
+
+
+def test_each_text_is_its_own_license(spark):
+    rows = [(i, text) for i, text in enumerate(L.TEMPLATES.values())]
+    got = {x.doc_id: [(f.license_id, f.coverage) for f in x.licenses] for x in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [(n, 1.0)] for i, n in enumerate(L.TEMPLATES)}
