@@ -98,3 +98,21 @@ def eligibility(shots: DataFrame, streams: DataFrame, sources: DataFrame) -> Dat
     gates = {"stereo_3d": stereo, "motion_timing": timing, "body_landmarks": F.col("body_landmarks"), "club_landmarks": F.col("club_landmarks"), "resolution": F.col("resolution"), "human_review": pick((F.col("review_status") != "reviewed", F.concat(F.lit("review "), F.col("review_status"))))}
     rows = F.array(*[F.struct(F.lit(k).alias("gate"), v.alias("reasons")) for k, v in gates.items()])
     return j.select("shot_id", F.explode(rows).alias("g")).select("shot_id", "g.gate", (F.size("g.reasons") == 0).alias("eligible"), "g.reasons")
+
+
+def edited_streams(streams: DataFrame, edits: DataFrame, sources: DataFrame) -> DataFrame:
+    """streams (shot_id, stream_id, source_id, start_frame, end_frame, quality) after edits (shot_id, stream_id, seq, start_frame, end_frame, quality; null leaves a field) in order of seq, each as a whole on its own merits.
+
+    Of each field the last valid edit stands.  An edit of the window must lie within the source, and of the quality be one of good, partial, bad; else all of it is refused.  Adds accepted and refused, the numbers of its edits; edits of unknown streams count nowhere.
+    """
+    key = ["shot_id", "stream_id"]
+    own = streams.join(sources.select("source_id", "frame_count"), "source_id", "left")
+    e = edits.withColumnsRenamed({"start_frame": "new_start", "end_frame": "new_end", "quality": "new_quality"}).join(own.select(*key, "frame_count"), key)
+    window = F.col("new_start").isNotNull() | F.col("new_end").isNotNull()
+    fits = F.coalesce((F.col("new_start") >= 0) & (F.col("new_start") <= F.col("new_end")) & (F.col("new_end") < F.col("frame_count")), F.lit(False))
+    ok = (~window | fits) & (F.col("new_quality").isNull() | F.col("new_quality").isin("good", "partial", "bad"))
+    e = e.withColumn("ok", ok)
+    last = lambda c, cond: F.max_by(c, F.when(cond & F.col("ok"), F.col("seq")))
+    g = e.groupBy(*key).agg(last("new_start", window).alias("new_start"), last("new_end", window).alias("new_end"), last("new_quality", F.col("new_quality").isNotNull()).alias("new_quality"), F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("refused"))
+    j = own.join(g, key, "left")
+    return j.select(*key, F.coalesce("new_start", "start_frame").alias("start_frame"), F.coalesce("new_end", "end_frame").alias("end_frame"), F.coalesce("new_quality", "quality").alias("quality"), F.coalesce("accepted", F.lit(0)).cast("long").alias("accepted"), F.coalesce("refused", F.lit(0)).cast("long").alias("refused"))

@@ -145,3 +145,17 @@ def content_identity(spark, d):
 def ground_truth(spark, d):
     k = F.from_json("props", "k int")["k"]
     return D.table(spark, d, "events").select("event_id", k.alias("frame"), F.bround(k * 1000 / F.lit(60.0) * 30 / 1000).cast("long").alias("at_30"))
+
+
+_BASE = "SELECT DISTINCT concat('o', l_orderkey) AS shot_id, concat('c', l_linenumber) AS stream_id, concat('s', min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber)) AS source_id, 0 AS start_frame, 9 AS end_frame, 'good' AS quality FROM {t}"
+_EDITS = """SELECT concat('o', l_orderkey) AS shot_id, concat('c', l_linenumber % 3 + 1) AS stream_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey % 20 - 1 END AS start_frame, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey % 90 END AS end_frame,
+    CASE l_suppkey % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'odd' WHEN 2 THEN 'bad' END AS quality FROM {t}"""
+
+
+@_R.add("c11_edited_streams", f"""WITH {_CATALOG}, ba AS ({_BASE.replace('{t}', 'lineitem')}), ed AS ({_EDITS.replace('{t}', 'lineitem')}), j AS (SELECT ed.*, frame_count, ed.start_frame IS NOT NULL OR ed.end_frame IS NOT NULL AS win FROM ed JOIN ba USING (shot_id, stream_id) LEFT JOIN sources ON sources.source_id = ba.source_id)
+, k AS (SELECT *, (NOT win OR coalesce(start_frame >= 0 AND start_frame <= end_frame AND end_frame < frame_count, false)) AND (quality IS NULL OR quality IN ('good', 'partial', 'bad')) AS ok FROM j)
+, g AS (SELECT shot_id, stream_id, arg_max(start_frame, seq) FILTER (ok AND win) AS s, arg_max(end_frame, seq) FILTER (ok AND win) AS e, arg_max(quality, seq) FILTER (ok AND quality IS NOT NULL) AS q, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS refused FROM k GROUP BY ALL)
+SELECT shot_id, stream_id, coalesce(s, start_frame) AS start_frame, coalesce(e, end_frame) AS end_frame, coalesce(q, quality) AS quality, coalesce(accepted, 0) AS accepted, coalesce(refused, 0) AS refused FROM ba LEFT JOIN g USING (shot_id, stream_id)""")
+def edited_streams(spark, d):
+    l = D.table(spark, d, "lineitem")
+    return K.edited_streams(spark.sql(_BASE, t=l), spark.sql(_EDITS, t=l), *_catalog(spark, d, "sources"))
