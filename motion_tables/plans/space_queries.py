@@ -188,6 +188,20 @@ def ordered_ingest(spark, d):
     return spark.read.parquet(out).select("session_id", "camera_id", "sequence", "accepted", "rule", "missing")
 
 
+@_R.add("st5_stream_retention")
+def stream_retention(spark, d):
+    """What is left of every camera's frames after the stream has evicted others, once over all that is there."""
+    from motion_tables.streaming.capture import evictions
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").where("user_id is not null and event_type is not null")
+    f = e.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("camera_id"), F.col("event_id").alias("sequence"), (D.micros("ts") * 1000).alias("ts_ns"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))
+    out = scratch_folder(spark, "evictions")
+    evictions(f, 600_000 * 10**9, 20_000).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    gone = spark.read.schema("session_id long, camera_id string, sequence long, ts_ns long, evicted_by string").parquet(out)
+    return D.frames(spark, d).join(gone, ["session_id", "camera_id", "sequence"], "left_anti").select("session_id", "camera_id", "sequence", "ts_ns")
+
+
 @_R.add("st2_stream_clips")
 def stream_clips(spark, d):
     """The clips of all triggers by the join of two streams, once over all that is there."""
@@ -210,7 +224,10 @@ def stream_clips(spark, d):
 
 from motion_tables.plans.join_queries import ORACLE_SQL as _JOINS  # noqa: E402
 
+from motion_tables.plans.series_queries import ORACLE_SQL as _SERIES  # noqa: E402
+
 ORACLE_SQL["st2_stream_clips"] = _JOINS["j17_trigger_clips"]
+ORACLE_SQL["st5_stream_retention"] = _SERIES["w22_retained"]
 
 
 @_R.add("u1_model_inference", f"WITH {D.POSE} SELECT video_id, frame, round(({x(0)} + {x(5)}) / 2, 6) AS x, round(({y(0)} + {y(5)}) / 2, 6) AS y, round(conf, 6) AS score FROM p WHERE frame % 17 <> 5")

@@ -7,6 +7,8 @@ stateful ingest, whose batch twins are the window functions ``order_violations``
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +45,34 @@ def ordered_ingest(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session_id", "camera_id").applyInPandasWithState(_ingest, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _evict(retention_ns: int, most_bytes: int):
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The camera's frames that are held, oldest first, as text; its length is bounded by the retention and the bytes."""
+        held = deque(json.loads(state.get[0]) if state.exists else [])
+        total = sum(b for _, _, b in held)
+        out = []
+        new = pd.concat(list(batches)).sort_values(["ts_ns", "sequence"])
+        for ns, sequence, size in zip(new["ts_ns"].tolist(), new["sequence"].tolist(), new["bytes"].fillna(0).astype("int64").tolist()):
+            held.append((ns, sequence, size))
+            total += size
+            while len(held) > 1 and (ns - held[0][0] > retention_ns or total > most_bytes):
+                old_ns, old, b = held.popleft()
+                total -= b
+                out.append((*key, old, old_ns, "time" if ns - old_ns > retention_ns else "bytes"))
+        state.update((json.dumps(list(held)),))
+        yield pd.DataFrame(out, columns=["session_id", "camera_id", "sequence", "ts_ns", "evicted_by"])
+
+    return work
+
+
+def evictions(frames: DataFrame, retention_ns: int, most_bytes: int) -> DataFrame:
+    """Frames that leave each camera's buffer, and whether time or bytes pushed them out, as newer ones come in: session_id, camera_id, sequence, ts_ns, evicted_by.  The newest frame always stays.
+
+    Rows of one micro-batch are taken in order of time; a frame without a size counts none.
+    """
+    return frames.groupBy("session_id", "camera_id").applyInPandasWithState(_evict(retention_ns, most_bytes), "session_id long, camera_id string, sequence long, ts_ns long, evicted_by string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def trigger_clips(triggers: DataFrame, frames: DataFrame, retention: str = "1 day") -> DataFrame:
     """Frames of each trigger's session within its pre-roll: an interval join of two watermarked streams; frames older than the retention leave the state, so it must be the longest pre-roll at least."""
     t = triggers.withWatermark("ts", retention).withColumnRenamed("ts", "trigger_ts").alias("t")
