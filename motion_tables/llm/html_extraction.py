@@ -258,11 +258,16 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = 5, support: float =
 
     A null or empty html has an empty text, 0 slots and 0 frame tokens.  A null url, or one without a host, belongs to the host of no name.  Pages of hosts
     under ``min_pages`` different pages take the template of all pages, if those are that many.  Rows of equal html count as one page of their host and give the same text.  An
-    empty table gives an empty result.  Templates of up to ``most_broadcast`` bytes in all are sent to the pages, more are joined to them by host.  Text cut off inside a tag, comment or script ends there.
+    empty table gives an empty result.  Templates, and keys of pages with copies, of up to ``most_broadcast`` bytes in all are sent to the pages, more are joined to them.  Text cut off inside a tag, comment or script ends there.
     """
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
-    distinct = keyed.withColumn("page", F.xxhash64("html")).groupBy("host", "page").agg(F.first("html").alias("html"))
+    # Only pages of which there are copies are shuffled to be counted once.
+    paged = keyed.select("host", F.xxhash64("html").alias("page"), "html")
+    copies = stored(paged.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").select("host", "page"), "copies")
+    listed = F.broadcast(copies) if copies.count() * 64 <= most_broadcast else copies
+    once = paged.join(listed, ["host", "page"], "left_anti").select("host", "page", "html")
+    distinct = once.unionByName(paged.join(listed, ["host", "page"], "left_semi").groupBy("host", "page").agg(F.first("html").alias("html")))
     kind = "host long, token long, pages long, times long, sum1 long, sum2 long, place double"
     tallied = distinct.mapInArrow(_tally, kind)
     tallied = stored(tallied.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "sum1", "sum2", "place")]), "tokens")
