@@ -18,6 +18,7 @@ from .mixing import mix_sources, taken
 from .pii import replace_pii
 from .quality_classifier import fit, fold, score
 from .quality_rules import quality_rules
+from .spelling_variants import spelling_forms, word_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(rows), rows)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with the form and the root that it is a variant of."""
+    return spelling_forms(word_counts(table(spark, sf_dir, "documents"), damaged_in=31).where("n >= 2"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -174,5 +181,22 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 , c AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(
     replace(replace(replace(replace(x, '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM c
+""",
+    # crc32 by its table of 256 values, over the UTF-8 bytes of letters below U+0100.
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t)
+, runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL)
+, coded AS (SELECT run, n, list_reduce(flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)),
+    lambda c, b: xor(c >> 8, t[1 + xor(c & 255, CAST(b AS BIGINT))]), 4294967295) AS c FROM runs, crc)
+, hashed AS (SELECT run, n, xor(c, 4294967295) AS h FROM coded)
+, words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2)
+, skips AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words))
+, less AS (SELECT DISTINCT s.word, s.n, w.word AS other, w.n AS m FROM skips s JOIN words w ON w.word = a || b)
+, near AS MATERIALIZED (SELECT s.word, s.n, o.word AS other, o.n AS m FROM skips s JOIN skips o USING (i, a, b) WHERE s.word <> o.word UNION ALL SELECT * FROM less UNION ALL SELECT other, m, word, n FROM less)
+, best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY ALL)
+, forms AS MATERIALIZED (SELECT word, other AS form, m AS form_n FROM best WHERE m >= 10 * n)
+, led AS (SELECT word, form AS root FROM forms UNION ALL SELECT l.word, f.form FROM led l JOIN forms f ON f.word = l.root)
+, ends AS (SELECT word, root FROM led l ANTI JOIN forms f ON f.word = l.root)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, f.form_n FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN ends e USING (word)
 """,
 }
