@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_join
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .lm_scoring import lm_scores
+from .minhash_dedup import near_duplicates
 from .mixing import mix_sources, taken
 from .pii import replace_pii
 from .quality_classifier import fit, fold, score
@@ -94,6 +95,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_forms(word_counts(table(spark, sf_dir, "documents"), damaged_in=31).where("n >= 2"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its near copies."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rkey")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
@@ -198,5 +205,15 @@ WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
 , led AS (SELECT word, form AS root FROM forms UNION ALL SELECT l.word, f.form FROM led l JOIN forms f ON f.word = l.root)
 , ends AS (SELECT word, root FROM led l ANTI JOIN forms f ON f.word = l.root)
 SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, f.form_n FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN ends e USING (word)
+""",
+    # All pairs of texts that share a shingle, then what they reach.
+    "op13_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+, s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0))
+, n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
+, links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c))
+, reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+, least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.b, d.doc_id) AS component_id, coalesce(l.b, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id
 """,
 }
