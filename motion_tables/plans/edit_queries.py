@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from motion_tables.operators import label_edits as L
+from motion_tables.operators import shot_edits as S
 from motion_tables.plans.registry import Registry
 from motion_tables.sources import derived as D
 
@@ -56,3 +57,30 @@ def refused_edits(spark, d):
 @_R.add("c12_label_positions", f"WITH RECURSIVE {_FOLD} SELECT stream_id, name AS \"position\", frame, origin, \"by\" AS set_by, image FROM (SELECT * FROM e1 WHERE op IN ('position', 'clear') AND why IS NULL QUALIFY row_number() OVER (PARTITION BY stream_id, name ORDER BY seq DESC) = 1) WHERE op = 'position'")
 def label_positions(spark, d):
     return L.label_positions(_checked(spark, d))
+
+
+#: A log of shots: lines are edits of the shot of a part, in order of the order; suppliers are sources, customers golfers.
+_SHOT_LOG = """SELECT (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000 AS seq, CASE l_partkey % 3 + l_linenumber % 2 WHEN 0 THEN 'shot' ELSE element_at(array('shot', 'stream', 'window', 'crop', 'quality', 'swing', 'review', 'same', 'sync', 'cal', 'remove', 'owner', 'golfer', 'paint'), CAST((l_orderkey * 5 + l_linenumber) % 41 AS INT) % 14 + 1) END AS op,
+    concat('o', CASE WHEN l_partkey % 50 = 7 THEN '?' ELSE '' END, l_partkey % 150) AS shot_id, concat('g', l_partkey % 150 % 5 + CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END) AS golfer_id, concat('s', l_partkey % 150 % 5 + 5 * (l_suppkey % 4)) AS source_id, CASE WHEN l_orderkey % 4 > 0 THEN element_at(array('face_on', 'overhead', 'unknown'), CAST(l_linenumber % 3 AS INT) + 1) END AS stream_id,
+    element_at(array('face_on', 'overhead', 'down_the_line', 'above'), CAST(l_orderkey % 13 % 4 AS INT) + 1) AS view, l_suppkey % 9 - 1 AS start_frame, l_partkey % 90 AS end_frame, CASE WHEN l_orderkey % 3 > 0 THEN named_struct('x', l_suppkey % 8 - 1, 'y', CAST(5 AS BIGINT), 'w', l_partkey % 700, 'h', l_suppkey % 40) END AS crop,
+    element_at(array('good', 'poor'), CAST(l_orderkey % 2 AS INT) + 1) AS body, CAST(NULL AS STRING) AS club, 'good' AS resolution, element_at(array('full', 'half', 'wedge'), CAST(l_orderkey % 7 % 3 AS INT) + 1) AS swing_type, element_at(array('asserted', 'verified', 'unknown', 'reviewed', 'estimated', 'not_applicable'), CAST(l_partkey % 6 AS INT) + 1) AS status,
+    CASE WHEN l_orderkey % 5 > 0 THEN 'flash' END AS method, element_at(array('ann', 'bob', ' '), CAST(l_suppkey % 8 % 3 AS INT) + 1) AS by, CAST(l_suppkey % 10 - 1 AS DOUBLE) AS uncertainty_ms, CASE l_orderkey % 8 WHEN 1 THEN 'bounded' WHEN 2 THEN 'included' WHEN 3 THEN 'odd' END AS exposure_alignment, CASE WHEN l_orderkey % 8 = 1 THEN CAST(2 AS DOUBLE) END AS exposure_uncertainty_ms FROM {t}"""
+_SHOT_SOURCES = "SELECT concat('s', s_suppkey) AS source_id, CASE WHEN s_suppkey % 6 > 0 THEN concat('g', s_suppkey % 5) END AS golfer_id, 40 + s_suppkey * 3 AS frame_count, 640 AS width, 480 AS height FROM {t} WHERE s_suppkey < 20"
+
+
+def shot_tables(spark, d):
+    """The golfers, sources, held shots and log that the queries of shots read."""
+    golfers = spark.sql("SELECT concat('g', c_custkey) AS golfer_id FROM {t} WHERE c_custkey < 4", t=D.table(spark, d, "customer"))
+    held = spark.sql("SELECT concat('o', p_partkey % 150) AS shot_id FROM {t} WHERE p_partkey % 9 = 0", t=D.table(spark, d, "part"))
+    log = spark.sql(_SHOT_LOG, t=D.table(spark, d, "lineitem"))
+    return golfers, spark.sql(_SHOT_SOURCES, t=D.table(spark, d, "supplier")), held, log
+
+
+@_R.add("c11_edited_shots")
+def edited_shots(spark, d):
+    return S.shot_rows(S.edited_shots(*shot_tables(spark, d)))
+
+
+@_R.add("c11_refused_shot_edits")
+def refused_shot_edits(spark, d):
+    return S.refusals(S.edited_shots(*shot_tables(spark, d)))
