@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,26 +54,34 @@ def shaft_positions(s: DataFrame, spans: DataFrame) -> DataFrame:
     return c.withColumn("_k", k).where("_k = 1").select(KEY, "p", F.col("nearest").alias("frame"), F.least(F.col("slope") / 60 / 2, F.lit(SHAFT_MOST)).alias("confidence"))
 
 
+#: Milliseconds after the last frame of a frame without a time, and of one whose time would not increase.
+MISSING_STEP, LEAST_STEP = 16.67, 0.001
+
+
 def repaired_times(s: DataFrame, fps: float = 60.0) -> DataFrame:
-    """t_ms with missing times set 16.67 ms after the one before, and those that do not increase to frame / fps or just after it; estimated marks both.  Each time depends on the one
-    before it as repaired, so a recording is walked through in order, in its own group."""
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("frame")
-        out, marks, last = [], [], None
-        for i, t in zip(g["frame"], g["t_ms"]):
-            missing = pd.isna(t)
-            now = (0.0 if last is None else last + 16.67) if missing else float(t)
-            behind = not missing and last is not None and now <= last
-            if behind:
-                now = max(i * 1000 / fps, last + 0.001)
-            out.append(now)
-            marks.append(bool(missing or behind))
-            last = now
-        return pd.DataFrame({KEY: g[KEY], "frame": g["frame"], "t_ms": out, "estimated": marks})
-
-    kind = s.schema[KEY].dataType.simpleString()
-    return s.select(KEY, "frame", "t_ms").groupBy(KEY).applyInPandas(walk, f"{KEY} {kind}, frame int, t_ms double, estimated boolean")
+    """video_id, frame, t_ms, estimated: a missing time is set 16.67 ms after the one before (0 for the first), and one that does not increase to frame / fps, or just after the one before; estimated marks both.
+
+    A time depends on the one before as repaired, but no repaired time can pass the largest of the times and of frame / fps so far, each moved on by the steps since (a running maximum).
+    A time beyond that stands whatever came before, so recordings are cut there, and only the frames up to the next such one are folded in order.
+    """
+    missing, nominal = F.col("t_ms").isNull(), F.col("frame") * 1000 / F.lit(fps)
+    w = by().rowsBetween(Window.unboundedPreceding, 0)
+    t = s.select(KEY, F.col("frame").cast("int").alias("frame"), F.col("t_ms").cast("double").alias("t_ms"))
+    t = t.withColumn("_o", F.sum(F.when(missing, MISSING_STEP).otherwise(LEAST_STEP)).over(w))
+    t = t.withColumn("_most", F.max(F.greatest("t_ms", F.when(~missing, nominal), F.lit(0.0)) - F.col("_o")).over(w) + F.col("_o"))
+    t = t.withColumn("_sure", F.coalesce(F.col("t_ms") > F.lag("_most").over(by()) + 1e-6, F.lag("frame").over(by()).isNull()))
+    t = t.withColumn("_run", F.sum(F.col("_sure").cast("int")).over(w))
+    g = t.groupBy(KEY, "_run").agg(F.array_sort(F.collect_list(F.struct("frame", "t_ms"))).alias("f"))
+    kind = "struct<last:double,out:array<struct<t_ms:double,estimated:boolean>>>"
+
+    def step(state, f):
+        last, now = state["last"], f["t_ms"]
+        behind = F.coalesce(now <= last, F.lit(False))
+        new = F.when(now.isNull(), F.coalesce(last + MISSING_STEP, F.lit(0.0))).when(behind, F.greatest(f["frame"] * 1000 / F.lit(fps), last + LEAST_STEP)).otherwise(now)
+        return F.struct(new, F.array_append(state["out"], F.struct(new, now.isNull() | behind).cast("struct<t_ms:double,estimated:boolean>"))).cast(kind)
+
+    out = F.aggregate("f", F.struct(F.lit(None), F.array()).cast(kind), step)["out"]
+    return g.select(KEY, F.explode(F.arrays_zip(F.col("f.frame").alias("frame"), out.alias("o"))).alias("e")).select(KEY, "e.frame", "e.o.t_ms", "e.o.estimated")
 
 
 def position_rows(documents: DataFrame) -> DataFrame:

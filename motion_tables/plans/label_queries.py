@@ -73,7 +73,9 @@ def shaft_positions(spark, d):
     return L.shaft_positions(s, spans)
 
 
-@_R.add("w10_repaired_times")
+@_R.add("w10_repaired_times", f"""WITH RECURSIVE {D.SIGNAL}, g AS MATERIALIZED (SELECT video_id, frame, CASE WHEN frame % 8 = 3 THEN NULL WHEN frame % 8 = 6 THEN t_ms - 60 ELSE t_ms END AS t FROM s)
+, r AS (SELECT video_id, frame, coalesce(t, 0) AS t_ms, t IS NULL AS estimated FROM g WHERE frame = 0 UNION ALL SELECT g.video_id, g.frame, CASE WHEN t IS NULL THEN r.t_ms + 16.67::DOUBLE WHEN t <= r.t_ms THEN greatest(g.frame * 1000 / 60.0::DOUBLE, r.t_ms + 0.001::DOUBLE) ELSE t END, t IS NULL OR t <= r.t_ms FROM r JOIN g ON g.video_id = r.video_id AND g.frame = r.frame + 1)
+SELECT video_id, frame, round(t_ms, 6) AS t_ms, estimated FROM r""")
 def repaired_times(spark, d):
     s = D.signal(spark, d).withColumn("t_ms", F.when(F.col("frame") % 8 == 3, None).when(F.col("frame") % 8 == 6, F.col("t_ms") - 60).otherwise(F.col("t_ms")))
     return rounded(L.repaired_times(s))
