@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motion_tables.functions.json import canonical_text
 from motion_tables.operators.catalog import reasons
 from motion_tables.operators.geometry import is_rigid
 
@@ -25,9 +26,9 @@ CATALOG = "struct<schema_version:int,revision:bigint,records:array<map<string,st
 CALIBRATION = "struct<calibration_id:string,cameras:array<struct<camera_id:string,width:int,height:int,rotation:array<double>,translation:array<double>>>>"
 
 
-def canonical_sha256(document: Column) -> Column:
-    """SHA-256 of a struct as compact JSON, nulls kept.  Fields stand in the struct's order: sorted by name it is the canonical form."""
-    return F.sha2(F.to_json(document, {"ignoreNullFields": "false"}), 256)
+def canonical_sha256(document: Column, text: bool = False) -> Column:
+    """SHA-256 of the canonical text of a struct, nulls kept, or of a JSON text: the order of fields and keys is of no account at any depth."""
+    return F.sha2(canonical_text(document if text else F.to_json(document, {"ignoreNullFields": "false"})), 256)
 
 
 def catalog_records(docs: DataFrame, id_field: str) -> DataFrame:
@@ -54,7 +55,7 @@ def frozen(collections: DataFrame, members: DataFrame, problems: DataFrame, who:
     c = c.withColumn("refused", refused).withColumn("document", F.struct("collection_id", F.lit(when).alias("frozen_at"), F.lit(who).alias("frozen_by"), "golfer_id", "shots"))
     c = c.withColumn("sha256", F.when(ok, canonical_sha256(F.col("document"))))
     path = F.concat(F.lit("snapshots/"), "collection_id", F.lit("-"), F.substring("sha256", 1, 12), F.lit(".json"))
-    return c.select("collection_id", "refused", F.when(ok, F.to_json("document", {"ignoreNullFields": "false"})).alias("snapshot"), "sha256", path.alias("path"), F.when(ok, F.size("shots").cast("long")).alias("shot_count"))
+    return c.select("collection_id", "refused", F.when(ok, canonical_text(F.to_json("document", {"ignoreNullFields": "false"}))).alias("snapshot"), "sha256", path.alias("path"), F.when(ok, F.size("shots").cast("long")).alias("shot_count"))
 
 
 def verified(snapshots: DataFrame, members: DataFrame) -> DataFrame:

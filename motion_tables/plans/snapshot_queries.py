@@ -23,10 +23,14 @@ def contract_views(spark, d):
     return D.table(spark, d, "orders").select("o_orderkey", contract_view(v).alias("contract"), contract_view(v).isNull().alias("rejected"))
 
 
-@_R.add("sc24_canonical_hashes", """SELECT o_orderkey, sha256('{"club":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || trim(o_orderpriority) || '"' END || ',"golfer_id":' || o_custkey || ',"shot_id":"o' || o_orderkey || '"}') AS sha256 FROM orders""")
+@_R.add("sc24_canonical_hashes", r"""SELECT o_orderkey, sha256('{"club":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '{"length_in":' || CASE WHEN o_orderkey % 2 = 0 THEN '34.5' ELSE '34' END || ',"name":"' || trim(o_orderpriority) || '","Ärmel":[' || CASE o_orderkey % 3 WHEN 0 THEN '1.0' WHEN 1 THEN '1' ELSE '1e-07' END || ',{"a":"\"\u0001","b":"é\n"}]}' END || ',"golfer_id":' || o_custkey || ',"shot_id":"o' || o_orderkey || '"}') AS sha256 FROM orders""")
 def canonical_hashes(spark, d):
-    doc = F.struct(E("CASE WHEN o_orderkey % 5 <> 0 THEN trim(o_orderpriority) END").alias("club"), F.col("o_custkey").alias("golfer_id"), F.concat(F.lit("o"), "o_orderkey").alias("shot_id"))
-    return D.table(spark, d, "orders").select("o_orderkey", S.canonical_sha256(doc).alias("sha256"))
+    """Documents whose keys stand in one of several orders, spelled in one of several ways."""
+    club = E(r"""CASE WHEN o_orderkey % 5 = 0 THEN 'null' WHEN o_orderkey % 4 = 1 THEN concat('{ "name" : "', trim(o_orderpriority), '", "\\u00c4rmel":[', n, ', {"b":"\\u00e9\\n","a":"\\"\\u0001"}], "length_in":', len, '}')
+        ELSE concat('{"length_in":', len, ',"\u00c4rmel":[', n, ',{"a":"\\u0022\\u0001","b":"é\\n"}],"name":"', trim(o_orderpriority), '"}') END""")
+    o = D.table(spark, d, "orders").withColumns({"n": E("CASE o_orderkey % 3 WHEN 0 THEN '1.0' WHEN 1 THEN '1' ELSE '1E-7' END"), "len": E("CASE WHEN o_orderkey % 2 = 0 THEN '3.450e1' ELSE '34' END")}).withColumn("club", club)
+    doc = E("""CASE WHEN o_orderkey % 2 = 0 THEN concat('{"shot_id":"o', o_orderkey, '","club":', club, ',"golfer_id":', o_custkey, '}') ELSE concat('{"golfer_id": ', o_custkey, ', "club": ', club, ', "shot_id": "o', o_orderkey, '"}') END""")
+    return o.select("o_orderkey", S.canonical_sha256(doc, text=True).alias("sha256"))
 
 
 @_R.add("sc28_confirmed", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'P' AND o_custkey % 2 = 0")
@@ -71,7 +75,7 @@ def calibration_cameras(spark, d):
 
 _MEMBERS = "me AS (SELECT 'k' || (o_custkey % 50) AS collection_id, 'o' || o_orderkey AS shot_id, 'x' || o_totalprice AS shot, o_orderkey FROM orders WHERE o_orderkey % 4 = 0), co AS (SELECT 'k' || s_suppkey AS collection_id, 'g' || s_nationkey AS golfer_id FROM supplier)"
 _FROZEN = f"""{_MEMBERS}, ms AS (SELECT collection_id, list_sort(list({{'shot_id': shot_id, 'shot': 's' || o_orderkey}})) AS shots, coalesce(list_sort(list(DISTINCT CASE o_orderkey % 1000 WHEN 0 THEN 'source missing' WHEN 500 THEN 'labels do not validate' END) FILTER (o_orderkey % 500 = 0)), []) AS problems FROM me GROUP BY collection_id)
-, fz AS (SELECT co.collection_id, CASE WHEN ms.collection_id IS NULL THEN ['no shots'] ELSE problems END AS refused, '{{"collection_id":"' || co.collection_id || '","frozen_at":"2024","frozen_by":"ann","golfer_id":"' || golfer_id || '","shots":' || CAST(to_json(shots) AS VARCHAR) || '}}' AS doc, len(shots) AS n FROM co LEFT JOIN ms ON ms.collection_id = co.collection_id)"""
+, fz AS (SELECT co.collection_id, CASE WHEN ms.collection_id IS NULL THEN ['no shots'] ELSE problems END AS refused, '{{"collection_id":"' || co.collection_id || '","frozen_at":"2024","frozen_by":"ann","golfer_id":"' || golfer_id || '","shots":' || CAST(to_json(list_transform(shots, lambda x: {{'shot': x.shot, 'shot_id': x.shot_id}})) AS VARCHAR) || '}}' AS doc, len(shots) AS n FROM co LEFT JOIN ms ON ms.collection_id = co.collection_id)"""
 
 
 def _collections(spark, d):
