@@ -127,14 +127,3 @@ def overlaid(points: DataFrame) -> DataFrame:
 def reconstruction_ids(inputs: DataFrame) -> DataFrame:
     """inputs (shot_id and a struct inputs) with reconstruction_id: the shot and the hash of what it is made from, so that a job run again writes the same place."""
     return inputs.withColumn("reconstruction_id", F.concat(F.col("shot_id").cast("string"), F.lit("-"), F.substring(canonical_sha256(F.col("inputs")), 1, 12)))
-
-
-def write_reconstructions(points: DataFrame, path: str) -> None:
-    """Points (shot_id, reconstruction_id and others) in a folder for each shot and reconstruction; those written again replace what they wrote before, others stay."""
-    points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shot_id", "reconstruction_id").parquet(path)
-
-
-def reconstruction_manifests(points: DataFrame) -> DataFrame:
-    """Of every reconstruction: points and a hash of all its points in order, against which a reader checks them."""
-    row = F.struct("frame", "point", *[F.round(c, 6).alias(c) for c in "xyz"])
-    return points.groupBy("shot_id", "reconstruction_id").agg(F.count("*").alias("points"), F.sum(F.xxhash64(F.to_json(row)).cast("decimal(38,0)")).cast("string").alias("checksum"))

@@ -160,16 +160,3 @@ def overlaid_points(spark, d):
 def first_pairs(spark, d):
     """A report of the twenty largest groups, in order."""
     return D.table(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "o_custkey", "o_orderdate").limit(20)
-
-
-@_R.add("snk3_reconstructions", f"WITH {D.POSE} SELECT video_id AS shot_id, video_id || '-' || substr(sha256('{{\"rig\":\"r1\",\"shot_id\":' || video_id || '}}'), 1, 12) AS reconstruction_id, count(*) AS points, true AS intact FROM p GROUP BY video_id")
-def reconstructions(spark, d):
-    """Written, half of them written again, read back and held against their manifests."""
-    q = P.at(F.col("lm"), 0)
-    made = S.reconstruction_ids(D.pose(spark, d).select(F.col("video_id").alias("shot_id"), "frame", F.lit("nose").alias("point"), *[q[k].alias(k) for k in "xyz"]).withColumn("inputs", F.struct(F.lit("r1").alias("rig"), "shot_id"))).drop("inputs")
-    out = scratch_folder(spark, "reconstructions")
-    S.write_reconstructions(made, out)
-    S.write_reconstructions(made.where("shot_id % 2 = 0"), out)
-    back = spark.read.schema(made.schema).parquet(out)
-    want = S.reconstruction_manifests(made).withColumnRenamed("checksum", "wanted").drop("points")
-    return S.reconstruction_manifests(back).join(want, ["shot_id", "reconstruction_id"], "left").select("shot_id", "reconstruction_id", "points", F.coalesce(F.col("checksum") == F.col("wanted"), F.lit(False)).alias("intact"))
