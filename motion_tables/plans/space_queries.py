@@ -172,34 +172,46 @@ def compared_measurements(spark, d):
     return rounded(compared(user, ref).select(F.col("pair_id").alias("video_id"), "frame", "key", "user_value", "ref_value", "difference"), 5)
 
 
-@_R.add("st1_ordered_ingest")
+#: A camera's frames for the ingest: ten sessions, numbers that at times repeat, sizes and formats that at times change; they arrive a little out of order.
+_ARRIVING = """SELECT user_id % 10 AS session_id, event_type AS camera_id, event_id * 4 + event_id * 7 % 1000 AS arrival, CAST(floor(event_id / 40) AS BIGINT) AS sequence, {ns} AS ts_ns, CAST(floor(value * 100) AS BIGINT) AS bytes,
+    CASE WHEN event_id % 37 = 5 THEN 320 ELSE 640 END AS width, 480 AS height, CASE WHEN event_id % 41 = 7 THEN 'yuv' ELSE 'rgb' END AS format, ts FROM {t} WHERE user_id IS NOT NULL AND event_type IS NOT NULL"""
+_DUCK_ARRIVING = _ARRIVING.replace("{ns}", "epoch_us(ts) * 1000").replace("{t}", "events")
+
+
+def _event_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern, so that a single file will do as well as a folder
+
+
+@_R.add("st1_ordered_ingest", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session_id, camera_id ORDER BY arrival, sequence, ts_ns) AS k FROM ({_DUCK_ARRIVING}))
+, r AS (SELECT DISTINCT session_id, camera_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS BIGINT) AS sequence, CAST(NULL AS BIGINT) AS ts_ns, CAST(NULL AS BIGINT) AS last_ns, CAST(NULL AS BIGINT) AS last_sequence, CAST(NULL AS INTEGER) AS w, CAST(NULL AS VARCHAR) AS f, CAST(NULL AS VARCHAR) AS rule, CAST(0 AS BIGINT) AS missing FROM e
+UNION ALL SELECT session_id, camera_id, k, arrival, sequence, ts_ns, CASE WHEN rule IS NULL THEN ts_ns ELSE last_ns END, CASE WHEN rule IS NULL THEN sequence ELSE last_sequence END, w, f, rule, CASE WHEN rule IS NULL THEN coalesce(sequence - last_sequence - 1, 0) ELSE 0 END
+    FROM (SELECT *, CASE WHEN width <> w THEN 'size changed' WHEN format <> f THEN 'format changed' WHEN ts_ns = last_ns THEN 'duplicate timestamp' WHEN ts_ns < last_ns THEN 'backward timestamp' WHEN sequence <= last_sequence THEN 'sequence does not increase' WHEN bytes > 40000 THEN 'larger than the buffer' END AS rule
+    FROM (SELECT e.*, r.last_ns, r.last_sequence, coalesce(r.w, e.width) AS w, coalesce(r.f, e.format) AS f FROM r JOIN e ON e.session_id = r.session_id AND e.camera_id = r.camera_id AND e.k = r.k + 1)))
+SELECT session_id, camera_id, arrival, sequence, rule IS NULL AS accepted, rule, missing FROM r WHERE k > 0""")
 def ordered_ingest(spark, d):
     """Frames through the stateful stream, once over all that is there; what it wrote is read back."""
-    from motion_tables.streaming.capture import ordered_ingest as ingest
+    from motion_tables.streaming import capture
 
-    events = f"{d}/events.parquet"  # a pattern to the stream, so that a single file will do as well as a folder
-    schema = spark.read.parquet(events).schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").where("user_id is not null and event_type is not null")
-    ns = (D.micros("ts") * 1000).alias("ts_ns")
-    f = e.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("camera_id"), F.col("event_id").alias("sequence"), ns, F.floor(F.col("value") * 100).cast("long").alias("bytes"), F.col("ts").cast("timestamp").alias("ts"))
+    capture.state_store(spark)
+    f = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("*", "unix_micros(ts) * 1000 AS ns")
+    frames = spark.sql(_ARRIVING.replace("{ns}", "ns"), t=f)
     out = scratch_folder(spark, "ingest")
-    stream = ingest(f).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
-    stream.awaitTermination()
-    return spark.read.parquet(out).select("session_id", "camera_id", "sequence", "accepted", "rule", "missing")
+    capture.ordered_ingest(frames, most_bytes=40_000).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(capture.OUT).parquet(out).select("session_id", "camera_id", "arrival", "sequence", "accepted", "rule", "missing")
 
 
 @_R.add("st5_stream_retention")
 def stream_retention(spark, d):
-    """What is left of every camera's frames after the stream has evicted others, once over all that is there."""
-    from motion_tables.streaming.capture import evictions
-
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").where("user_id is not null and event_type is not null")
-    f = e.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("camera_id"), F.col("event_id").alias("sequence"), (D.micros("ts") * 1000).alias("ts_ns"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))
-    out = scratch_folder(spark, "evictions")
-    evictions(f, 600_000 * 10**9, 20_000).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
-    gone = spark.read.schema("session_id long, camera_id string, sequence long, ts_ns long, evicted_by string").parquet(out)
-    return D.frames(spark, d).join(gone, ["session_id", "camera_id", "sequence"], "left_anti").select("session_id", "camera_id", "sequence", "ts_ns")
+    """What each camera still holds of what a stream has brought in: the retention is a window over the landed frames, so nothing is buffered in a state."""
+    from motion_tables.operators.windows import retained
+
+    f = _event_stream(spark, d).where("user_id is not null and event_type is not null")
+    f = f.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("camera_id"), F.col("event_id").alias("sequence"), (D.micros("ts") * 1000).alias("ts_ns"), F.floor(F.col("value") * 100).cast("long").alias("bytes"))
+    out = scratch_folder(spark, "landed")
+    f.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    landed = spark.read.schema("session_id long, camera_id string, sequence long, ts_ns long, bytes long").parquet(out)
+    return retained(landed, 600_000 * 10**9, 20_000).select("session_id", "camera_id", "sequence", "ts_ns")
 
 
 @_R.add("st2_stream_clips")

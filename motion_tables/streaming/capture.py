@@ -1,76 +1,90 @@
 """Streams of camera frames: ordered ingest with state, trigger clips, live counts.
 
-A frame stream has session_id, camera_id, sequence, ts_ns, bytes and ts (a timestamp of ts_ns, for watermarks); a trigger stream session_id, shot_id,
+A frame stream has the columns of ``FRAMES``: arrival is the source's own number, ts a timestamp of ts_ns, for watermarks; a trigger stream session_id, shot_id,
 trigger_ns, pre_roll_ns and ts.  The exact bounds are always those in nanoseconds.  Every function takes a streaming or a batch DataFrame, but for the
 stateful ingest, whose batch twins are the window functions ``order_violations``, ``sequence_gaps`` and ``retained``.
 """
 
 from __future__ import annotations
 
-import json
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
-FRAMES = "session_id long, camera_id string, sequence long, ts_ns long, bytes long, ts timestamp"
-OUT = "session_id long, camera_id string, sequence long, ts_ns long, accepted boolean, rule string, missing long, dropped_so_far long"
-STATE = "last_ns long, last_sequence long, dropped long"
+FRAMES = "session_id long, camera_id string, arrival long, sequence long, ts_ns long, bytes long, width int, height int, format string, ts timestamp"
+OUT = "session_id long, camera_id string, arrival long, sequence long, ts_ns long, accepted boolean, rule string, missing long, dropped_so_far long"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+STATE = "last_ns long, last_sequence long, dropped long, width int, height int, format string"
 
 
-def _ingest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Frames of one camera in arrival order against the last accepted one.  State is three numbers, whatever the camera has sent."""
-    last_ns, last_sequence, dropped = state.get if state.exists else (None, None, 0)
-    rows = []
-    for batch in batches:
+class Ingest(StatefulProcessor):
+    """The frames of one camera, in the order in which they arrived, against the last accepted one.  State is six values, whatever the camera has sent."""
+
+    def __init__(self, most_bytes: int | None, idle_ms: int | None):
+        self.most_bytes, self.idle_ms = most_bytes, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.last.exists()
+        ns, sequence, dropped, *kind = self.last.get() if known else (None, None, 0, None, None, None)
+        batch, out = pd.concat(list(rows)).sort_values(["arrival", "sequence", "ts_ns"], kind="stable"), []
         for f in batch.itertuples(index=False):
-            rule = None
-            if last_ns is not None:
-                rule = "duplicate timestamp" if f.ts_ns == last_ns else "backward timestamp" if f.ts_ns < last_ns else "sequence does not increase" if f.sequence <= last_sequence else None
-            missing = 0 if rule or last_sequence is None else int(f.sequence - last_sequence - 1)
+            if not known:
+                known, kind = True, [f.width, f.height, f.format]
+            rule = self.rule(f, ns, sequence, kind)
+            missing = 0 if rule or sequence is None else int(f.sequence - sequence - 1)
             if rule is None:
-                last_ns, last_sequence, dropped = int(f.ts_ns), int(f.sequence), dropped + missing
-            rows.append((*key, f.sequence, f.ts_ns, rule is None, rule, missing, dropped))
-    if last_ns is not None:
-        state.update((last_ns, last_sequence, dropped))
-    yield pd.DataFrame(rows, columns=["session_id", "camera_id", "sequence", "ts_ns", "accepted", "rule", "missing", "dropped_so_far"])
-
-
-def ordered_ingest(frames: DataFrame) -> DataFrame:
-    """Every frame with whether it is accepted, the rule it breaks if not, and the holes before it; a frame older than the last accepted one is refused however late it
-    comes, since the state outlives every window.  Rows of one micro-batch reach the state in the order of the source."""
-    return frames.groupBy("session_id", "camera_id").applyInPandasWithState(_ingest, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def _evict(retention_ns: int, most_bytes: int):
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """The camera's frames that are held, oldest first, as text; its length is bounded by the retention and the bytes."""
-        held = deque(json.loads(state.get[0]) if state.exists else [])
-        total = sum(b for _, _, b in held)
-        out = []
-        new = pd.concat(list(batches)).sort_values(["ts_ns", "sequence"])
-        for ns, sequence, size in zip(new["ts_ns"].tolist(), new["sequence"].tolist(), new["bytes"].fillna(0).astype("int64").tolist()):
-            held.append((ns, sequence, size))
-            total += size
-            while len(held) > 1 and (ns - held[0][0] > retention_ns or total > most_bytes):
-                old_ns, old, b = held.popleft()
-                total -= b
-                out.append((*key, old, old_ns, "time" if ns - old_ns > retention_ns else "bytes"))
-        state.update((json.dumps(list(held)),))
-        yield pd.DataFrame(out, columns=["session_id", "camera_id", "sequence", "ts_ns", "evicted_by"])
-
-    return work
-
-
-def evictions(frames: DataFrame, retention_ns: int, most_bytes: int) -> DataFrame:
-    """Frames that leave each camera's buffer, and whether time or bytes pushed them out, as newer ones come in: session_id, camera_id, sequence, ts_ns, evicted_by.  The newest frame always stays.
-
-    Rows of one micro-batch are taken in order of time; a frame without a size counts none.
+                ns, sequence, dropped = int(f.ts_ns), int(f.sequence), dropped + missing
+            out.append((*key, f.arrival, f.sequence, f.ts_ns, rule is None, rule, missing, dropped))
+        self.last.update((ns, sequence, dropped, int(kind[0]), int(kind[1]), kind[2]))
+        if self.idle_ms is not None:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + self.idle_ms)
+        yield pd.DataFrame(out, columns=NAMES)
+
+    def rule(self, f, ns: int | None, sequence: int | None, kind: list) -> str | None:
+        """The first rule that a frame breaks; a refused frame changes nothing."""
+        if (f.width, f.height) != (kind[0], kind[1]):
+            return "size changed"
+        if f.format != kind[2]:
+            return "format changed"
+        if ns is not None and f.ts_ns <= ns:
+            return "duplicate timestamp" if f.ts_ns == ns else "backward timestamp"
+        if sequence is not None and f.sequence <= sequence:
+            return "sequence does not increase"
+        return "larger than the buffer" if self.most_bytes is not None and f.bytes > self.most_bytes else None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The camera has been silent: a row without a frame says so.  The last numbers stay, so what it sends late is refused as before."""
+        ns, sequence, dropped, *_ = self.last.get()
+        yield pd.DataFrame([(*key, None, sequence, ns, None, "silent", 0, dropped)], columns=NAMES).astype({"arrival": "Int64", "accepted": "boolean"})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_ingest(frames: DataFrame, *, most_bytes: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Every frame of a stream with whether it is accepted, the rule it breaks if not, and the holes before it.
+
+    ``arrival`` is the number that the source gave the frame: rows of a micro-batch reach the state in any order and are put in the order of arrival there, so a camera's frames must be in
+    micro-batches in that order, as a source that numbers them hands them out.  A camera's first frame fixes its size and format.  A frame older than the last accepted one is refused however late it
+    comes, since the state outlives every window.  With ``idle_ms`` (and a watermark on ts) a camera silent for so long gives a row with the rule ``silent``.
+
+    The session needs the RocksDB state store (``state_store``).
     """
-    return frames.groupBy("session_id", "camera_id").applyInPandasWithState(_evict(retention_ns, most_bytes), "session_id long, camera_id string, sequence long, ts_ns long, evicted_by string", "held string", "append", GroupStateTimeout.NoTimeout)
+    mode = "none" if idle_ms is None else "eventTime"
+    return frames.groupBy("session_id", "camera_id").transformWithStateInPandas(Ingest(most_bytes, idle_ms), OUT, "append", mode)
+
+
+def state_store(spark) -> None:
+    """Sets the state store that custom state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def trigger_clips(triggers: DataFrame, frames: DataFrame, retention: str = "1 day") -> DataFrame:

@@ -33,40 +33,6 @@ def test_w10_repaired_times(spark):
     assert all(abs(got[k][0] - want[k][0]) < 1e-5 for k in want)
 
 
-def test_st1_ordered_ingest(spark):
-    state, want = {}, {}
-    for r in D.frames(spark, FOLDER).collect():  # a micro-batch's rows reach the state in the order of the source
-        key = (r.session_id, r.camera_id)
-        ns, seq = state.get(key, (None, None))
-        rule = None if ns is None else "duplicate timestamp" if r.ts_ns == ns else "backward timestamp" if r.ts_ns < ns else "sequence does not increase" if r.sequence <= seq else None
-        missing = 0 if rule or seq is None else r.sequence - seq - 1
-        if rule is None:
-            state[key] = (r.ts_ns, r.sequence)
-        want[r.session_id, r.camera_id, r.sequence] = (rule is None, rule, missing)
-    got = {(r.session_id, r.camera_id, r.sequence): (r.accepted, r.rule, r.missing) for r in QUERIES["st1_ordered_ingest"](spark, FOLDER).collect()}
-    assert {*got} == {*want}
-    assert sum(got[k] == want[k] for k in want) >= 0.99 * len(want)  # equal times of one camera may come in either order
-
-
-def test_late_frames_are_refused_after_they_left_the_window(spark):
-    """A frame older than the last accepted one is refused, however old."""
-    import pandas as pd
-
-    from motion_tables.streaming.capture import _ingest
-
-    class State:
-        exists, get = False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-    state = State()
-    rows = pd.DataFrame({"sequence": [1, 2, 9, 3, 10], "ts_ns": [10, 20, 10**15, 30, 10**15 + 1], "bytes": 1})
-    first = next(_ingest((1, "c"), iter([rows.iloc[:3]]), state))
-    later = next(_ingest((1, "c"), iter([rows.iloc[3:]]), state))
-    assert first["accepted"].tolist() == [True, True, True] and later["accepted"].tolist() == [False, True] and later["rule"].tolist()[0] == "backward timestamp"
-
-
 @pytest.fixture(scope="module")
 def labels(spark):
     return D.labels(spark, FOLDER)
