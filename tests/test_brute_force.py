@@ -123,3 +123,33 @@ def test_d16_transfer_of_a_recording_to_itself_keeps_what_is_not_refined(spark):
     plain = v.select(F.col("video_id"), *[F.lit(f).cast("long").alias(k) for k, f in (("p1", 0), ("p4", 1), ("p6", 2), ("p9", 3))])
     want = {(r.video_id, r.p): r.frame for r in S.local_refinements(p.join(v.select("video_id"), "video_id"), plain).collect()}
     assert got == want and len(got) == 9 * v.count()
+
+
+def test_world_frames_recover_the_rig(spark):
+    """Ground, line and ball of known worlds seen from turned rigs."""
+    from motion_tables.operators import fits as X
+
+    rng, rows, truth = np.random.RandomState(9), [], {}
+    for shot in range(20):
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn = turn if np.linalg.det(turn) > 0 else -turn
+        at = rng.normal(size=3) * 3
+        rig = lambda p, turn=turn, at=at: [float(v) for v in turn.T @ (np.asarray(p, float) - at)]
+        ground = [rig([*rng.normal(size=2), rng.normal() * 1e-3]) for _ in range(6)]
+        front = [2.0, 0.0, 0.3] if shot % 4 else [0.5, 0.0, 2.0]
+        rows.append((shot, ground if shot % 5 else ground[:2], rig([0, 0, 0.3]), rig(front), rig([0, 0, 0.02]), rig([0, 0, 2.0])))
+        truth[shot] = (turn, at)
+    e = spark.createDataFrame(rows, "shot_id int, ground array<array<double>>, back array<double>, front array<double>, ball array<double>, up array<double>")
+    for r in X.world_frames(e).collect():
+        if r.shot_id % 5 == 0 or r.shot_id % 4 == 0:
+            assert r.rig_to_world is None and r.reason == ("no ground" if r.shot_id % 5 == 0 else "target line nearly upright")
+            continue
+        m, (turn, at) = np.array(r.rig_to_world).reshape(4, 4), truth[r.shot_id]
+        assert np.allclose(m[:3, :3] @ m[:3, :3].T, np.eye(3), atol=1e-9) and np.linalg.det(m[:3, :3]) > 0
+        assert np.abs(m[:3, :3] - turn).max() < 0.02 and np.abs(m[:3, 3] - at).max() < 0.02
+    def floats(*points):
+        return [[float(v) for v in p] for p in points]
+
+    line = (*floats([0, 0, 0], [2, 0, 0], [0, 0, 0], [0, 0, 1]),)
+    flat = spark.createDataFrame([(1, floats([0, 0, 0], [1, 0, 0], [2, 0, 0]), *line), (2, floats([0, 0, 0], [1, 0, 0.2], [0, 1, 0.3], [1, 1, -0.4]), *line), (3, None, None, None, None, None)], e.schema)
+    assert {r.shot_id: r.reason for r in X.world_frames(flat).collect()} == {1: "ground points in one line", 2: "ground points off a plane", 3: "no ball"}
