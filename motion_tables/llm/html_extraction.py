@@ -8,10 +8,11 @@ a block of text goes, wherever it stands, if the template holds each of its word
 
 The occurrence vector of a token is never gathered: every page adds a hash of (page, count) to two sums, and tokens of one host with
 the same sums and number of pages have the same vector.  So classes come from one aggregation, summed in each task first; no host's pages are
-ever together in one task.  Copies of a page count once.  A host of fewer than ``min_pages`` pages takes the template of all hosts.
+ever together in one task.  Pages of one host whose text is the same without any template count once, however they differ beside it: what they share is their story, and no template.  A host of fewer than ``min_pages`` pages takes the template of all hosts.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments, by their elements' names,
-whole classes and ids, are left out afterwards; but where no article outside such names has text, names do not count on elements that hold an article or main element.  If some slot left is in an article or main element only such slots are the text.
+whole classes and ids, are left out afterwards; but where no article outside such elements has text, those that hold an article or main element do not count.  If some slot left is in an article or main element only such slots are the text, unless
+there is so much more text outside that the articles are teasers.  An article among readers' comments, or named as one, is no article.  A heading in an article is never the template's.  A page that is all in forms keeps their text.
 """
 
 from __future__ import annotations
@@ -44,24 +45,30 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _WALL = {"p": {"article", "aside", "body", "div", "main", "section", "td", "th", "li", "blockquote"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_NEVER = frozenset("head nav footer aside form button select menu dialog object canvas".split())
+_NEVER = frozenset("head button select menu dialog object canvas".split())
+_BESIDE = frozenset("nav footer aside form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OTHER = r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|menus?|nav|navbar|navigation|breadcrumbs?|masthead|notices?|cookies?|consent|popup|modal|newsletter|subscribe" \
     r"|comments?|replies|disqus|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|complementary|contentinfo|search|footer|header"
 # Whole names alone: listed words, and between them words that say nothing of the content.
 _NAMED = re.compile(rf"(?:(?:site|top|bottom|left|right|main|global)[-_])*(?:{_OTHER})(?:[-_](?:{_OTHER}|bar|box|area|list|section|block|wrap|wrapper|container|widget|links?|buttons?))*[-_]?\d*", re.I)
+# Names of what readers have written; a name that says that there may be such text is none.
+_REMARK = re.compile(r"(?:user|reader|visitor)?[-_]?(?:comments?|replies|reply|disqus|responses?|feedback)(?:[-_](?!open|closed|off|on|enabled|disabled|count|link|status).*)?\d*", re.I)
 _INSIDE = frozenset(("article", "main"))
+#: Text outside articles that is so many times theirs is the page's; the articles are teasers then.
+TEASED = 3
 SHORT = 8
 SALTS = 32
 _SALT = series(4, 8) | np.uint64(1)
 
 
 class Node:
-    """A text node: its text, its path's hash, its place among the page's tokens, whether its elements can hold main text, the elements around it whose names say that they do not, and whether it is in an article."""
+    """A text node: its text, its path's hash, its place among the page's tokens, whether its elements can hold main text, the elements around it that say that they do not, whether it is in an article and in a heading."""
 
-    __slots__ = ("text", "path", "at", "open", "named", "inside")
+    __slots__ = ("text", "path", "at", "open", "named", "inside", "heading")
 
-    def __init__(self, text: str, path: int, at: int, is_open: bool, named: tuple[int, ...], inside: bool):
-        self.text, self.path, self.at, self.open, self.named, self.inside = text, path, at, is_open, named, inside
+    def __init__(self, text: str, path: int, at: int, is_open: bool, named: tuple[int, ...], inside: bool, heading: bool):
+        self.text, self.path, self.at, self.open, self.named, self.inside, self.heading = text, path, at, is_open, named, inside, heading
 
 
 def _other(names: str, inside: bool) -> bool:
@@ -74,11 +81,13 @@ def parse(page: str) -> tuple[list[int], list[Node | None]]:
     return _parse(page)[:2]
 
 
-def _parse(page: str) -> tuple[list[int], list[Node | None], set[int]]:
-    """As parse, and the named elements that hold an article or main element."""
+def _parse(page: str) -> tuple[list[int], list[Node | None], set[int], set[int]]:
+    """As parse, the elements of other content that hold an article or main element all the same, and those that are forms.  An article that readers wrote is none."""
     tokens, nodes = [], []
-    stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, True, (), False)]  # name, path, open, named elements, inside an article
+    # name, path, open, elements of other content around it, inside an article, in a heading, among readers' remarks
+    stack: list[tuple[str, int, bool, tuple[int, ...], bool, bool, bool]] = [("", 0, True, (), False, False, False)]
     holders: set[int] = set()
+    forms: set[int] = set()
     digest = xxhash.xxh64_intdigest
 
     def shut(depth: int) -> None:
@@ -87,15 +96,15 @@ def _parse(page: str) -> tuple[list[int], list[Node | None], set[int]]:
 
     for m in _TOKEN.finditer(page):
         text, name = m["text"], m["name"]
-        _, path, is_open, named, inside = stack[-1]
+        _, path, is_open, named, inside, heading, remark = stack[-1]
         if text is not None:
             plain = entities.unescape(text)
             words = plain.split()
             if words:
-                nodes.append(Node(plain, path, len(tokens), is_open, named, inside))
+                nodes.append(Node(plain, path, len(tokens), is_open, named, inside, heading))
                 tokens.extend(digest(w, path) for w in words) if len(words) <= SHORT else tokens.append(digest(" ".join(words), path))
             elif plain:
-                nodes.append(Node(" ", path, len(tokens), is_open, named, inside))
+                nodes.append(Node(" ", path, len(tokens), is_open, named, inside, heading))
             continue
         if name is None:
             continue
@@ -111,7 +120,7 @@ def _parse(page: str) -> tuple[list[int], list[Node | None], set[int]]:
                     nodes.append(None)
             continue
         if name == "br":
-            nodes.append(Node(" ", path, len(tokens), is_open, named, inside))
+            nodes.append(Node(" ", path, len(tokens), is_open, named, inside, heading))
         if name in _INLINE:
             tokens.append(digest("<" + name, path))
             continue
@@ -123,20 +132,32 @@ def _parse(page: str) -> tuple[list[int], list[Node | None], set[int]]:
                     break
                 if stack[depth][0] in wall:
                     break
-        _, path, is_open, named, inside = stack[-1]
+        _, path, is_open, named, inside, heading, remark = stack[-1]
         names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m["rest"])) if m["rest"] else ""
         role = digest("<" + name + "." + names, path)
         tokens.append(role)
         nodes.append(None)
         if name not in _VOID and not m["rest"].endswith("/"):
-            inside_now = inside or name in _INSIDE
-            closed = name in _NEVER or (name == "header" and not inside_now)
-            if name in _INSIDE and not inside:
+            written = remark or any(_REMARK.fullmatch(x) for x in names.split())
+            article = name in _INSIDE and not written
+            inside_now = inside or article
+            if article and not inside:
                 holders.update(named)
-            elif name not in ("body", "html", "article", "main") and _other(names, inside_now):
+            elif name in _BESIDE or (name == "header" and not inside_now) or (name not in ("body", "html", "article", "main") and _other(names, inside_now)) or (written and name in _INSIDE):
                 named = (*named, len(tokens))
-            stack.append((name, role, is_open and not closed, named, inside_now))
-    return tokens, nodes, holders
+                if name == "form":
+                    forms.add(len(tokens))
+            stack.append((name, role, is_open and name not in _NEVER, named, inside_now, heading or name in _HEADINGS, written and name not in ("body", "html")))
+    return tokens, nodes, holders, forms
+
+
+def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of each page's text as it is without a template."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            main = np.array([xxhash.xxh64_intdigest(extract(page or "", {}, {})[0]) for page in part.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(main.view(np.int64))], ["host", "page", "main"])
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +239,7 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
 
     frame: the rank of each token; nested: the slot in which each token's class begins.
     """
-    tokens, nodes, holders = _parse(page)
+    tokens, nodes, holders, forms = _parse(page)
     cuts = slots(tokens, frame)
     places, ranks = set(cuts), [frame[tokens[c]] for c in cuts]
 
@@ -237,7 +258,7 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
 
     def end() -> None:
         own = [(n, n.at + i) for n in block for i in range(_size(n.text))]
-        if own and own[0][0].open and not all(fixed(place) for _, place in own):
+        if own and own[0][0].open and (own[0][0].inside and own[0][0].heading or not all(fixed(place) for _, place in own)):
             blocks.append((_SPACE.sub(" ", "".join(n.text for n in block)).strip(), own[0][0].named, own[0][0].inside, {bisect_left(cuts, n.at) for n, _ in own}))
         block.clear()
 
@@ -247,9 +268,13 @@ def extract(page: str, frame: dict[int, int], nested: dict[int, int]) -> tuple[s
         else:
             block.append(n)
     end()
-    named = [b for b in blocks if not b[1]]
-    freed = [b for b in blocks if holders.issuperset(b[1])]  # no name closes an element that holds the page's article
-    kept = [b for b in named if b[2]] or [b for b in freed if b[2]] or freed
+    plain = [b for b in blocks if not b[1]]
+    freed = [b for b in blocks if holders.issuperset(b[1])]  # nothing closes an element that holds the page's article
+    kept = [b for b in plain if b[2]] or [b for b in freed if b[2]]
+    around = [b for b in plain if not b[2]]
+    if TEASED * sum(len(b[0].split()) for b in kept) < sum(len(b[0].split()) for b in around):
+        kept = around
+    kept = kept or freed or [b for b in blocks if forms.issuperset(b[1])]
     return "\n".join(b[0] for b in kept), len(set().union(*(b[3] for b in kept))), len(cuts)
 
 
@@ -257,17 +282,19 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = 5, support: float =
     """One row per row of pages (page_id, url, html; others are not read): page_id, url, text, slots (that the text fills), frame_tokens (of the template, on the page).
 
     A null or empty html has an empty text, 0 slots and 0 frame tokens.  A null url, or one without a host, belongs to the host of no name.  Pages of hosts
-    under ``min_pages`` different pages take the template of all pages, if those are that many.  Rows of equal html count as one page of their host and give the same text.  An
+    under ``min_pages`` different pages take the template of all pages, if those are that many.  Rows of equal html, or of equal text without a template, count as one page of their host; rows of equal html give the same text.  An
     empty table gives an empty result.  Templates, and keys of pages with copies, of up to ``most_broadcast`` bytes in all are sent to the pages, more are joined to them.  Text cut off inside a tag, comment or script ends there.
     """
     host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
     # Only pages of which there are copies are shuffled to be counted once.
     paged = keyed.select("host", F.xxhash64("html").alias("page"), "html")
-    copies = stored(paged.groupBy("host", "page").agg(F.count("*").alias("n")).where("n > 1").select("host", "page"), "copies")
+    mains = stored(paged.mapInArrow(_main, "host long, page long, main long"), "mains")
+    alike = mains.groupBy("host", "main").agg(F.count("*").alias("n"), F.min("page").alias("first")).where("n > 1")
+    copies = stored(mains.join(alike, ["host", "main"]).select("host", "page", (F.col("page") == F.col("first")).alias("counts")).distinct(), "copies")
     listed = F.broadcast(copies) if copies.count() * 64 <= most_broadcast else copies
     once = paged.join(listed, ["host", "page"], "left_anti").select("host", "page", "html")
-    distinct = once.unionByName(paged.join(listed, ["host", "page"], "left_semi").groupBy("host", "page").agg(F.first("html").alias("html")))
+    distinct = once.unionByName(paged.join(listed.where("counts"), ["host", "page"], "left_semi").groupBy("host", "page").agg(F.first("html").alias("html")))
     kind = "host long, token long, pages long, times long, sum1 long, sum2 long, place double"
     tallied = distinct.mapInArrow(_tally, kind)
     tallied = stored(tallied.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "sum1", "sum2", "place")]), "tokens")

@@ -76,6 +76,36 @@ def test_classes_are_tokens_of_equal_occurrences(spark):
     assert {x & (2**64 - 1) for x in t.frame} == once and len(t.nested) == 2
 
 
+STORY = "<h1>A story</h1><p>It was a long day in the small town, and nobody knew why.</p><p>Then it rained.</p>"
+TOLD = "A story\nIt was a long day in the small town, and nobody knew why.\nThen it rained."
+
+
+def test_copies_of_one_story_keep_it(spark):
+    page = "<body><div>visit {i}</div><article>" + STORY + "</article><div>seen {i} times</div></body>"
+    got = texts(spark, [(i, f"http://h.org/{i}", page.format(i=i)) for i in range(6)])
+    assert {r.text for r in got.values()} == {TOLD}
+
+
+def test_headings_that_stories_share_stay(spark):
+    page = "<body><p>Our site</p><article><h1>Story {i}</h1><h2>Summary</h2><p>In short {i} of it</p><h2>Background</h2><p>At length {i} more</p></article></body>"
+    got = texts(spark, [(i, f"http://h.org/{i}", page.format(i=i)) for i in range(6)])
+    assert got[4].text == "Story 4\nSummary\nIn short 4 of it\nBackground\nAt length 4 more"
+
+
+REMARK = '<section id="comments"><article class="comment-body"><p>I like this very much</p></article></section>'
+TEASER = '<article><h3><a href="/x">Another story</a></h3></article>'
+
+
+@pytest.mark.parametrize("html,text", [
+    (f'<form id="aspnetForm"><div class="menu">Home</div><article>{STORY}</article></form>', TOLD), (f"<nav><ul><li>Home</ul><article>{STORY}</article>", TOLD), (f'<div class="story">{STORY}</div>{REMARK}', TOLD),
+    (f'<article>{STORY}<article class="comment"><p>I like this</p></article></article>', TOLD), (f'<div class="story">{STORY}</div>{TEASER}', TOLD), (f'<form><div>{STORY}</div></form>', TOLD), (f"<article>{STORY}</article>{REMARK}", TOLD),
+    (f'<article class="post comments-open">{STORY}</article><aside>More</aside>', TOLD), (f"<main><article>{STORY}</article>{REMARK}</main>", TOLD), (f'<article>{STORY}<div class="comments"><article><p>Mine</p></article></div></article>', TOLD),
+    (f"<article>{STORY}<form><p>Your name</p></form></article>", TOLD), (f'<header><nav>Home</nav></header><div id="content">{STORY}</div><footer>Us</footer>', TOLD),
+])
+def test_layouts(html, text):
+    assert H.extract(f"<body>{html}</body>", {}, {})[0] == text
+
+
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("plain &amp text", "plain & text"), ("<p>a<br>b</p>c", "a b\nc"), ("<p>cut <b", "cut"), ("<!-- x", ""), ("a < b", "a < b"), ("<script>x", ""), ('<p title="a>b">t</p>', "t"), ("<article>x</article>y", "x")])
 def test_small_pages(spark, html, text):
     r = texts(spark, [(1, None, html)])[1]
