@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motion_tables.functions import pose as P
@@ -37,14 +37,30 @@ def two_phase(pairs: DataFrame) -> DataFrame:
     return before.unionByName(after)
 
 
+#: Rows 0 to 3 of the projection of seven values on a quadratic, times 42.
+_QUADRATIC = [[32, 15, 3, -4, -6, -3, 5], [15, 12, 9, 6, 3, 0, -3], [3, 9, 12, 12, 9, 3, -6], [-4, 6, 12, 14, 12, 6, -4]]
+
+
 def smoothed(p: DataFrame) -> DataFrame:
-    """Landmarks after Savitzky-Golay smoothing of each coordinate."""
-    flat = p.select(KEY, "frame", "t_ms", F.posexplode(F.flatten(F.transform("lm", lambda q: F.array(q["x"], q["y"], q["z"])))).alias("k", "v"))
-    s = W.savgol7(flat, "v", "s", [KEY, "k"])
-    g = s.groupBy(KEY, "frame", "t_ms").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("c"))
-    v = F.col("c")["s"]
-    lm = F.transform(F.sequence(F.lit(0), (F.size(v) / 3).cast("int") - 1), lambda j: F.struct(*[F.get(v, j * 3 + i).alias(a) for i, a in enumerate("xyz")]))
-    return g.select(KEY, "frame", "t_ms", lm.alias("lm"))
+    """Landmarks after Savitzky-Golay smoothing (window 7, order 2) of each coordinate; the ends come from the fit of the first or last seven frames, and a recording under seven stays.
+
+    A frame's coordinates stay together as one array: six frames before and after it are all that one window over the recording looks at.
+    """
+    w = W.by()
+    s = p.select(KEY, "frame", "t_ms", "lm", F.flatten(F.transform("lm", lambda q: F.array(q["x"], q["y"], q["z"]))).alias("_0"))
+    s = s.withColumns({f"_{k}": F.lag("_0", -k).over(w) for k in range(-6, 7) if k})
+    there = sum((F.col(f"_{k}").isNotNull().cast("int") for k in range(-6, 7)), F.lit(0))
+
+    def fit(first: int, step: int, row: int) -> Column:
+        return F.array(*[F.struct(F.lit(float(c)).alias("c"), F.col(f"_{first + step * k}").alias("v")) for k, c in enumerate(_QUADRATIC[row])])
+
+    seven = F.when(there < 7, None)
+    for i in range(3):
+        seven = seven.when(F.col(f"_{-1 - i}").isNull(), fit(-i, 1, i)).when(F.col(f"_{1 + i}").isNull(), fit(i, -1, i))
+    s = s.withColumn("_s", seven.otherwise(fit(-3, 1, 3)))
+    value = lambda at: F.aggregate("_s", F.lit(0.0), lambda total, x: total + F.get(x["v"], at) * x["c"]) / 42
+    lm = F.transform("lm", lambda _, j: F.struct(*[value(j * 3 + i).alias(a) for i, a in enumerate("xyz")]))
+    return s.select(KEY, "frame", "t_ms", F.when(F.col("_s").isNull(), F.transform("lm", lambda q: F.struct(*[q[a].cast("double").alias(a) for a in "xyz"]))).otherwise(lm).alias("lm"))
 
 
 def features(p: DataFrame) -> DataFrame:
@@ -55,31 +71,58 @@ def features(p: DataFrame) -> DataFrame:
     return s.select(KEY, "frame", F.concat(coordinates, rest).alias("features"))
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
-    """Exact dynamic time warping of two series of vectors: the distance and the path, by anti-diagonals.  Ties prefer the diagonal, then a step in the first series.
-
-    Memory is a byte for each pair of frames (where its path comes from) and three diagonals of totals; costs are made as a diagonal needs them.
-    """
+def _band(a: np.ndarray, b: np.ndarray, square_a: np.ndarray, square_b: np.ndarray, above: np.ndarray, corner: float, came: np.ndarray | None) -> np.ndarray:
+    """Totals of the last of these rows, from those of the row above them (``above``, by column) and what stands left of it; came gets where each cell's path comes from."""
     n, m = len(a), len(b)
-    came = np.zeros((n + 1, m + 1), dtype=np.uint8)
-    square_a, square_b = (a**2).sum(1), (b**2).sum(1)
-    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # of the last diagonal and the one before it, by place in the first series
-    two[0] = 0
+    last = np.empty(m)
+    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # of the last diagonal and the one before it; place 0 is the row above
+    two[0] = corner
     for d in range(2, n + m + 1):
+        if d - 1 <= m:
+            one[0] = above[d - 2]
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
         cost = np.sqrt(np.maximum(square_a[i - 1] + square_b[j - 1] - 2 * (a[i - 1] * b[j - 1]).sum(1), 0))
         from_ = np.stack([two[i - 1], one[i - 1], one[i]])
-        came[i, j] = from_.argmin(axis=0)
+        if came is not None:
+            came[i - 1, j - 1] = from_.argmin(axis=0)
         now = np.full(n + 1, np.inf)
         now[i] = cost + from_.min(axis=0)
+        if i[-1] == n:
+            last[j[-1] - 1] = now[n]
         one, two = now, one
-    i, j, path = n, m, []
-    while i and j:
-        path.append((i - 1, j - 1))
-        way = came[i, j]
-        i, j = i - (way != 2), j - (way != 1)
-    return float(one[n]), np.array(path[::-1])
+    return last
+
+
+def dtw(a: np.ndarray, b: np.ndarray, most_bytes: int = 1 << 28) -> tuple[float, np.ndarray]:
+    """Exact dynamic time warping of two series of vectors: the distance and the path.  Ties prefer the diagonal, then a step in the first series.
+
+    Rows are worked through in bands, by anti-diagonals; only the last totals of each band are kept.  Then bands are done again from the last one back, each with a byte
+    a cell for where its path comes from, and the path is followed through them.  A band has so many rows that both take about ``most_bytes`` at most: about the square root of 8 x rows, so that memory grows as columns times
+    that root, and the time is twice that of one pass.  A pair that fits in one band is done once.
+    """
+    n, m = len(a), len(b)
+    square_a, square_b = (a**2).sum(1), (b**2).sum(1)
+    rows = n if n * m <= most_bytes else max(16, int(np.sqrt(8 * n)))
+    cuts = list(range(0, n, rows)) + [n]
+    start = np.full(m, np.inf)  # nothing stands above the first row, but for the corner
+    tops, totals, came = [start], start, None
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        came = np.zeros((high - low, m), dtype=np.uint8) if k == len(cuts) - 2 else None
+        totals = _band(a[low:high], b, square_a[low:high], square_b, totals, 0.0 if not k else np.inf, came)
+        if k < len(cuts) - 2:
+            tops.append(totals)
+    distance, i, j, path = float(totals[-1]), n, m, []
+    for k in range(len(cuts) - 2, -1, -1):
+        low, high = cuts[k], cuts[k + 1]
+        if k < len(cuts) - 2:
+            came = np.zeros((high - low, j), dtype=np.uint8)
+            _band(a[low:high], b[:j], square_a[low:high], square_b[:j], tops[k][:j], 0.0 if not k else np.inf, came)
+        while i > low and j:
+            path.append((i - 1, j - 1))
+            way = came[i - 1 - low, j - 1]
+            i, j = i - (way != 2), j - (way != 1)
+    return distance, np.array(path[::-1])
 
 
 def dtw_paths(feature_rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -118,6 +118,21 @@ def test_position_errors(spark):
     assert math.isclose(got[None][0], 11 / 6) and got[None][1] == 6
 
 
+def test_dtw_in_bands_is_the_same_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    for n, m in ((300, 170), (77, 400), (33, 33), (1, 50), (50, 1)):
+        a, b = rng.integers(0, 4, (n, 2)).astype(float), rng.integers(0, 4, (m, 2)).astype(float)  # many ties
+        whole, banded = A.dtw(a, b), A.dtw(a, b, most_bytes=1)
+        assert whole[0] == banded[0] and (whole[1] == banded[1]).all()
+    a, b = rng.random((4000, 3)), rng.random((1500, 3))
+    tracemalloc.start()
+    A.dtw(a, b, most_bytes=1)
+    assert tracemalloc.get_traced_memory()[1] < 2_500_000  # six million cells
+    tracemalloc.stop()
+
+
 def test_dtw_is_exact():
     rng = np.random.RandomState(2)
     for n, m in ((5, 7), (1, 4), (12, 9)):
