@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from motion_tables.functions import pose as P
 from motion_tables.operators.catalog import reasons
+from motion_tables.operators.geometry import point_reasons, triangulated
 
 # Limits of a fit.
 MAX_GAP, MAX_PLANE_RMS_M, MIN_INCLINATION_DEG, MAX_GROUND_RMS_M, MIN_BASELINE_M = 1.6, 0.05, 15.0, 0.02, 0.3
@@ -191,11 +192,21 @@ def world_frames(evidence: DataFrame) -> DataFrame:
     return s.select("shot_id", F.when(F.col("reason").isNull(), matrix).alias("rig_to_world"), "reason")
 
 
-def known_distances(pairs: DataFrame, tolerance_m: float, tolerance_share: float) -> DataFrame:
-    """Of two points placed by a rig (ax..az, bx..bz) and their true distance_m: measured_m, error_m and whether it is within the larger tolerance."""
-    measured = F.sqrt(P.dot(*[[F.col(f"a{k}") - F.col(f"b{k}") for k in "xyz"]] * 2))
-    out = pairs.withColumn("measured_m", measured).withColumn("error_m", F.col("measured_m") - F.col("distance_m"))
-    return out.withColumn("within", F.abs("error_m") <= F.greatest(F.lit(tolerance_m), F.col("distance_m") * tolerance_share))
+def known_distances(ends: DataFrame, cameras: DataFrame, pairs: DataFrame, tolerance_m: float, max_sigma_m: float) -> DataFrame:
+    """Of marks a known distance apart, seen by a rig: measured_m, error_m, reasons (why an end is no measurement), within (the tolerance) and verified: within, and both ends valid.
+
+    ``ends``: pair_id, end (0 or 1), camera_id, u, v; both are triangulated as any point is.  ``pairs``: pair_id, distance_m.  A length that happens to match from bad geometry verifies nothing; an end
+    that one camera alone sees is no point, so the pair has no length.
+    """
+    seen = ends.select((F.col("pair_id") * 2 + F.col("end")).alias("point_id"), "camera_id", "u", "v")
+    p = largest_sigma(point_reasons(triangulated(seen, cameras))).withColumn("reasons", F.concat("reasons", F.when(F.col("sigma_m") > max_sigma_m, F.array(F.lit("place uncertain"))).otherwise(F.array().cast("array<string>"))))
+    side = lambda k: p.where(F.pmod("point_id", F.lit(2)) == k).select(F.floor(F.col("point_id") / 2).alias("pair_id"), F.struct("x", "y", "z").alias(f"_p{k}"), F.col("reasons").alias(f"_r{k}"))
+    j = pairs.join(side(0), "pair_id", "left").join(side(1), "pair_id", "left")
+    gap = tuple(F.col(f"_p0.{k}") - F.col(f"_p1.{k}") for k in "xyz")
+    j = j.withColumn("measured_m", F.sqrt(_dot(gap, gap))).withColumn("error_m", F.col("measured_m") - F.col("distance_m")).withColumn("within", F.coalesce(F.abs("error_m") <= tolerance_m, F.lit(False)))
+    reasons_ = F.when(F.col("measured_m").isNull(), F.array(F.lit("an end without two views"))).otherwise(F.array_sort(F.array_distinct(F.concat("_r0", "_r1"))))
+    j = j.withColumn("reasons", reasons_)
+    return j.select("pair_id", "distance_m", "measured_m", "error_m", "within", "reasons", (F.col("within") & (F.size("reasons") == 0)).alias("verified"))
 
 
 def measurement_documents(values: DataFrame, impacts: DataFrame) -> DataFrame:

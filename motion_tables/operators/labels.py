@@ -97,6 +97,34 @@ def position_documents(pos: DataFrame) -> DataFrame:
     return g.select("video_id", F.to_json(F.map_from_arrays(F.col("e")["p"], F.col("e")["v"])).alias("doc"))
 
 
+def ground_truth(documents: DataFrame, rates: DataFrame) -> DataFrame:
+    """path, p, frame, fps of ground truth (doc: JSON with videos, each with path, fps or null, and positions).
+
+    A position is an object with a frame, or with a time in ms, or the frame alone; a time becomes the nearest frame at the video's rate, even on a tie.  A video without a
+    rate of its own takes that of ``rates`` (path, fps).  A position with neither a frame nor a time and a rate is left out; so is a document without videos.
+    """
+    kind = "videos array<struct<path:string,fps:double,positions:map<string,string>>>"
+    v = documents.select(F.explode(F.from_json("doc", kind)["videos"]).alias("v")).select("v.path", F.col("v.fps").alias("own"), F.explode("v.positions").alias("p", "said"))
+    v = v.join(rates.select("path", F.col("fps").alias("known")), "path", "left").withColumn("fps", F.coalesce("own", "known"))
+    at = F.from_json("said", "frame double, timestamp_ms double")
+    frame = F.coalesce(at["frame"], F.bround(at["timestamp_ms"] * F.col("fps") / 1000), F.col("said").try_cast("double"))
+    return v.select("path", "p", frame.cast("long").alias("frame"), "fps").where("frame is not null")
+
+
+def swing_documents(positions: DataFrame, views: DataFrame, swings: DataFrame) -> DataFrame:
+    """pair_id, doc: the found positions of each swing as one nested JSON document, times to a tenth of a ms and confidences to three digits.
+
+    ``positions``: pair_id, p, t_ms, confidence, method, view, face_on (frame there), dtl (frame there, or null); ``views``: pair_id, view, path, fps, frame_count; ``swings``: pair_id, handedness, alignment, offset_ms, warnings.  A swing without positions has an empty object.
+    """
+    entry = F.struct(F.bround("t_ms", 1).alias("timestamp_ms"), F.bround("confidence", 3).alias("confidence"), "method", F.col("view").alias("detected_in"), F.struct("face_on", "dtl").alias("frames"))
+    p = positions.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(F.substring("p", 2, 9).cast("int").alias("k"), "p", entry.alias("v")))).alias("e"))
+    v = views.groupBy("pair_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("view", F.struct("path", "fps", "frame_count").alias("v"))))).alias("views"))
+    j = swings.join(v, "pair_id", "left").join(p, "pair_id", "left")
+    found = F.coalesce(F.map_from_arrays(F.col("e.p"), F.col("e.v")), F.from_json(F.lit("{}"), "map<string,struct<timestamp_ms:double,confidence:double,method:string,detected_in:string,frames:struct<face_on:bigint,dtl:bigint>>>"))
+    doc = F.struct(F.lit("p-positions/1").alias("schema"), "handedness", F.lit("face_on").alias("time_base"), "alignment", "offset_ms", "views", found.alias("positions"), "warnings")
+    return j.select("pair_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def confirmed(annotations: DataFrame, convention: str = "p7-impact") -> DataFrame:
     """Annotations of the canonical convention that need no review."""
     return annotations.where((F.col("convention") == convention) & ~F.coalesce("needs_review", F.lit(False)))

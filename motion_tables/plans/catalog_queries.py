@@ -141,12 +141,6 @@ def content_identity(spark, d):
     return D.table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size_bytes"))
 
 
-@_R.add("src2_ground_truth", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS frame, CAST(round_even(CAST(json_extract(props, '$.k') AS INTEGER) * 1000 / 60.0::DOUBLE * 30 / 1000, 0) AS BIGINT) AS at_30 FROM events")
-def ground_truth(spark, d):
-    k = F.from_json("props", "k int")["k"]
-    return D.table(spark, d, "events").select("event_id", k.alias("frame"), F.bround(k * 1000 / F.lit(60.0) * 30 / 1000).cast("long").alias("at_30"))
-
-
 _BASE = "SELECT DISTINCT concat('o', l_orderkey) AS shot_id, concat('c', l_linenumber) AS stream_id, concat('s', min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber)) AS source_id, 0 AS start_frame, 9 AS end_frame, 'good' AS quality FROM {t}"
 _EDITS = """SELECT concat('o', l_orderkey) AS shot_id, concat('c', l_linenumber % 3 + 1) AS stream_id, l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_partkey % 3 <> 0 THEN l_suppkey % 20 - 1 END AS start_frame, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey % 90 END AS end_frame,
     CASE l_suppkey % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'odd' WHEN 2 THEN 'bad' END AS quality FROM {t}"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from motion_tables.operators import fits as X
+from motion_tables.operators import geometry as G
+from motion_tables.plans import space_queries as S
 from motion_tables.plans.registry import Registry
 from motion_tables.sources import derived as D
 from motion_tables.sources.derived import rounded
@@ -65,10 +67,21 @@ def usable_samples(spark, d):
     return X.usable_samples(X.largest_sigma(s), 0.0215).select("l_orderkey", "l_linenumber", "dropped")
 
 
-@_R.add("g17_known_distances", "SELECT p_partkey, round(sqrt(power(p_size / 10.0::DOUBLE, 2) + 1), 6) AS measured_m, round(sqrt(power(p_size / 10.0::DOUBLE, 2) + 1) - p_size / 10.0::DOUBLE, 6) AS error_m, sqrt(power(p_size / 10.0::DOUBLE, 2) + 1) - p_size / 10.0::DOUBLE <= greatest(0.01::DOUBLE, p_size / 10.0::DOUBLE * 0.05::DOUBLE) AS within FROM part")
+@_R.add("g17_known_distances", f"""WITH {S._PROJECT}, se AS (SELECT point_id, count(u) AS views FROM pj GROUP BY point_id), q AS (SELECT a.point_id AS pair_id, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS real, va.views = 2 AND vb.views = 2 AS seen FROM pt a JOIN pt b ON b.point_id = a.point_id + 1 JOIN se va ON va.point_id = a.point_id JOIN se vb ON vb.point_id = b.point_id)
+SELECT pair_id, CASE WHEN seen AND pair_id % 7 <> 2 THEN round(real, 4) END AS measured_m, seen AND pair_id % 5 <> 1 AND pair_id % 7 <> 2 AS verified, CASE WHEN NOT seen THEN 'an end without two views' WHEN pair_id % 7 = 2 THEN 'views disagree' END AS reason FROM q""")
 def known_distances(spark, d):
-    p = D.table(spark, d, "part").select("p_partkey", (F.col("p_size") / 10.0).alias("ax"), F.lit(1.0).alias("ay"), F.lit(0.5).alias("az"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("by"), F.lit(0.5).alias("bz"), (F.col("p_size") / 10.0).alias("distance_m"))
-    return rounded(X.known_distances(p, 0.01, 0.05).select("p_partkey", "measured_m", "error_m", "within"))
+    """Neighbours of the points, seen by the rig of two cameras: a fifth is said to be 3 cm longer than it is, a seventh has an end that the cameras see at different heights."""
+    cams, points = S._cameras(spark), S._points(spark, d)
+    next_ = points.select((F.col("point_id") - 1).alias("pair_id"), *[F.col(k).alias(f"n{k}") for k in "xyz"])
+    both = points.withColumnRenamed("point_id", "pair_id").join(next_, "pair_id")
+    length = F.sqrt(sum(((F.col(k) - F.col(f"n{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
+    pairs = both.select("pair_id", (length + F.when(F.col("pair_id") % 5 == 1, 0.03).otherwise(0.0)).alias("distance_m"))
+    seen = G.projected(points, cams)
+    ends = seen.select(F.col("point_id").alias("pair_id"), F.lit(0).alias("end"), "camera_id", "u", "v").unionByName(seen.select((F.col("point_id") - 1).alias("pair_id"), F.lit(1).alias("end"), "camera_id", "u", "v"))
+    ends = ends.withColumn("v", F.col("v") + F.when(E("pair_id % 7 = 2 AND end = 1 AND camera_id = 'dtl'"), 60.0).otherwise(0.0)).join(pairs.select("pair_id"), "pair_id")
+    k = X.known_distances(ends, cams, pairs, 0.01, 1.0)
+    fine = F.col("verified") | ~F.array_contains("reasons", "views disagree")
+    return rounded(k.select("pair_id", F.when(fine, F.col("measured_m")).alias("measured_m"), "verified", F.when(F.array_contains("reasons", "views disagree"), "views disagree").when(F.col("measured_m").isNull(), "an end without two views").alias("reason")), 4)
 
 
 @_R.add("g18_measurement_documents", """SELECT o_orderkey AS shot_id, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS impact_ms, round(o_totalprice, 2) AS speed, 'too few samples' AS reason FROM orders""")

@@ -100,3 +100,29 @@ def primary_models(spark, d):
 
     order = F.md5(F.concat(F.lit("p"), F.col("video_id").cast("string"), F.lit("-"), F.col("frame").cast("string")))
     return D.pose(spark, d).select("video_id", "frame", (F.row_number().over(Window.partitionBy("video_id").orderBy(order)) % 2).alias("first_choice"))
+
+
+@_R.add("src2_ground_truth", f"""WITH {D.POSITIONS}, gt AS (SELECT *, 'v' || video_id AS path, CAST(substr(p, 2) AS INTEGER) AS k FROM pos WHERE video_id % 9 <> 4)
+SELECT path, p, CASE WHEN k % 4 = 1 THEN CAST(round_even(labelled * 16.6 * CASE WHEN video_id % 3 = 0 THEN 25.0::DOUBLE ELSE fps END / 1000, 0) AS BIGINT) ELSE labelled END AS frame, CASE WHEN video_id % 3 = 0 THEN 25.0::DOUBLE ELSE fps END AS fps FROM gt WHERE k % 4 <> 3""")
+def ground_truth(spark, d):
+    """Documents of many videos each: frames, times, bare frames and notes alone; a third of the videos have a rate of their own."""
+    pos = D.positions(spark, d).withColumn("path", F.concat(F.lit("v"), F.col("video_id").cast("string"))).withColumn("k", F.substring("p", 2, 9).cast("int") % 4)
+    said = F.when(F.col("k") == 0, F.concat(F.lit('{"frame": '), "labelled", F.lit("}"))).when(F.col("k") == 1, F.concat(F.lit('{"timestamp_ms": '), F.col("labelled") * 16.6, F.lit("}"))).when(F.col("k") == 2, F.col("labelled").cast("string")).otherwise('{"note": "unsure"}')
+    v = pos.groupBy("path", "video_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('"'), "p", F.lit('": '), said))), ", ").alias("entries"))
+    video = F.concat(F.lit('{"path": "'), "path", F.lit('", "fps": '), F.when(F.col("video_id") % 3 == 0, "25.0").otherwise("null"), F.lit(', "positions": {'), "entries", F.lit('}, "notes": "x"}'))
+    docs = v.groupBy((F.col("video_id") % 9).alias("file")).agg(F.array_join(F.collect_list(video), ", ").alias("videos"))
+    docs = docs.select(F.when(F.col("file") == 4, '{"metadata": {}}').otherwise(F.concat(F.lit('{"videos": ['), "videos", F.lit('], "metadata": {"version": "1.0"}}'))).alias("doc"))
+    return L.ground_truth(docs, pos.select("path", "fps").distinct())
+
+
+@_R.add("snk1_swing_documents", f"""WITH {D.POSITIONS} SELECT video_id AS pair_id, p, round_even(predicted * 1000 / 60.0::DOUBLE, 1) AS t_ms, round_even((predicted % 97) / 96.0::DOUBLE, 3) AS confidence, CASE WHEN predicted % 3 = 0 THEN 'dtl' ELSE 'face_on' END AS detected_in, predicted AS face_on, CASE WHEN video_id % 2 = 0 THEN predicted + 2 END AS dtl, 'v' || video_id || '.mp4' AS path FROM pos""")
+def swing_documents(spark, d):
+    """A document for each swing, read back."""
+    pos = D.positions(spark, d).withColumnRenamed("video_id", "pair_id")
+    found = pos.select("pair_id", "p", (F.col("predicted") * 1000 / F.lit(60.0)).alias("t_ms"), (F.col("predicted") % 97 / F.lit(96.0)).alias("confidence"), F.lit("kinematic").alias("method"), F.when(F.col("predicted") % 3 == 0, "dtl").otherwise("face_on").alias("view"), F.col("predicted").alias("face_on"), F.when(F.col("pair_id") % 2 == 0, F.col("predicted") + 2).alias("dtl"))
+    swings = pos.select("pair_id").distinct().select("pair_id", F.lit("right").alias("handedness"), F.lit("impact").alias("alignment"), F.lit(3.5).alias("offset_ms"), F.array(F.lit("not detected: P10")).alias("warnings"))
+    views = swings.select("pair_id", F.explode(F.array(F.lit("face_on"), F.lit("dtl"))).alias("view")).withColumn("path", F.concat(F.lit("v"), F.col("pair_id").cast("string"), F.lit(".mp4"))).withColumn("fps", F.lit(60.0)).withColumn("frame_count", F.lit(300))
+    docs = L.swing_documents(found, views, swings)
+    read = F.from_json("doc", "views map<string,struct<path:string>>, positions map<string,struct<timestamp_ms:double,confidence:double,detected_in:string,frames:struct<face_on:bigint,dtl:bigint>>>")
+    e = docs.select("pair_id", read.alias("d")).select("pair_id", F.col("d.views")["dtl"]["path"].alias("path"), F.explode("d.positions").alias("p", "v"))
+    return e.select("pair_id", "p", F.col("v.timestamp_ms").alias("t_ms"), "v.confidence", "v.detected_in", "v.frames.face_on", "v.frames.dtl", "path")
