@@ -1,6 +1,6 @@
 """PII surrogates, in DataFrame operations alone.
 
-Detected entities (mail addresses, network addresses, phone, card and social-security numbers, secrets, names after a title) are replaced by surrogates
+Detected entities (mail addresses, network addresses, phone, card, bank account and social-security numbers, secrets, names after a title) are replaced by surrogates
 that keep type, format, case and script: digits become digits, letters letters of their script and case, separators stay.  An entity has parts: a
 mail address its local part and its domain, a name each of its words, others themselves.  A part's surrogate is a keyed hash of its canonical value (digits, lower case), so
 equal parts get equal surrogates in every document, also where they are written differently or stand in different entities.  Given names keep the gender of
@@ -10,8 +10,8 @@ Collision checks keep distinct parts distinct: over all distinct parts of a kind
 value of the corpus, is drawn again until none is left.  A part counts its own draws, so that nothing else changes, and grows longer with them (addresses, names and domains from the second
 draw on, numbers and secrets from the tenth), so that a draw never runs out of values.
 
-Patterns are linear in a text's length: repeats are bounded or possessive, and begin only where no longer run can.  So a mail address has at most 64 characters
-before the @, eight labels of 63 characters and an end of 24, the limits of the standard.
+Patterns are linear in a text's length: repeats are bounded or possessive, and begin only where no longer run can.  Names have any number of words, addresses parts of any length.  Names are found after a title
+only; what is written without one stays.
 """
 
 from __future__ import annotations
@@ -26,14 +26,19 @@ MALE = ("Mr", "Herr", "Señor", "Monsieur", "Sir", "господин", "κύρι
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mme", "Mademoiselle", "госпожа", "κυρία")
 EITHER = ("Dr", "Prof")
 _TITLE = "|".join((*MALE, *FEMALE, *EITHER))
+PARTICLES = "de da di do du del della dos das la le van von der den ten ter zu bin al el".split()
+_WORD = rf"(?:(?:{'|'.join(PARTICLES)})[  ]++){{0,3}}(?!(?:{_TITLE})\b)\p{{Lu}}[\p{{L}}'’-]++"
+_LABEL = r"[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}",
+    "email": rf"(?<![\p{{L}}\p{{N}}._%+-])[._%+-]*+[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@(?=[\p{{N}}.-]*+\p{{L}}){_LABEL}(?:\.{_LABEL})++",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?=[A-Fa-f:]*+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:0\d{2,4}[ /-]\d{5,8}|[2-9]\d{9}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?[  ]\p{{Lu}}[\p{{L}}'’-]+(?:[  ]\p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?[  ]++{_WORD}(?:[  ]++{_WORD})*+",
 }
 FIRST = {
     "latin": {"m": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Marco Nico Oscar Pablo Rolf Simon Theo Victor".split(), "f": "Anna Bella Clara Diana Elena Flora Greta Hanna Irene Julia Karla Laura Maria Nina Olga Paula Rosa Sofia Tina Vera".split()},
@@ -85,12 +90,12 @@ def _more(stream: Column, n: Column, kinds: str) -> Column:
     return F.translate(F.substr(F.sha2(stream, 512), F.lit(1), F.least(n, F.lit(_DIGEST)).cast("int")), HEX, kinds)
 
 
-def _spread(form: Column, digits: Column) -> Column:
-    """form with its digits replaced, one after another, by those of ``digits``; those left over follow."""
+def _spread(form: Column, digits: Column, slot: str = "[0-9]") -> Column:
+    """form with its digits (or what ``slot`` matches) replaced, one after another, by those of ``digits``; those left over follow."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(s: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
+        digit = c.rlike(slot)
         return F.struct(F.concat(s["out"], F.when(digit, F.substr(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + digit.cast("int")).alias("at"))
 
     done = F.aggregate(_chars(form), state, step)
@@ -116,8 +121,8 @@ def kind_of(value: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
-    name = F.lower(F.regexp_replace(F.regexp_replace(value, rf"^(?:{_TITLE})\.?[  ]", ""), r"[  ]+", " "))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", name).when(kind == "email", F.lower(value)).otherwise(value)
+    name = F.lower(F.regexp_replace(F.regexp_replace(value, rf"^(?:{_TITLE})\.?[  ]+", ""), r"[  ]+", " "))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", name).when(kind.isin("email", "ipv6"), F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "))).otherwise(value)
 
 
 def gender_of(kind: Column, value: Column) -> Column:
@@ -168,15 +173,17 @@ def _drawn(stream: Column, kind: Column, part: Column, form: Column, attempt: Co
     of = F.when(kind == "local", words).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
     of = of.when(kind == "last", last).when(kind == "given-m", given["m"]).when(kind == "given-f", given["f"])
     of = of.when((kind == "secret") & part.rlike("^[0-9a-f]+$"), hexadecimal).when((kind == "secret") & part.rlike("^[0-9A-F]+$"), F.upper(hexadecimal))
+    iban = F.concat(F.substr(part, F.lit(1), F.lit(2)), _letters(F.substr(part, F.lit(3), F.length(part)), stream), _more(stream, late, "0123456789012345"))
+    of = of.when(kind == "ipv6", hexadecimal).when(kind == "iban", iban)
     return of.otherwise(digits)
 
 
 def shown(kind: Column, value: Column, canon: Column) -> Column:
     """A surrogate in the form of the value that it replaces."""
-    title = F.regexp_extract(value, rf"^((?:{_TITLE})\.?[  ])", 1)
+    title = F.regexp_extract(value, rf"^((?:{_TITLE})\.?[  ]+)", 1)
     loud = lambda v, s, other: F.when(v.rlike(r"\p{Lu}") & ~v.rlike(r"\p{Ll}"), F.upper(s)).otherwise(other)
     name = F.concat(title, loud(F.substr(value, F.length(title) + 1, F.length(value)), canon, F.initcap(canon)))
-    return F.when(kind == NONE, value).when(kind.isin("phone", "card", "ssn"), _spread(value, canon)).when(kind == "name", name).when(kind == "email", loud(value, canon, canon)).otherwise(canon)
+    return F.when(kind == NONE, value).when(kind.isin("phone", "card", "ssn"), _spread(value, canon)).when(kind == "iban", _spread(value, canon, "[A-Z0-9]")).when(kind == "name", name).when(kind == "email", loud(value, canon, canon)).otherwise(canon)
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:

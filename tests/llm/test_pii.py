@@ -39,6 +39,22 @@ def test_no_private_value_is_left(replaced):
         assert secret not in text
 
 
+@pytest.mark.parametrize("text,left", [
+    ("met Mr John Ronald Reuel Tolkien there", "Tolkien"), ("x@aa.bb.cc.dd.ee.ff.gg.hh.ii.kk.example.com", "example"), ("to " + "longname" * 20 + "@host.org now", "longname"), ("call 5551234567 now", "5551234567"), ("call 0171 2345678 now", "2345678"),
+    ("pay DE44 5001 0517 5407 3249 31 or GB82WEST12345698765432", "5407"), ("from 2001:db8:85a3:0:0:8a2e:370:7334 and fe80::1ff:fe23:4567:890a", "8a2e"), ("asked Mr. de la Cruz and Frau von der Leyen", "Cruz"), ("saw Mr  Smith and Mr Jones Mrs Brown", "Smith"), ("-john.doe@mail.example.co.uk, a", "john"),
+    ("x@foo-bar.com- and y@host.org.", "foo-bar"), ("mail j@b.com.", "b.com"),
+])
+def test_planted_entities_are_found(spark, text, left):
+    r = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").first()
+    assert left not in r.text and r.entities
+
+
+def test_what_is_no_entity_stays(spark):
+    texts = ["at 12:30:45 on 2026-10-11, ratio 3:4:5, a::b", "3@4.5 and x@y", "order 123456789 or 12345678901", "de la casa, Drama Mrs", "version 10.20.30, ABCD 1234 EFGH"]
+    got = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(texts))
+
+
 def test_type_format_gender_and_script(replaced):
     e = {i: [(x.kind, x.surrogate) for x in r.entities] for i, r in replaced.items()}
     names = [s for k, s in e[1] if k == "name"]
