@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import with_own_columns
 from .words import hashes, spans, utf8, windows
@@ -27,11 +28,14 @@ from .words import hashes, spans, utf8, windows
 BLOCKS, BITS = 4, 16
 NEAR = 5
 RADIUS = BLOCKS * (NEAR + 1) - 1
-MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())]))
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("words", pa.int64())]))
 _ONES = np.unpackbits(np.arange(1 << BITS, dtype=">u2").view(np.uint8).reshape(-1, 2), axis=1).sum(axis=1, dtype=np.uint8)
 
 
+def matches_of(ids: T.DataType) -> T.ArrayType:
+    """The type of matches with item ids of a type."""
+    return T.ArrayType(T.StructType([T.StructField("item_id", ids), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("words", T.LongType())]))
+
+
 def simhash(sums: np.ndarray) -> np.ndarray:
     """Fingerprints, four blocks each, of rows of 64 signed sums."""
     return np.packbits(sums > 0, axis=1).view(np.uint16)
@@ -44,20 +48,20 @@ def _signs(h: np.ndarray) -> np.ndarray:
 class Index:
     """The items by number of words: shingles and fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int):
+    def __init__(self, ids: list, texts: list[str], k: int):
         data, at = utf8(pa.array(texts, pa.string()))
         starts, ends, first = spans(data, at)
         h, w_at = windows(hashes(data, starts, ends), first, k)
         n = np.diff(first)
         self.k = k
-        self.by_size: dict[int, tuple[np.ndarray, list[Counter], np.ndarray]] = {}
+        self.by_size: dict[int, tuple[list, list[Counter], np.ndarray]] = {}
         groups = defaultdict(list)
         for i in np.flatnonzero(n):
             groups[int(n[i])].append(i)
         for size, own in groups.items():
             sets = [h[w_at[i] : w_at[i + 1]] for i in own]
             prints = simhash(np.stack([_signs(s).sum(axis=0) for s in sets]))
-            self.by_size[size] = (np.array([ids[i] for i in own]), [Counter(s.tolist()) for s in sets], prints)
+            self.by_size[size] = ([ids[i] for i in own], [Counter(s.tolist()) for s in sets], prints)
         self.shingles = {}  # by shingle length: the sorted shingles and a first sieve by their upper 20 bits
         for m in sorted({min(k, s) for s in self.by_size}):
             held = np.unique(np.concatenate([h[w_at[i] : w_at[i + 1]] for i in np.flatnonzero(np.minimum(n, k) == m)]))
@@ -71,9 +75,9 @@ class Index:
         place = np.minimum(np.searchsorted(held, h[maybe]), len(held) - 1)
         return maybe[held[place] == h[maybe]]
 
-    def search(self, h: np.ndarray, hit: np.ndarray, m: int, threshold: float) -> dict[int, tuple[float, int, int]]:
+    def search(self, h: np.ndarray, hit: np.ndarray, m: int, threshold: float) -> dict:
         """Best window of each item in one text, given the text's m-word shingles and which of them any item has."""
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict = {}
         sizes = [size for size in self.by_size if min(self.k, size) == m]
         most = max(sizes) - m + 1
         cuts = np.flatnonzero(np.diff(hit) > 2 * most) + 1  # hits further apart share no window
@@ -112,9 +116,9 @@ class Index:
             return
         mine = simhash(_signs(h).sum(axis=0)[None, :])
         for y in self._near(mine, prints)[1].tolist():
-            self._keep(best, int(ids[y]), similarity(h.tolist(), counts[y], width), 0, len(h) + m - 1, threshold)
+            self._keep(best, ids[y], similarity(h.tolist(), counts[y], width, threshold), 0, len(h) + m - 1, threshold)
 
-    def _keep(self, best: dict, item: int, score: float, p: int, words: int, threshold: float) -> None:
+    def _keep(self, best: dict, item, score: float, p: int, words: int, threshold: float) -> None:
         if score >= threshold and (item not in best or (-score, p) < (-best[item][0], best[item][1])):
             best[item] = (score, p, words)
 
@@ -136,20 +140,20 @@ class Index:
         mine = simhash(total[begin - low + width] - total[begin - low])
         for x, y in zip(*(i.tolist() for i in self._near(mine, prints))):
             p = int(begin[x])
-            self._keep(best, int(ids[y]), similarity(h[p : p + width].tolist(), counts[y], width), p, size, threshold)
+            self._keep(best, ids[y], similarity(h[p : p + width].tolist(), counts[y], width, threshold), p, size, threshold)
 
 
-def similarity(window: list[int], item: Counter, total: int) -> float:
-    """Weighted Jaccard similarity of a window and an item of ``total`` shingles."""
+def similarity(window: list[int], item: Counter, total: int, least: float = 0.0) -> float:
+    """Weighted Jaccard similarity of a window and an item of ``total`` shingles; 0 where it can't reach ``least``."""
     both = len(window) + total
     common = sum(s in item for s in window)
-    if common * 5 < both:  # then it is under 0.25
+    if common * (1 + least) < least * both - 1e-9:
         return 0.0
     common = sum(min(c, item[s]) for s, c in Counter(window).items() if s in item)
     return common / (both - common)
 
 
-def _find(broadcast, names: list[str], threshold: float):
+def _find(broadcast, names: list[str], threshold: float, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = broadcast.value
         at_text, at_found = names.index("text"), names.index("matches")
@@ -175,7 +179,7 @@ def _find(broadcast, names: list[str], threshold: float):
                 for r, best in found.items():
                     before[r] = sorted((before[r] or []) + [{"item_id": i, "similarity": s, "first_word": p, "words": n} for i, (s, p, n) in best.items()], key=lambda x: x["item_id"])
                 columns = list(part.columns)
-                columns[at_found] = pa.array([x or [] for x in before], _ARROW)
+                columns[at_found] = pa.array([x or [] for x in before], kind)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return work
@@ -186,11 +190,12 @@ def find_items(docs: DataFrame, items: DataFrame, *, words: int = 5, threshold:
 
     At most ``most_words`` words of items are sent to the executors at once: more are taken in passes over the same rows.  A
     text shorter than an item is compared with it as a whole.  A null or empty text has no matches; an item without words, or with a null id, is never found.  An item of fewer words than a shingle is
-    found as those words in a row.  Items that share an id are both looked for, and the better one reported.  Other columns of docs
+    found as those words in a row.  Items that share an id are both looked for, and the better one reported; ids may be of any type that has an order, and keep it.  Other columns of docs
     are kept; a column ``matches`` is replaced.  An empty table on either side gives no matches.
     """
-    out = docs.withColumn("matches", F.lit(None).cast(MATCHES))
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").withColumn("n", F.size(F.split("text", r"\s+")))
+    kind = matches_of(items.schema["item_id"].dataType)
+    out = docs.withColumn("matches", F.lit(None).cast(kind))
+    known = items.select("item_id", "text").where("item_id is not null and text is not null").withColumn("n", F.size(F.split("text", r"\s+")))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     passes = max(1, -(-total // most_words))
     for i in range(passes):
@@ -198,8 +203,8 @@ def find_items(docs: DataFrame, items: DataFrame, *, words: int = 5, threshold:
         index = Index([r[0] for r in part], [r[1] for r in part], words)
         if index.by_size:
             sent = docs.sparkSession.sparkContext.broadcast(index)
-            out = out.mapInArrow(_find(sent, out.columns, threshold), out.schema)
-    return out.withColumn("matches", F.coalesce("matches", F.array().cast(MATCHES)))
+            out = out.mapInArrow(_find(sent, out.columns, threshold, to_arrow_type(kind)), out.schema)
+    return out.withColumn("matches", F.coalesce("matches", F.array().cast(kind)))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

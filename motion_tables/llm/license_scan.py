@@ -13,9 +13,11 @@ worked through on its own in the task that read it: no shuffle.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -178,49 +180,53 @@ class Scanner:
     def _best(self, found: list[dict]) -> list[dict]:
         """Of finds that overlap the one with most words aligned, then of best coverage, then first by name."""
         kept: list[dict] = []
+        starts: list[int] = []
+        ends: dict[int, int] = {}
         for m in sorted(found, key=lambda m: (-m["aligned"], -m["coverage"], m["license_id"], m["first_word"])):
-            if all(m["first_word"] >= k["first_word"] + k["words"] or k["first_word"] >= m["first_word"] + m["words"] for k in kept):
+            first, end = m["first_word"], m["first_word"] + m["words"]
+            k = bisect_left(starts, end)  # of the places kept that begin before its end, the last one ends last
+            if not k or ends[starts[k - 1]] <= first:
                 kept.append(m)
+                insort(starts, first)
+                ends[first] = end
         return sorted(({k: v for k, v in m.items() if k != "aligned"} for m in kept), key=lambda m: m["first_word"])
 
     def _finds(self, text: list, places: np.ndarray, word: np.ndarray, own: list, limit: np.ndarray, need: float, said: list[list]) -> list[list[tuple[int, int]]]:
-        """Aligned pairs of each place of a template, none overlapping, given where its words stand in the text."""
+        """Aligned pairs of each place of a template, none overlapping, given where its words stand in the text: the most words aligned first, of equal ones the shortest, then the first."""
         size, width = len(own), int(len(own) * self.slack) + 1
         bounds = []
         for i, j in self._windows(places, width, need):
             for k in {int(np.searchsorted(places, places[i] + size)), j}:
                 bound = int(np.minimum(np.bincount(word[i:k], minlength=len(limit)), limit).sum())
                 if bound >= need:
-                    bounds.append((-bound, int(places[i]), int(places[k - 1]) + 1))
-        bounds.sort()
+                    bounds.append((-bound, 0, int(places[i]), int(places[k - 1]) + 1))
+        turn = count()
+        heap = [(*b, next(turn), None) for b in bounds]  # -words at most, length (0 until aligned, so that of equal words those not aligned come first), start, end, pairs
+        heapify(heap)
         aligned: dict[tuple[int, int], list] = {}
-        out, todo = [], [(0, len(text))]
-        while todo:
-            low, high = todo.pop()
-            best: tuple | None = None
-            for bound, a, b in bounds:
-                if best and -bound < best[0]:
-                    break
-                if a < low or b > high:
-                    if a >= high or b <= low or a < low:
-                        continue
-                    b = high
-                if b - a < need:
-                    continue
+        starts: list[int] = []  # of the places taken, in order
+        taken: dict[int, int] = {}
+        out = []
+        while heap:
+            bound, _, a, b, _, pairs = heappop(heap)
+            k = bisect_left(starts, a + 1)
+            low, high = (taken[starts[k - 1]] if k else 0), (starts[k] if k < len(starts) else len(text))
+            if a < low or min(b, high) - a < need:
+                continue
+            if b > high:  # cut at the next place taken, and aligned anew
+                heappush(heap, (max(bound, a - high), 0, a, high, next(turn), None))
+                continue
+            if pairs is None:
                 if (a, b) not in aligned:
                     pairs = trimmed(patience(text[a:b], own), need)
                     aligned[a, b] = [(a + x, y) for x, y in pairs] if len(pairs) >= need else []
                 pairs = aligned[a, b]
                 if pairs and all(self._holds(text[pairs[0][0] : pairs[-1][0] + 1], x) for x in said):
-                    key = (len(pairs), pairs[0][0] - pairs[-1][0], -a)
-                    if best is None or key > best[:3]:
-                        best = (*key, pairs)
-                    if len(pairs) == size == pairs[-1][0] - pairs[0][0] + 1:
-                        break
-            if best:
-                pairs = best[3]
-                out.append(pairs)
-                todo += [(low, pairs[0][0]), (pairs[-1][0] + 1, high)]
+                    heappush(heap, (-len(pairs), 1 + pairs[-1][0] - pairs[0][0], a, b, next(turn), pairs))
+                continue
+            out.append(pairs)
+            taken[pairs[0][0]] = pairs[-1][0] + 1
+            insort(starts, pairs[0][0])
         return out
 
     @staticmethod

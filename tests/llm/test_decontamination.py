@@ -94,3 +94,16 @@ def test_index_holds_every_fingerprint_within_the_radius():
     index = X.Index([1], ["a b c d e f g"], 5)
     x, y = index._near(X.simhash(windows * 2 - 1), X.simhash(items * 2 - 1))
     assert {*zip(x.tolist(), y.tolist())} == {*zip(*(i.tolist() for i in np.nonzero(far <= X.RADIUS)))} and len(x) > 200
+
+
+def test_ids_of_other_types_and_low_thresholds(spark):
+    from .conftest import words
+
+    item, other = words(40, 71), words(40, 72)
+    mixed = " ".join(item.split()[:14] + other.split()[:26])
+    docs = spark.createDataFrame([(1, f"{words(30, 1)} {item} {words(30, 2)}"), (2, f"{words(30, 3)} {mixed} {words(30, 4)}"), (3, words(100, 5))], "doc_id long, text string")
+    items = spark.createDataFrame([("q-1", item), (None, other), ("q-2", words(25, 9))], "item_id string, text string")
+    got = {r.doc_id: [(m.item_id, round(m.similarity, 2)) for m in r.matches] for r in X.find_items(docs, items).collect()}
+    assert got == {1: [("q-1", 1.0)], 2: [], 3: []}
+    low = {r.doc_id: [m.item_id for m in r.matches] for r in X.find_items(docs, items, threshold=0.15).collect()}
+    assert low[1] == ["q-1"] and low[3] == []
