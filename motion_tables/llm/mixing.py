@@ -23,6 +23,8 @@ from .tables import row_key, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 ROUNDS = 6
+#: Slots that are made from one row.
+PIECE = 1 << 16
 CELLS = 4096
 
 
@@ -83,6 +85,14 @@ def _per_shard(total: int, shards: int) -> int:
     return max(1, -(-total // shards))
 
 
+def each(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+    """A row for each number from low to before high: first for each piece of them, dealt over tasks, so that no array and no task holds more than a piece."""
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low - 1) / PIECE))).alias("_piece")
+    dealt = df.where(high > low).withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).select("*", piece).repartition("_low", "_high", "_piece")
+    first = F.col("_low") + F.col("_piece") * PIECE
+    return dealt.select("*", F.explode(F.sequence(first, F.least(F.col("_high"), first + PIECE) - 1)).alias(name)).drop("_low", "_high", "_piece")
+
+
 def settled(counts: DataFrame, sources: DataFrame, total: int, shards: int) -> DataFrame:
     """Slots of each source in each shard, src, shard, low, high (slots low to high - 1 of the source), so that each source has its quota and each shard its slots."""
     spark, size = sources.sparkSession, _per_shard(total, shards)
@@ -93,7 +103,7 @@ def settled(counts: DataFrame, sources: DataFrame, total: int, shards: int) -> D
     own = own.select("src", "shard", cut(F.col("so_far") - F.col("drawn")).alias("low"), cut(F.col("so_far")).alias("high"))
     row = Window.orderBy("k")
     begins = lambda n: F.sum(n).over(row) - F.col(n)
-    units = lambda df, n: df.where(F.col(n) > 0).withColumn("begin", begins(n)).select("*", F.explode(F.sequence("begin", F.col("begin") + F.col(n) - 1)).alias("unit"))
+    units = lambda df, n: each(df.where(F.col(n) > 0).withColumn("begin", begins(n)), F.col("begin"), F.col("begin") + F.col(n), "unit")
     room = F.least(F.lit(size), F.lit(total) - F.col("id") * size)
     there = spark.range(-(-total // size)).join(own.groupBy(F.col("shard").cast("long").alias("id")).agg(F.sum(F.col("high") - F.col("low")).alias("full")), "id", "left")
     open_in = units(there.select(F.col("id").alias("k"), F.col("id").cast("int").alias("shard"), (room - F.coalesce("full", F.lit(0))).alias("n")), "n").select("unit", "shard")
@@ -140,7 +150,7 @@ def mix_sources(
     counts = stored(drawn(sources, total, shards, seed), "counts")
     own = settled(counts, sources, total, shards).join(sources.select("src", "blocks"), "src")
     keys = F.array(*[F.pmod(_number(_text(seed, F.col("src"), "key", r)), F.col("blocks")) for r in range(ROUNDS)])
-    slots = own.select("src", "shard", "blocks", keys.alias("keys"), F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
+    slots = each(own, F.col("low"), F.col("high"), "slot").select("src", "shard", "blocks", keys.alias("keys"), "slot")
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
 
     def swapped(state: Column, key: Column) -> Column:

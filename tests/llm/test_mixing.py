@@ -87,3 +87,10 @@ def test_edges(edges, none):
     assert out.count() == edges.count() and {*edges.columns, "taken", "target", "source_size"} == {*out.columns}
     blank = edges.where(F.coalesce(F.trim("text"), F.lit("")) == "")
     assert {r.target for r in M.taken(M.mix_sources(blank)).collect()} == {0.0}
+
+
+def test_numbers_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(M, "PIECE", 7)
+    df = spark.createDataFrame([(1, 0, 20), (2, 5, 5), (3, 5, 6), (4, 100, 114), (5, 9, 3)], "id int, low long, high long")
+    got = sorted((r.id, r.n) for r in M.each(df, df.low, df.high, "n").collect())
+    assert got == [(i, n) for i, a, b in ((1, 0, 20), (3, 5, 6), (4, 100, 114)) for n in range(a, b)]
