@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motion_tables.functions.json import canonical_text
 from motion_tables.operators.catalog import reasons
 from motion_tables.operators.geometry import is_rigid
+from motion_tables.operators.label_documents import shot_label_violations
 
 # Setup measurements, with the views that show them, the points they need, and groups of points of which one must be whole.
 MEASUREMENTS = {
@@ -44,6 +45,40 @@ def calibration_cameras(docs: DataFrame) -> DataFrame:
     return c.withColumn("rigid", F.coalesce((F.size("rotation") == 9) & (F.size("translation") == 3) & is_rigid(F.col("rotation")), F.lit(False)))
 
 
+_IMAGES = "struct<shot_id:string,streams:map<string,struct<source_id:string,frames:map<string,struct<image_sha1:string>>>>>"
+
+
+def freeze_problems(streams: DataFrame, states: DataFrame, labels: DataFrame, images: DataFrame, known_points: list[str]) -> DataFrame:
+    """shot_id, problem: everything that stands against freezing shots, from the checks themselves.
+
+    ``streams``: shot_id, stream_id, source_id, sha256, frame_count, width, height; ``states``: id, status of sources as ``relocated`` gives them (a source without a row is missing); ``labels``: doc, the shots' label documents, which must break no rule of
+    ``shot_label_violations``; ``images``: source_id, frame, digest of usable sources' frames: each labelled frame with an image's digest must be there with that digest.
+    """
+    usable = states.withColumnRenamed("id", "source_id").select("source_id", "status")
+    s = streams.select("shot_id", "source_id").distinct().join(usable, "source_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+    gone = s.where("status not in ('ok', 'relocated')").select("shot_id", F.concat_ws(" ", F.lit("source"), "source_id", F.lit("is"), "status").alias("problem"))
+    broken = shot_label_violations(labels, streams, known_points).select(F.split_part("place", F.lit(" "), F.lit(1)).alias("shot_id"), F.concat_ws(": ", "place", "rule").alias("problem"))
+    f = labels.select(F.from_json("doc", _IMAGES).alias("d")).select("d.shot_id", F.explode("d.streams").alias("stream_id", "t")).select("shot_id", "stream_id", "t.source_id", F.explode("t.frames").alias("frame", "f"))
+    f = f.withColumn("frame", F.expr("try_cast(frame AS bigint)")).withColumn("sha", F.col("f.image_sha1")).where("sha is not null").join(usable.where("status in ('ok', 'relocated')"), "source_id", "left_semi")
+    seen = f.join(images.select("source_id", F.col("frame").cast("long").alias("frame"), "digest"), ["source_id", "frame"], "left")
+    why = F.when(F.col("digest").isNull(), "frame not in the index").when(F.col("digest") != F.col("sha"), "another image")
+    other = seen.select("shot_id", F.concat(F.concat_ws(" ", "shot_id", "stream_id", "frame"), F.lit(": "), why).alias("problem")).where("problem is not null")
+    return gone.unionByName(broken).unionByName(other)
+
+
+def shot_texts(shots: DataFrame, streams: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
+    """shot_id, shot: the canonical text of all that a shot is frozen with: its record, its sources' records in order of their ids, its labels and their hash (null without labels).
+
+    ``shots``: shot_id, record (JSON text); ``streams``: shot_id, source_id; ``sources``: source_id, record; ``labels``: shot_id, doc.
+    """
+    own = streams.select("shot_id", "source_id").distinct().join(sources.select("source_id", F.col("record").alias("source")), "source_id")
+    own = own.groupBy("shot_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "source"))).alias("sources"))
+    j = shots.join(own, "shot_id", "left").join(labels.select("shot_id", "doc"), "shot_id", "left")
+    sha = F.coalesce(F.concat(F.lit('"'), canonical_sha256(F.col("doc"), text=True), F.lit('"')), F.lit("null"))
+    text = F.concat(F.lit('{"annotations":'), F.coalesce("doc", F.lit("null")), F.lit(',"annotations_sha256":'), sha, F.lit(',"shot":'), "record", F.lit(',"sources":['), F.array_join(F.coalesce(F.col("sources.source"), F.array().cast("array<string>")), ","), F.lit("]}"))
+    return j.select("shot_id", canonical_text(text).alias("shot"))
+
+
 def frozen(collections: DataFrame, members: DataFrame, problems: DataFrame, who: str | None, when: str) -> DataFrame:
     """What freezing each draft gives (collections: collection_id, golfer_id; members: collection_id, shot_id, shot as canonical text; problems: shot_id, problem): document, sha256, path and shot_count, or why it is refused."""
     shot = F.struct("shot_id", "shot")

@@ -126,6 +126,11 @@ def shot_positions(spark, d):
 _KEYED = "video_id NOT IN (6, 7, 8)"
 
 
+def _catalog_streams(v):
+    """The catalog's streams of recordings (video_id)."""
+    return v.select(F.concat(F.lit("o"), "video_id").alias("shot_id"), F.lit("c1").alias("stream_id"), F.concat(F.lit("s"), "video_id").alias("source_id"), F.concat(F.lit("h"), "video_id").alias("sha256"), F.lit(40).alias("frame_count"), F.lit(1000).alias("width"), F.lit(900).alias("height"))
+
+
 @_R.add("c2_shot_label_violations", f"""WITH {_SP}, v AS (SELECT DISTINCT video_id, shot_id, stream_id FROM sp), f AS (SELECT DISTINCT video_id, shot_id, stream_id, frame FROM sp)
 SELECT shot_id AS place, 'unknown shot' AS rule FROM v WHERE video_id = 8 UNION ALL SELECT shot_id || ' ' || stream_id, CASE video_id WHEN 7 THEN 'no such stream' WHEN 6 THEN 'labelled on another source' ELSE 'labelled on other bytes' END FROM v WHERE video_id IN (5, 6, 7)
 UNION ALL SELECT shot_id || ' ' || stream_id || ' P7', 'frame outside the source' FROM v WHERE {_KEYED} AND video_id * 9 >= 40 UNION ALL SELECT shot_id || ' ' || stream_id || ' ' || frame, 'frame outside the source' FROM f WHERE {_KEYED} AND frame >= 40
@@ -133,6 +138,18 @@ UNION ALL SELECT shot_id || ' ' || stream_id || ' ' || frame, 'review without a
 UNION ALL SELECT * FROM (SELECT shot_id || ' ' || stream_id || ' ' || frame || ' ' || point, CASE WHEN point = 'odd' THEN 'not a known point' WHEN x < 0 OR x > 1000 OR y < 0 OR y > 900 THEN 'outside the image' WHEN origin <> 'manual' AND model IS NULL THEN 'origin without the model''s name' END AS rule FROM sp WHERE {_KEYED} AND placed) WHERE rule IS NOT NULL
 UNION ALL SELECT * FROM (SELECT shot_id || ' ' || stream_id || ' ' || frame || ' ' || point, CASE WHEN point = 'odd' THEN 'not a known point' WHEN placed THEN 'both placed and unavailable' END AS rule FROM sp WHERE {_KEYED} AND gone) WHERE rule IS NOT NULL""")
 def shot_label_violations(spark, d):
-    v = D.pose(spark, d).select("video_id").distinct().where("video_id <> 8")
-    streams = v.select(F.concat(F.lit("o"), "video_id").alias("shot_id"), F.lit("c1").alias("stream_id"), F.concat(F.lit("s"), "video_id").alias("source_id"), F.concat(F.lit("h"), "video_id").alias("sha256"), F.lit(40).alias("frame_count"), F.lit(1000).alias("width"), F.lit(900).alias("height"))
+    streams = _catalog_streams(D.pose(spark, d).select("video_id").distinct().where("video_id <> 8"))
     return L.shot_label_violations(shot_docs(spark, d), streams, [f"j{i}" for i in range(D.LANDMARKS) if i != 19])
+
+
+@_R.add("c7_freeze_problems", f"""WITH v AS (SELECT DISTINCT label AS video_id FROM embeddings WHERE label <> 8) SELECT 'o' || video_id AS shot_id, 'source s' || video_id || ' is ' || CASE WHEN video_id % 4 = 2 THEN 'changed' ELSE 'missing' END AS problem FROM v WHERE video_id % 4 >= 2
+    UNION ALL SELECT split_part(place, ' ', 1), place || ': ' || rule FROM ({ORACLE_SQL['c2_shot_label_violations']})""")
+def freeze_problems(spark, d):
+    """What stands against freezing the shots: states of their sources, and all rules that their labels break."""
+    from motion_tables.operators.snapshots import freeze_problems as problems
+
+    v = D.pose(spark, d).select("video_id").distinct().where("video_id <> 8")
+    streams = _catalog_streams(v)
+    states = v.where("video_id % 4 < 3").select(F.concat(F.lit("s"), "video_id").alias("id"), F.when(F.col("video_id") % 4 == 0, "ok").when(F.col("video_id") % 4 == 1, "relocated").otherwise("changed").alias("status"))
+    images = streams.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("frame"), F.lit("i").alias("digest"))
+    return problems(streams, states, shot_docs(spark, d), images, [f"j{i}" for i in range(D.LANDMARKS) if i != 19])
