@@ -97,21 +97,32 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], *[pa.array(counts[c], pa.int64()) for c in names], *lists], ["rkey", "doc_id", "host", *names, "lines", "line_words"])
 
 
-def quality_rules(docs: DataFrame, *, host: str = "source", max_docs: int = 30, min_line_words: int = 4, least_left: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+#: Parts that the documents of a line are dealt into.
+SALTS = 32
+
+
+def _salted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def quality_rules(docs: DataFrame, *, host: str = "source", min_docs: int = 30, min_percent: int = 1, least_left: float = 0.5, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """One row per row of docs (doc_id, text and the host column are read): rkey, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    removed_words (in lines that more than ``max_docs`` documents of the host hold), base_failed, kept.
+    removed_words (in lines that more than ``min_percent`` percent of the host's documents hold, and more than ``min_docs`` of them), base_failed, kept.
 
-    A document is kept if it passes the base rules and the lines taken out leave it at least ``least_left`` of its words.  Lines under
-    ``min_line_words`` words are never taken out.  A null text counts as an empty one: no words, base_failed.  A null host
+    A document is kept if it passes the base rules and the lines taken out leave it at least ``least_left`` of its words.  Every line with a
+    word counts.  A null text counts as an empty one: no words, base_failed.  A null host
     is a host of its own.  Equal rows are counted as one document and treated alike.  An empty table gives an empty result.
     """
     rows = docs.select(row_key().alias("rkey"), "doc_id", F.xxhash64(host).alias("host"), "text")
     measured = stored(rows.mapInArrow(_measure, _SCHEMA.format(id=docs.schema["doc_id"].dataType.simpleString())), "measures")
-    lines = measured.select("rkey", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).where(F.col("l.line_words") >= min_line_words)
-    lines = lines.select("rkey", F.xxhash64("host", "l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    common = lines.join(often.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("rkey").alias("n")).where(F.col("n") > max_docs)
-    removed = lines.join(common.select("line"), "line").select("rkey", "line", "words").distinct().groupBy("rkey").agg(F.sum("words").alias("removed_words"))
+    lines = measured.select("rkey", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    lines = lines.select("rkey", "host", F.xxhash64("host", "l.lines").alias("line"), F.col("l.line_words").alias("words"), F.pmod("rkey", F.lit(SALTS)).cast("int").alias("salt"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    hosts = measured.select("host", "rkey").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    some = often.join(hosts, "host").where(F.col("n") * 100 > F.col("docs") * min_percent)  # equal rows may still be counted twice
+    held = stored(lines.join(_salted(some.select("line", "docs")), ["line", "salt"]).select("rkey", "line", "words", "docs").distinct(), "held")
+    common = held.groupBy("line").agg(F.count("*").alias("n"), F.first("docs").alias("docs")).where((F.col("n") > min_docs) & (F.col("n") * 100 > F.col("docs") * min_percent))
+    removed = held.withColumn("salt", F.pmod("rkey", F.lit(SALTS)).cast("int")).join(_salted(common.select("line")), ["line", "salt"]).groupBy("rkey").agg(F.sum("words").alias("removed_words"))
     out = measured.drop("lines", "line_words", "host").join(removed, "rkey", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words") >= F.col("n_words") * least_left

@@ -173,8 +173,9 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
 , full_line AS (SELECT doc_id, source, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS w FROM line WHERE regexp_matches(raw, '[^\x20\x09-\x0D]'))
 , dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM full_line GROUP BY doc_id)
 , own AS (SELECT doc_id, source, array_to_string(w, ' ') AS norm, sum(len(w)) AS words FROM full_line GROUP BY ALL)
-, often AS (SELECT source, norm FROM own WHERE words >= 4 GROUP BY ALL HAVING count(*) > 30)
-, cut AS (SELECT o.doc_id, sum(o.words) AS n FROM own o JOIN often f ON f.norm = o.norm AND f.source IS NOT DISTINCT FROM o.source WHERE o.words >= 4 GROUP BY o.doc_id)
+, host AS (SELECT source, count(*) AS docs FROM d GROUP BY source)
+, often AS (SELECT o.source, norm FROM own o JOIN host h ON h.source IS NOT DISTINCT FROM o.source GROUP BY ALL HAVING count(*) > 30 AND count(*) * 100 > max(h.docs))
+, cut AS (SELECT o.doc_id, sum(o.words) AS n FROM own o JOIN often f ON f.norm = o.norm AND f.source IS NOT DISTINCT FROM o.source GROUP BY o.doc_id)
 , r AS (SELECT d.doc_id, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS removed_words
     FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN cut USING (doc_id))

@@ -13,7 +13,7 @@ def test_same_as_sql(spark):
 def test_frequent_lines_deplete(spark):
     line = words(12, 1)
     rows = [(i, f"{line}\n{words(30 if i % 2 else 9, 50 + i)}", "a" if i < 20 else "b") for i in range(23)]
-    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=5).collect()}
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=5).collect()}
     assert all(got[i].removed_words == (12 if i < 20 else 0) for i in got)
     assert all(got[i].kept == (i >= 20 or i % 2 == 1) for i in got)
 
@@ -30,3 +30,11 @@ def test_edges(edges, none):
     assert all(r.base_failed and not r.kept and r.n_words == 0 for r in rows if r.doc_id in (1, 2, 3))
     assert all(r.kept for r in rows if r.doc_id in (6, 8))
     assert Q.quality_rules(none).count() == 0
+
+
+def test_short_lines_count_and_a_share_of_the_host_decides(spark):
+    rows = [(i, f"ok\n{words(30, i)}" + ("\nyes no" if i < 40 else ""), "a") for i in range(200)]
+    got = {r.doc_id: r.removed_words for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=5, min_percent=20).collect()}
+    assert set(got.values()) == {1}  # a fifth of the documents is not more than 20 percent
+    got = {r.doc_id: r.removed_words for r in Q.quality_rules(spark.createDataFrame(rows + rows[:40], "doc_id long, text string, source string"), min_docs=5, min_percent=19).collect()}
+    assert got == {i: 3 if i < 40 else 1 for i in range(200)}  # equal rows count once
