@@ -189,6 +189,26 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 , c AS (SELECT page_id, url, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(
     replace(replace(replace(replace(x, '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
 SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM c
+""",
+    # The cheapest way to each state after each turn: what may follow is decided by the last role alone.  crc32 by its table of 256 values.
+    "op11_conversation_repair": r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t)
+, kind AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c, x: xor(c >> 8, t[1 + xor(c & 255, CAST(unicode(x) AS BIGINT))]), 4294967295), 4294967295) % 20 AS d FROM conversations, crc)
+, damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kind)
+, turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ends FROM damaged)
+, f AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS i, CASE WHEN ends = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+    CASE WHEN k > 1 THEN lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') ELSE false END AS illegal FROM turns)
+, one(st, st2, said) AS (VALUES ('0', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant'))
+, ins AS (SELECT st, 0 AS n, st AS st2, '' AS said FROM one UNION ALL SELECT st, 1, st2, chr(10) || said || ':' FROM one UNION ALL SELECT x.st, 2, y.st2, chr(10) || x.said || ':' || chr(10) || y.said || ':' FROM one x JOIN one y ON y.st = x.st2)
+, r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, '0' AS st, 0 AS cost, '' AS audit, '' AS made FROM f UNION ALL SELECT conv_id, k, st, cost, audit, made FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS best FROM (
+    SELECT f.conv_id, f.k, CASE e WHEN 'D' THEN ins.st2 WHEN 'K' THEN f.i ELSE one.st2 END AS st, CAST(r.cost + 3 * n + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS INTEGER) AS cost, r.audit || repeat('I', n) || e AS audit,
+        r.made || ins.said || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || one.said || ':' || f.text END AS made
+    FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1 JOIN ins ON ins.st = r.st JOIN one ON one.st = ins.st2, (VALUES ('D'), ('K'), ('R')) AS edit(e)
+    WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR f.i = one.st2 OR (f.i = 's' AND ins.st2 = '0'))))) WHERE best = 1)
+, n AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id)
+, z AS (SELECT r.conv_id, r.cost + 3 * ins.n AS cost, r.audit || repeat('I', ins.n) AS audit, substr(r.made || ins.said, 2) AS made FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.n = r.k JOIN ins ON ins.st = r.st WHERE ins.st2 IN ('0', 'a') QUALIFY row_number() OVER (PARTITION BY r.conv_id ORDER BY r.cost + 3 * ins.n, r.audit || repeat('I', ins.n)) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
     # crc32 by its table of 256 values, over the UTF-8 bytes of letters below U+0100.
     "op12_spelling_variants": r"""

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from motion_tables.llm.conversation_repair import align, audits, damage, repair_conversations, repaired_turns
-from motion_tables.llm.queries import QUERIES
+from motion_tables.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import same
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -88,6 +89,10 @@ def test_query_against_brute_force(spark, sf):
     assert as_dict(got) == brute(rows, damaged(rows))
 
 
+def test_query_against_sql(spark):
+    same(spark, "/root/testdata/sf0.01", QUERIES["op11_conversation_repair"], ORACLE_SQL["op11_conversation_repair"])
+
+
 def test_random_conversations(spark):
     r = np.random.default_rng(5)
     texts = ["one.", "two!", "three", "", " \n", "four?", "five .\t", None, "six "]
