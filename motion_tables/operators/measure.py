@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,54 @@ def compared(user: DataFrame, ref: DataFrame) -> DataFrame:
     return u.join(r, ["pair_id", "view", "frame", "key"]).withColumn("difference", F.col("user_value") - F.col("ref_value"))
 
 
+@dataclass(frozen=True)
+class Measurement:
+    """A measurement of one frame: its key and label, the points that it needs (columns of structs with x and y, null where not detected), the view that it makes sense in (None: any), and its value from those points."""
+
+    key: str
+    label: str
+    joints: tuple[str, ...]
+    value: Callable[..., Column]
+    view: str | None = None
+
+
+class Measurements:
+    """A catalog of measurements that users add to."""
+
+    def __init__(self):
+        self.all: dict[str, Measurement] = {}
+
+    def add(self, key: str, label: str, joints: Iterable[str], view: str | None = None):
+        """Registers the decorated function, which gets a column for each of ``joints``, under a key of its own."""
+        joints = tuple(joints)
+        if key in self.all or not joints:
+            raise ValueError(f"measurement {key!r} is there already" if joints else f"measurement {key!r} needs a point")
+
+        def mark(f: Callable[..., Column]) -> Callable[..., Column]:
+            self.all[key] = Measurement(key, label, joints, f, view)
+            return f
+
+        return mark
+
+    def measured(self, points: DataFrame) -> DataFrame:
+        """video_id, frame, key, value, reason of every frame of ``points`` (video_id, frame, view and the joints' columns) and every measurement of its view.
+
+        A value that needs a point which isn't detected is null, with the reason naming the missing ones; so is one that its function leaves null or not a number.  All measurements of a frame
+        come from one row, without a shuffle.  An empty catalog gives an empty result.
+        """
+        if not self.all:
+            return points.select("video_id", "frame", F.lit("").alias("key"), F.lit(0.0).alias("value"), F.lit("").alias("reason")).limit(0)
+        rows = []
+        for m in self.all.values():
+            missing = F.array_compact(F.array(*[F.when(F.col(j).isNull(), F.lit(j)) for j in m.joints]))
+            value = m.value(*[F.col(j) for j in m.joints]).cast("double")
+            value = F.when((F.size(missing) == 0) & ~F.isnan(value), value)
+            reason = F.when(F.size(missing) > 0, F.concat(F.lit("not detected: "), F.array_join(missing, ", "))).when(value.isNull(), "undefined")
+            row = F.struct(F.lit(m.key).alias("key"), value.alias("value"), reason.alias("reason"))
+            rows.append(row if m.view is None else F.when(F.col("view") == m.view, row))
+        return points.select("video_id", "frame", F.explode(F.array_compact(F.array(*rows))).alias("m")).select("video_id", "frame", "m.*")
+
+
 # The shortest segment that has a direction, in pixels; least width of the shoulders and of the cue that orients a view, in torso lengths.
 LEAST_PX, LEAST_SHOULDERS, LEAST_CUE = 1e-6, 0.2, 0.05
 JOINTS = ("shoulder", "elbow", "wrist", "hip", "knee", "ankle")

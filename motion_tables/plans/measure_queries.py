@@ -90,3 +90,38 @@ def slot_comparison(spark, d):
     p = _points(spark, d)
     m = M.measurements(p.where("frame = 7"), _references(spark, d))
     return rounded(M.slot_comparison(m.withColumnRenamed("video_id", "pair_id"), m.withColumn("pair_id", F.col("video_id") - 2)), 2)
+
+
+_MINE = M.Measurements()
+
+
+@_MINE.add("hand_gap", "Distance of the wrists", ["lead_wrist", "trail_wrist"])
+def _hand_gap(a, b):
+    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+
+
+@_MINE.add("knee_lead", "Lead knee ahead of the trail one", ["lead_knee", "trail_knee"], view="face_on")
+def _knee_lead(a, b):
+    return a["x"] - b["x"]
+
+
+@_MINE.add("arm_ratio", "Forearm over upper arm", ["lead_shoulder", "lead_elbow", "lead_wrist"])
+def _arm_ratio(s, e, w):
+    upper = F.hypot(s["x"] - e["x"], s["y"] - e["y"])
+    return F.hypot(e["x"] - w["x"], e["y"] - w["y"]) / F.when(upper > 0.1, upper)
+
+
+def _user_sql(key, joints, value, cond="true", undefined="false"):
+    gone = ", ".join(f"CASE WHEN {j}_x IS NULL THEN '{j}' END" for j in joints)
+    return f"SELECT video_id, frame, '{key}' AS key, CASE WHEN len(gone) = 0 AND NOT coalesce({undefined}, false) THEN round({value}, 6) END AS value, CASE WHEN len(gone) > 0 THEN 'not detected: ' || array_to_string(gone, ', ') WHEN {undefined} THEN 'undefined' END AS reason FROM (SELECT *, list_filter([{gone}], lambda g: g IS NOT NULL) AS gone FROM n1) WHERE {cond}"
+
+
+_UPPER = "sqrt(power(lead_shoulder_x - lead_elbow_x, 2) + power(lead_shoulder_y - lead_elbow_y, 2))"
+
+
+@_R.add("u3_user_measurements", f"""WITH {_NAMED} {_user_sql('hand_gap', ['lead_wrist', 'trail_wrist'], 'sqrt(power(lead_wrist_x - trail_wrist_x, 2) + power(lead_wrist_y - trail_wrist_y, 2))')}
+UNION ALL {_user_sql('knee_lead', ['lead_knee', 'trail_knee'], 'lead_knee_x - trail_knee_x', 'video_id % 2 = 0')}
+UNION ALL {_user_sql('arm_ratio', ['lead_shoulder', 'lead_elbow', 'lead_wrist'], 'sqrt(power(lead_elbow_x - lead_wrist_x, 2) + power(lead_elbow_y - lead_wrist_y, 2)) / ' + _UPPER, undefined=_UPPER + ' <= 0.1::DOUBLE')}""")
+def user_measurements(spark, d):
+    """Three measurements that a user has added to a catalog of their own."""
+    return rounded(_MINE.measured(_points(spark, d)))

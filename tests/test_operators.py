@@ -199,3 +199,17 @@ def test_shaft_positions_need_half_of_the_frames(spark):
     assert [tuple(r)[:3] for r in L.shaft_positions(s, spans).collect()] == []
     whole = s.withColumn("angle", s.frame + 44.5)
     assert {tuple(r)[:3] for r in L.shaft_positions(whole, spans).collect()} == {("v", "P2", 46), ("w", "P2", 46)}
+
+
+def test_user_measurements(spark):
+    from motion_tables.operators.measure import Measurements
+
+    mine = Measurements()
+    df = spark.createDataFrame([(1, 0, "dtl", (0.0, 0.0), (3.0, 4.0)), (1, 1, "face_on", None, (1.0, 1.0))], "video_id int, frame int, view string, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    assert mine.measured(df).count() == 0
+    mine.add("gap", "Gap", ["a", "b"])(lambda a, b: ((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2) ** 0.5)
+    mine.add("side", "Side", ["b"], view="face_on")(lambda b: b["x"] * float("nan"))
+    got = {(r.frame, r.key): (r.value, r.reason) for r in mine.measured(df).collect()}
+    assert got == {(0, "gap"): (5.0, None), (1, "gap"): (None, "not detected: a"), (1, "side"): (None, "undefined")}
+    with pytest.raises(ValueError):
+        mine.add("gap", "Again", ["a"])
