@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -87,14 +87,25 @@ def state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _too_long(retention: str) -> Column:
+    """Whether a trigger's pre-roll is longer than the retention."""
+    held = F.unix_micros("ts") - F.unix_micros(F.expr(f"ts - interval {retention}"))
+    return F.col("pre_roll_ns") > held * 1000
+
+
 def trigger_clips(triggers: DataFrame, frames: DataFrame, retention: str = "1 day") -> DataFrame:
-    """Frames of each trigger's session within its pre-roll: an interval join of two watermarked streams; frames older than the retention leave the state, so it must be the longest pre-roll at least."""
-    t = triggers.withWatermark("ts", retention).withColumnRenamed("ts", "trigger_ts").alias("t")
+    """Frames of each trigger's session within its pre-roll: an interval join of two watermarked streams; frames older than the retention leave the state, so a trigger whose pre-roll is longer gets no clip: ``refused_triggers`` has it."""
+    t = triggers.where(~_too_long(retention)).withWatermark("ts", retention).withColumnRenamed("ts", "trigger_ts").alias("t")
     f = frames.withWatermark("ts", retention).alias("f")
     same = F.expr(f"t.session_id = f.session_id and f.ts_ns <= t.trigger_ns and f.ts_ns >= t.trigger_ns - t.pre_roll_ns and f.ts <= t.trigger_ts and f.ts >= t.trigger_ts - interval {retention}")
     return t.join(f, same).select("t.session_id", "shot_id", "camera_id", "sequence", "ts_ns")
 
 
+def refused_triggers(triggers: DataFrame, retention: str = "1 day") -> DataFrame:
+    """session_id, shot_id, rule of the triggers that ``trigger_clips`` can't give a whole clip for the retention."""
+    return triggers.where(_too_long(retention)).select("session_id", "shot_id", F.lit("pre-roll longer than the retention").alias("rule"))
+
+
 def live_counts(frames: DataFrame, window: str, late: str = "10 minutes") -> DataFrame:
     """Frames of each camera in windows of a fixed length: start, frames, first_ns, last_ns."""
     g = frames.withWatermark("ts", late).groupBy("camera_id", F.window("ts", window).alias("w"))

@@ -73,3 +73,15 @@ def test_stream_join_equals_the_batch_clips(spark):
 def test_activity_sessions_split_at_pauses(spark):
     f = spark.createDataFrame([("c", t * 10**9) for t in (0, 5, 100, 103)], "camera_id string, ts_ns long").withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
     assert sorted(r.frames for r in capture.activity_sessions(f, "30 seconds").collect()) == [2, 2]
+
+
+def test_triggers_that_reach_back_too_far_are_refused(spark):
+    hour = 3600 * 10**9
+    t = spark.createDataFrame([(1, k, 100 * hour, n * hour) for k, n in enumerate((1, 24, 25))], "session_id long, shot_id int, trigger_ns long, pre_roll_ns long").withColumn("ts", F.timestamp_micros(F.floor(F.col("trigger_ns") / 1000).cast("long")))
+    f = spark.createDataFrame([(1, "c", i, i * hour) for i in range(70, 101)], "session_id long, camera_id string, sequence long, ts_ns long").withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long")))
+    assert [(r.shot_id, r.rule) for r in capture.refused_triggers(t).collect()] == [(2, "pre-roll longer than the retention")]
+    got = {}
+    for r in capture.trigger_clips(t, f).collect():
+        got.setdefault(r.shot_id, []).append(r.sequence)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [99, 100], 1: list(range(76, 101))}
+    assert [r.shot_id for r in capture.refused_triggers(t, "30 minutes").orderBy("shot_id").collect()] == [0, 1, 2]
