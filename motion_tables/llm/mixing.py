@@ -88,7 +88,8 @@ def _per_shard(total: int, shards: int) -> int:
 def each(df: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
     """A row for each number from low to before high: first for each piece of them, dealt over tasks, so that no array and no task holds more than a piece."""
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((high - low - 1) / PIECE))).alias("_piece")
-    dealt = df.where(high > low).withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).select("*", piece).repartition("_low", "_high", "_piece")
+    dealt = df.where(high > low).withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).select("*", piece)
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_low", "_high", "_piece")  # a number, for pieces are small rows that adaptive execution would put together
     first = F.col("_low") + F.col("_piece") * PIECE
     return dealt.select("*", F.explode(F.sequence(first, F.least(F.col("_high"), first + PIECE) - 1)).alias(name)).drop("_low", "_high", "_piece")
 
