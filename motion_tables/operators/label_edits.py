@@ -2,13 +2,18 @@
 
 Whether an edit is taken, and what it does, depends on those before it at the same frame: a frame exists while it has a point or a point marked unavailable,
 its image is that of the edit that made it, moving a model's proposal corrects it, and every change of a frame undoes its review.  Edits of different frames don't
-meet, so frames are the groups; a group is what people did to one image.
+meet, so frames are folded by themselves, each read once in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from motion_tables.operators.folds import in_order
 
 # Kinds of edits, origins of a point and those of a model, reasons of a missing point, review states, positions.
 FRAME_OPS, POSITION_OPS = ("point", "unavailable", "remove", "review"), ("position", "clear")
@@ -18,6 +23,7 @@ REVIEW_STATUSES = ("unreviewed", "reviewed", "rejected")
 POSITIONS = tuple(f"P{i}" for i in range(1, 11))
 
 _POINT = "struct<name:string,reason:string,x:double,y:double,visible:boolean,origin:string,model:string,confidence:double,set_by:string>"
+_POINT_FIELDS = ("name", "reason", "x", "y", "visible", "origin", "model", "confidence", "set_by")
 _REVIEW = "struct<status:string,`by`:string,notes:string>"
 
 
@@ -49,43 +55,56 @@ def checked(edits: DataFrame, streams: DataFrame, points: list[str]) -> DataFram
     return j.withColumn("why", _why(points)).drop("width", "height", "frame_count", "same_bytes")
 
 
-def _step(s: Column, e: Column) -> Column:
-    live, exists = s["live"], F.size(s["live"]) > 0
-    places = e["op"].isin("point", "unavailable")
-    late = F.when((e["op"] == "review") & ~exists, "no labels to review").otherwise(F.coalesce(e["why"], F.when(places & exists & ~s["image"].eqNullSafe(e["image"]), "labels of another image")))
-    others, old = F.filter(live, lambda p: p["name"] != e["name"]), F.get(F.filter(live, lambda p: p["name"] == e["name"]), F.lit(0))
-    corrects = F.coalesce((e["origin"] == "manual") & old["origin"].isin(*OF_MODELS), F.lit(False))
-    none = F.lit(None)
-    placed = F.struct(e["name"], none, e["x"], e["y"], e["visible"], F.when(corrects, "corrected").otherwise(e["origin"]), F.when(corrects, old["model"]).otherwise(e["model"]), e["confidence"], e["by"]).cast(_POINT)
-    missing = F.struct(e["name"], e["reason"], none, none, none, none, none, none, none).cast(_POINT)
-    fine, reviews = late.isNull(), e["op"] == "review"
-    signed = F.struct(e["status"], F.when(e["status"] != "unreviewed", e["by"]), e["notes"]).cast(_REVIEW)
-    return F.struct(
-        F.when(~fine | reviews, live).when(e["op"] == "point", F.array_append(others, placed)).when(e["op"] == "unavailable", F.array_append(others, missing)).otherwise(others).alias("live"),
-        F.when(fine & places & ~exists, e["image"]).otherwise(s["image"]).alias("image"),
-        F.when(~fine, s["review"]).when(reviews, signed).otherwise(F.struct(F.lit("unreviewed"), none, none).cast(_REVIEW)).alias("review"),
-        F.array_append(s["log"], late).alias("log"),
-    )
+def _frame(key: tuple, edits: Iterator[tuple]) -> Iterator[tuple]:
+    """Every edit of a frame with its refusal, in order, then what stands on the frame."""
+    live: dict[str, tuple] = {}
+    image, review = None, (None, None, None)
+    for _, _, seq, op, name, x, y, visible, by, origin, model, confidence, reason, status, notes, at_image, why in edits:
+        places = op in ("point", "unavailable")
+        if op == "review" and not live:
+            why = "no labels to review"
+        elif why is None and places and live and image != at_image:
+            why = "labels of another image"
+        yield (*key, seq, why, None, None, None)
+        if why is not None:
+            continue
+        if op == "review":
+            review = (status, by if status != "unreviewed" else None, notes)
+            continue
+        if places and not live:
+            image = at_image
+        if name is None:
+            live.clear()
+        old = live.pop(name, None)
+        if op == "point":
+            corrects = origin == "manual" and old is not None and old[5] in OF_MODELS
+            live[name] = (name, None, x, y, visible, "corrected" if corrects else origin, old[6] if corrects else model, confidence, by)
+        elif op == "unavailable":
+            live[name] = (name, reason, None, None, None, None, None, None, None)
+        review = ("unreviewed", None, None)
+    for point in live.values():
+        yield (*key, None, None, image, dict(zip(("status", "by", "notes"), review)), dict(zip(_POINT_FIELDS, point)))
 
 
 def folded(edits: DataFrame) -> DataFrame:
-    """stream_id, frame, image, review, live (the points and marks of the frame), log (seq and the refusal or null of each edit).  ``edits`` as ``checked`` gives them; of equal seq the order is by kind and name."""
-    e = F.struct("seq", "op", "name", "x", "y", "visible", "by", "origin", "model", "confidence", "reason", "status", "notes", "image", "why")
-    zero = F.struct(F.array().cast(f"array<{_POINT}>").alias("live"), F.lit(None).cast("string").alias("image"), F.lit(None).cast(_REVIEW).alias("review"), F.array().cast("array<string>").alias("log"))
-    g = edits.where(F.col("op").isNull() | ~F.col("op").isin(*POSITION_OPS)).groupBy("stream_id", "frame").agg(F.array_sort(F.collect_list(e)).alias("edits"))
-    g = g.withColumn("s", F.aggregate("edits", zero, _step))
-    log = F.arrays_zip(F.col("edits.seq").alias("seq"), F.col("s.log").alias("why"))
-    return g.select("stream_id", "frame", "s.image", "s.review", "s.live", log.alias("log"))
+    """stream_id, frame, seq and why (the refusal, null if it was taken) of each edit of frames; then stream_id, frame, image, review and p of each point or mark that stands in the end, with seq null.
+
+    ``edits`` as ``checked`` gives them; of equal seq the order is by kind and name.
+    """
+    order = ["seq", "op", "name", "x", "y", "visible", "by", "origin", "model", "confidence", "reason", "status", "notes", "image", "why"]
+    e = edits.where(F.col("op").isNull() | ~F.col("op").isin(*POSITION_OPS)).select("stream_id", "frame", *order)
+    made = StructType.fromDDL(f"seq long, why string, image string, review {_REVIEW}, p {_POINT}")
+    return in_order(e, ["stream_id", "frame"], order, _frame, StructType([e.schema["stream_id"], e.schema["frame"], *made]))
 
 
 def label_points(frames: DataFrame) -> DataFrame:
     """One row per point or mark of the frames that ``folded`` gives."""
-    return frames.select("stream_id", "frame", "image", F.col("review.status").alias("review"), F.col("review.by").alias("review_by"), F.explode("live").alias("p")).select("stream_id", "frame", "image", "review", "review_by", "p.*")
+    return frames.where("p is not null").select("stream_id", "frame", "image", F.col("review.status").alias("review"), F.col("review.by").alias("review_by"), "p.*")
 
 
 def label_refusals(frames: DataFrame, edits: DataFrame) -> DataFrame:
     """stream_id, seq, frame, why of every refused edit, of frames (``folded``) and of positions (``checked``)."""
-    at_frames = frames.select("stream_id", "frame", F.explode("log").alias("l")).select("stream_id", "l.seq", "frame", "l.why")
+    at_frames = frames.select("stream_id", "seq", "frame", "why")
     return at_frames.unionByName(edits.where(F.col("op").isin(*POSITION_OPS)).select("stream_id", "seq", "frame", "why")).where("why is not null")
 
 

@@ -42,3 +42,16 @@ def test_refusals_and_positions(spark):
     ])
     assert refused == {1: "unknown point", 2: "outside the image", 3: "no such frame", 4: "index of other bytes", 5: "unknown stream", 6: "unknown reason", 7: "unknown edit", 8: "unknown edit", 11: "unknown position", 12: "unknown origin", 15: "no such frame", 16: "outside the image", 17: "outside the image"}
     assert set(positions) == {"P1"} and positions["P1"].frame == 5
+
+
+def test_a_frame_is_never_gathered(spark, capsys):
+    """A frame of very many edits is read in order, not made one array: its plan collects nothing."""
+    n = 20_000
+    edits = spark.range(n).selectExpr("'s' AS stream_id", "id AS seq", "3L AS frame", "CASE WHEN id % 5 = 4 THEN 'review' ELSE 'point' END AS op", "CASE WHEN id % 2 = 0 THEN 'head' ELSE 'grip' END AS name", "CAST(id % 7 AS DOUBLE) AS x", "2D AS y", "true AS visible",
+        "'ann' AS by", "'manual' AS origin", "CAST(NULL AS STRING) AS model", "CAST(NULL AS DOUBLE) AS confidence", "CAST(NULL AS STRING) AS reason", "'reviewed' AS status", "CAST(NULL AS STRING) AS notes", "CASE WHEN id % 3 = 1 THEN 'other' ELSE 'i' END AS image")
+    streams = spark.createDataFrame([("s", 100, 50, 10, True)], "stream_id string, width int, height int, frame_count int, same_bytes boolean")
+    frames = L.folded(L.checked(edits, streams, ["head", "grip"]))
+    frames.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    assert frames.where("seq is not null").count() == n and frames.where("why = 'labels of another image'").count() == sum(i % 5 != 4 and i % 3 == 1 for i in range(n))
+    assert {(r.name, r.x, r.review) for r in L.label_points(frames).collect()} == {("head", float(19_998 % 7), "reviewed"), ("grip", float(19_997 % 7), "reviewed")}
