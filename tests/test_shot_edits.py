@@ -147,3 +147,15 @@ def test_an_owner_who_changes_closes_the_shot(spark):
     assert {r.seq: r.why for r in S.refusals(edited).collect()} == {1: ["unknown golfer"], 6: ["source of another golfer"], 9: ["window not within the source"]}
     assert [(r.swing_type, r.start_frame, r.end_frame) for r in S.shot_rows(edited).collect()] == [("half", 1, 4)]
     assert S.edited_shots(none, sources, none, log.limit(0)).count() == 0
+
+
+def test_a_shot_is_never_gathered(spark, capsys):
+    """A shot's edits are read in order, not made one array: the plan collects nothing; an owner told again is no event."""
+    golfers, sources, held, log = shot_tables(spark, "/root/testdata/sf0.001")
+    edited = S.edited_shots(golfers, sources, held, log)
+    edited.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    assert edited.where("seq is not null").count() == log.where("op is null or op not in ('golfer', 'owner')").count()
+    told = spark.createDataFrame([(1, "s1", "g1"), (2, "s1", "g1"), (3, "s1", None), (4, "s1", None), (5, "s1", "g1")], "seq long, source_id string, golfer_id string").selectExpr("*", "'owner' AS op")
+    changes = S.owner_changes(spark.createDataFrame([("s1", "g1")], "source_id string, golfer_id string"), told)
+    assert sorted(r.seq for r in changes.collect()) == [S.FIRST, 3, 5]
