@@ -9,7 +9,7 @@ permutation for each time around).  Blocks meet their texts by a join on (source
 
 No source is ever sorted or numbered in one task: rows are dealt into buckets by their ids'
 hashes, numbered within a bucket, and a bucket's place in its source's stream comes from the sums of the buckets before it.  Tables with a row a
-source, or a row a shard, are numbered in one task.  Everything is a function of the rows and the seed, so reruns and redone tasks agree.
+source, or a row a shard, are numbered in one task.  What is settled and what is drawn are stored tables, so that the driver never holds the plan of the whole mix.  Everything is a function of the rows and the seed, so reruns and redone tasks agree.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def mix_sources(
     rows = rows.select("rkey", "doc_id", "source", "size", "source_size", "target", "src", "bucket", "n", (F.col("place") + F.col("before")).alias("start"))
 
     counts = stored(drawn(sources, total, shards, seed), "counts")
-    own = settled(counts, sources, total, shards).join(sources.select("src", "blocks"), "src")
+    own = stored(settled(counts, sources, total, shards), "settled").join(sources.select("src", "blocks"), "src")
     keys = F.array(*[F.pmod(_number(_text(seed, F.col("src"), "key", r)), F.col("blocks")) for r in range(ROUNDS)])
     slots = each(own, F.col("low"), F.col("high"), "slot").select("src", "shard", "blocks", keys.alias("keys"), "slot")
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
@@ -178,7 +178,7 @@ def pieces(mix: Mix, block_words: int = 128) -> DataFrame:
 
 def taken(mix: Mix, block_words: int = 128) -> DataFrame:
     """One row per text: rkey, doc_id, source, size, source_size, target, taken (words, repeats counted), first_shard (null if none)."""
-    draws = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
+    draws = stored(mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard")), "draws")
     met = pieces(mix, block_words).join(draws, ["src", "block"], "left")
     row = ["rkey", "doc_id", "source", "size", "source_size", "target", "src", "bucket", "n"]
     out = met.groupBy(*row).agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.min("shard").alias("first_shard"))

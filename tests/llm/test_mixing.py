@@ -94,3 +94,10 @@ def test_numbers_are_made_in_pieces(spark, monkeypatch):
     df = spark.createDataFrame([(1, 0, 20), (2, 5, 5), (3, 5, 6), (4, 100, 114), (5, 9, 3)], "id int, low long, high long")
     got = sorted((r.id, r.n) for r in M.each(df, df.low, df.high, "n").collect())
     assert got == [(i, n) for i, a, b in ((1, 0, 20), (3, 5, 6), (4, 100, 114)) for n in range(a, b)]
+
+
+def test_no_plan_holds_the_whole_mix(spark, capsys):
+    """The driver plans the mix in parts: the last one has few exchanges."""
+    docs = spark.createDataFrame([(i, "a b c " * (i % 9), "xyz"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
+    M.mixed(docs).explain()
+    assert capsys.readouterr().out.count("Exchange") <= 14
