@@ -47,7 +47,7 @@ def _place(name: str, *more: Column | str) -> Column:
 def manifest_violations(read: DataFrame) -> DataFrame:
     """All rules that manifests break: shot_id, path, rule."""
     streams = manifest_streams(read)
-    gaps = manifest_gaps(streams).where("gap is not null").join(streams.select("shot_id", "stream", "first_timestamp_ns", "last_timestamp_ns"), ["shot_id", "stream"])
+    gaps = streams.select("shot_id", "stream", "first_timestamp_ns", "last_timestamp_ns", F.posexplode("gaps").alias("gap", "g")).select("shot_id", "stream", "first_timestamp_ns", "last_timestamp_ns", "gap", "g.*")
     first, last = F.col("first_timestamp_ns"), F.col("last_timestamp_ns")
     fps = F.col("nominal_fps")
     own = _broken(streams, _place("streams"), [

@@ -213,3 +213,13 @@ def test_user_measurements(spark):
     assert got == {(0, "gap"): (5.0, None), (1, "gap"): (None, "not detected: a"), (1, "side"): (None, "undefined")}
     with pytest.raises(ValueError):
         mine.add("gap", "Again", ["a"])
+
+
+def test_a_gap_is_held_against_its_own_stream(spark):
+    """Gaps of a manifest without an id, or with another's, are told of once each."""
+    from motion_tables.operators import contracts as C
+
+    stream = '{"camera_id":"c","width":9,"height":9,"frame_count":5,"nominal_fps":60.0,"first_timestamp_ns":0,"last_timestamp_ns":%d,"dropped_frame_count":9,"gaps":[{"start_timestamp_ns":5,"end_timestamp_ns":6,"missing_frame_count":0}]}'
+    docs = spark.createDataFrame([('{%s"streams":[%s]}' % (i, stream % last),) for i, last in (("", 9), ('"shot_id":"a",', 9), ('"shot_id":"a",', 4))], "doc string")
+    got = sorted((r.shot_id or "", r.rule) for r in C.manifest_violations(C.manifests(docs)).collect() if "gaps" in r.path)
+    assert got == [("", "no frame missing"), ("a", "no frame missing"), ("a", "no frame missing"), ("a", "outside its stream")]
