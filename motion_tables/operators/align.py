@@ -71,68 +71,106 @@ def features(p: DataFrame) -> DataFrame:
     return s.select(KEY, "frame", F.concat(coordinates, rest).alias("features"))
 
 
+#: Columns whose costs a band works out at once, rows of a band of a pair that is kept whole, and what blocks of costs are filled up to multiples of.
+WIDE, BAND, EVEN = 128, 512, 64
+
+
+def _costs(a: np.ndarray, b: np.ndarray, square_a: np.ndarray, square_b: np.ndarray) -> np.ndarray:
+    """Distances of all vectors of a from all of b, as one product of matrices; where that would cancel, from the differences, so that equal vectors are at 0.
+
+    Blocks are filled up, so that equal pairs of vectors cost the same at every place: ties stay ties.
+    """
+    n, m = len(a), len(b)
+    fill = lambda v: np.concatenate([v, np.zeros((-len(v) % EVEN, v.shape[1]))])
+    gap = (fill(-2 * a) @ fill(b).T)[:n, :m]
+    gap += square_a[:, None]
+    gap += square_b
+    i, j = np.nonzero(gap <= 1e-3 * square_a[:, None])
+    for k in range(0, len(i), 4096):
+        one, other = i[k : k + 4096], j[k : k + 4096]
+        gap[one, other] = ((a[one] - b[other]) ** 2).sum(1)
+    return np.sqrt(gap, out=gap)
+
+
 def _band(a: np.ndarray, b: np.ndarray, square_a: np.ndarray, square_b: np.ndarray, above: np.ndarray, corner: float, came: np.ndarray | None) -> np.ndarray:
-    """Totals of the last of these rows, from those of the row above them (``above``, by column) and what stands left of it; came gets where each cell's path comes from."""
+    """Totals of the last of these rows, from those of the row above them (``above``, by column) and what stands left of it; came (n + m - 1 anti-diagonals by n rows) gets where each cell's path comes from."""
     n, m = len(a), len(b)
-    last = np.empty(m)
-    one, two = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # of the last diagonal and the one before it; place 0 is the row above
-    two[0] = corner
-    for d in range(2, n + m + 1):
-        if d - 1 <= m:
-            one[0] = above[d - 2]
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
-        cost = np.sqrt(np.maximum(square_a[i - 1] + square_b[j - 1] - 2 * (a[i - 1] * b[j - 1]).sum(1), 0))
-        from_ = np.stack([two[i - 1], one[i - 1], one[i]])
-        if came is not None:
-            came[i - 1, j - 1] = from_.argmin(axis=0)
-        now = np.full(n + 1, np.inf)
-        now[i] = cost + from_.min(axis=0)
-        if i[-1] == n:
-            last[j[-1] - 1] = now[n]
-        one, two = now, one
+    last, best = np.empty(m), np.empty(n)
+    totals = np.full((WIDE + 2, n + 1), np.inf)  # of the two diagonals before these and of these; place 0 is the row above
+    totals[0, 0] = corner
+    costs = np.full((WIDE + n, n), np.inf)  # a row for each diagonal; those past the columns at hand wait for the next ones
+    step = costs.itemsize
+    for left in range(0, n + m - 1, WIDE):
+        here = min(WIDE, n + m - 1 - left)
+        if left < m:
+            block = _costs(b[left : left + WIDE], a, square_b[left : left + WIDE], square_a)
+            np.lib.stride_tricks.as_strided(costs, block.shape, (n * step, (n + 1) * step))[...] = block  # column j, row i to diagonal i + j, place i
+            totals[1 : 1 + min(here, m - left), 0] = above[left : left + here]
+        for k in range(here):
+            up = totals[k + 1]
+            np.minimum(up[:-1], up[1:], out=best)
+            np.minimum(best, totals[k, :-1], out=best)
+            np.add(best, costs[k], out=totals[k + 2, 1:])
+        if came is not None:  # the first of the least, as argmin has it, with nan less than all
+            diagonal, up, aside = totals[:here, :-1], totals[1 : here + 1, :-1], totals[1 : here + 1, 1:]
+            straight = (diagonal <= np.minimum(up, aside)) | (diagonal != diagonal)
+            way = came[left : left + here]
+            way[...] = (up <= aside) | (up != up)
+            np.subtract(2, way, out=way)
+            way[straight] = 0
+        low = max(left, n - 1)
+        if low < left + here:
+            last[low - n + 1 : left + here - n + 1] = totals[low - left + 2 : here + 2, n]
+        totals[:2] = totals[here : here + 2].copy()
+        costs[:n] = costs[WIDE:].copy()
+        costs[n:] = np.inf
     return last
 
 
 def dtw(a: np.ndarray, b: np.ndarray, most_bytes: int = 1 << 28) -> tuple[float, np.ndarray]:
     """Exact dynamic time warping of two series of vectors: the distance and the path.  Ties prefer the diagonal, then a step in the first series.
 
-    Rows are worked through in bands, by anti-diagonals; only the last totals of each band are kept.  Then bands are done again from the last one back, each with a byte
-    a cell for where its path comes from, and the path is followed through them.  A band has so many rows that both take about ``most_bytes`` at most: about the square root of 8 x rows, so that memory grows as columns times
-    that root, and the time is twice that of one pass.  A pair that fits in one band is done once.
+    Rows are worked through in bands, by anti-diagonals, costs as products of matrices.  A pair of up to ``most_bytes`` cells keeps a byte a cell for where its path comes from, and is done once.  Of a larger one only the last
+    totals of each band are kept; then bands are done again from the last one back, each with those bytes, and the path is followed through them.  A band has about the square root of 8 x rows, so that memory
+    grows as columns times that root, and the time is twice that of one pass.
     """
     n, m = len(a), len(b)
     square_a, square_b = (a**2).sum(1), (b**2).sum(1)
-    rows = n if n * m <= most_bytes else max(16, int(np.sqrt(8 * n)))
-    cuts = list(range(0, n, rows)) + [n]
+    whole = n * m <= most_bytes
+    cuts = list(range(0, n, BAND if whole else max(16, int(np.sqrt(8 * n))))) + [n]
+    final = len(cuts) - 2
     start = np.full(m, np.inf)  # nothing stands above the first row, but for the corner
-    tops, totals, came = [start], start, None
+    tops, totals, ways = [start], start, {}
     for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        came = np.zeros((high - low, m), dtype=np.uint8) if k == len(cuts) - 2 else None
-        totals = _band(a[low:high], b, square_a[low:high], square_b, totals, 0.0 if not k else np.inf, came)
-        if k < len(cuts) - 2:
+        if whole or k == final:
+            ways[k] = np.zeros((high - low + m - 1, high - low), dtype=np.uint8)
+        totals = _band(a[low:high], b, square_a[low:high], square_b, totals, 0.0 if not k else np.inf, ways.get(k))
+        if k < final:
             tops.append(totals)
     distance, i, j, path = float(totals[-1]), n, m, []
-    for k in range(len(cuts) - 2, -1, -1):
+    for k in range(final, -1, -1):
         low, high = cuts[k], cuts[k + 1]
-        if k < len(cuts) - 2:
-            came = np.zeros((high - low, j), dtype=np.uint8)
+        came = ways.pop(k, None)
+        if came is None:
+            came = np.zeros((high - low + j - 1, high - low), dtype=np.uint8)
             _band(a[low:high], b[:j], square_a[low:high], square_b[:j], tops[k][:j], 0.0 if not k else np.inf, came)
         while i > low and j:
             path.append((i - 1, j - 1))
-            way = came[i - 1 - low, j - 1]
+            way = came[i - 1 - low + j - 1, i - 1 - low]
             i, j = i - (way != 2), j - (way != 1)
+        del came
     return distance, np.array(path[::-1])
 
 
 def dtw_paths(feature_rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, step, user_frame, ref_frame, distance of each pair (pair_id, user_id, ref_id) of recordings, features as z-scores of their recording.
 
-    A recording is gathered once as an array of its frames (a clip, not a stream); pairs are dealt out by their id, so that one pair is one unit of work.
+    A recording is gathered once as an array of its frames (a clip, not a stream); pairs are dealt out by their id over a set number of tasks, so that one pair is one unit of work.
     """
     clips = feature_rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("frame", "features"))).alias("f")).select(KEY, F.col("f")["frame"].alias("frames"), F.col("f")["features"].alias("rows"))
     side = lambda s: clips.select(F.col(KEY).alias(f"{s}_id"), F.col("frames").alias(f"{s}_frames"), F.col("rows").alias(f"{s}_rows"))
-    both = pairs.join(side("user"), "user_id").join(side("ref"), "ref_id").repartition("pair_id")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, for pairs take more time than their size lets adaptive execution expect
+    both = pairs.join(side("user"), "user_id").join(side("ref"), "ref_id").repartition(tasks, "pair_id")
 
     def scaled(rows) -> np.ndarray:
         x = np.array([np.asarray(r, float) for r in rows])

@@ -133,6 +133,25 @@ def test_dtw_in_bands_is_the_same_in_little_memory():
     tracemalloc.stop()
 
 
+def test_dtw_pairs_are_dealt_over_a_set_number_of_tasks(spark):
+    rows = [(v, f, [float(v), float(f * v % 5), 1.0]) for v in range(4) for f in range(6)]
+    features = spark.createDataFrame(rows, "video_id int, frame int, features array<double>")
+    pairs = spark.createDataFrame([(k, k, (k + 1) % 4) for k in range(4)], "pair_id long, user_id int, ref_id int")
+    paths = A.dtw_paths(features, pairs)
+    assert paths.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.pair_id for r in paths.collect()} == {0, 1, 2, 3}
+
+
+def test_equal_vectors_cost_nothing_and_equal_pairs_the_same():
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(7, 71)) * 1e3
+    a, b = some[rng.integers(0, 7, 150)], some[rng.integers(0, 7, 90)]
+    cost = A._costs(a, b, (a**2).sum(1), (b**2).sum(1))
+    alike = (a[:, None] == b).all(2)
+    assert (cost[alike] == 0).all() and np.allclose(cost, np.sqrt(((a[:, None] - b) ** 2).sum(2)))
+    assert len(np.unique(cost[~alike])) <= 42
+
+
 def test_dtw_is_exact():
     rng = np.random.RandomState(2)
     for n, m in ((5, 7), (1, 4), (12, 9)):
