@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The form of a capture's name; camera labels by view, in order; names that no file may have.
@@ -25,11 +25,28 @@ def view_of(label: Column) -> Column:
     return out
 
 
+def capture_parts(path: Column) -> Column:
+    """What a capture's file name matches, as an array of five: one match for all parts, with slashes between them, for a name has none.  Any other name is an array of one."""
+    return F.split(F.regexp_replace(stem(path), CAPTURE, "$1/$2/$3/$4/$5"), "/")
+
+
+def capture_fields(parts: Column) -> dict[str, Column]:
+    """The parts by name; all null if there are not five."""
+    part = lambda i: F.when(F.size(parts) == 5, F.get(parts, F.lit(i)))
+    return {"golfer": part(0), "date": part(1), "time": part(2), "camera": part(3), "camera_id": F.lower(F.substring(part(4), 1, 4)), "view": view_of(part(3))}
+
+
 def capture(path: Column) -> dict[str, Column]:
     """The parts of a capture's file name; all null if it is not of the form."""
-    name = stem(path)
-    part = lambda i: F.when(name.rlike(CAPTURE), F.regexp_extract(name, CAPTURE, i))
-    return {"golfer": part(1), "date": part(2), "time": part(3), "camera": part(4), "camera_id": F.lower(part(5)), "view": view_of(part(4))}
+    return capture_fields(capture_parts(path))
+
+
+def with_capture(df: DataFrame, path: str = "path") -> DataFrame:
+    """df with the parts of its paths' names.  A name is matched once a row: the parts are made within the row by a generator, so that no later filter, join or column repeats the match."""
+    def fields(parts: Column) -> Column:
+        return F.struct(*[v.alias(k) for k, v in capture_fields(parts).items()])
+
+    return df.select("*", F.inline(F.transform(F.array(capture_parts(F.col(path))), fields)))
 
 
 def is_identifier(v: Column) -> Column:

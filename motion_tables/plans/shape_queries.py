@@ -24,8 +24,7 @@ PARSED = f"""{D.CAPTURES}
 
 @_R.add("sc1_parse_capture", f"WITH {PARSED} SELECT * FROM k")
 def parse_capture(spark, d):
-    c = D.captures(spark, d)
-    return c.select("path", *[v.alias(k) for k, v in T.capture(F.col("path")).items()])
+    return T.with_capture(D.captures(spark, d))
 
 
 @_R.add("sc2_view_from_label", f"WITH {PARSED} SELECT view, count(*) AS n FROM k GROUP BY view")
