@@ -137,12 +137,19 @@ def report_errors(docs: DataFrame) -> DataFrame:
 
 
 def annotations_from_detections(results: DataFrame, current: DataFrame, convention: str) -> DataFrame:
-    """Annotations (path, p, frame, view, convention) with those of each view that detections (doc: positions to frames by view, and the views' paths) have frames for replaced as a whole."""
+    """Annotations (path, p, frame, view, convention) with those of each view that detections (doc: positions to frames by view, and the views' paths) have frames for replaced as a whole.
+
+    A document gives each path that it replaces once, and both sides go to a set number of tasks: paths are short, and adaptive execution would put so many into one task that sorting them fills its memory.
+    """
     kind = "struct<positions:map<string,struct<frames:map<string,int>>>,views:map<string,struct<path:string>>>"
     d = results.select(F.from_json("doc", kind).alias("d"))
     p = d.select("d.views", F.explode("d.positions").alias("p", "v")).select("views", "p", F.explode("v.frames").alias("view", "frame")).where("frame is not null")
     new = p.select(F.try_element_at("views", F.col("view"))["path"].alias("path"), "p", "frame", "view", F.lit(convention).alias("convention")).where("path is not null")
-    kept = current.join(new.select("path").distinct(), "path", "left_anti")
+    seen = F.filter(F.map_values("d.positions"), lambda v: v["frames"].isNotNull())
+    seen = F.flatten(F.transform(seen, lambda v: F.map_keys(F.map_filter(v["frames"], lambda _, frame: frame.isNotNull()))))
+    replaced = d.select(F.explode(F.transform(F.array_distinct(seen), lambda v: F.try_element_at(F.col("d.views"), v)["path"])).alias("path")).where("path is not null")
+    tasks = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = current.repartition(tasks, "path").join(replaced.repartition(tasks, "path"), "path", "left_anti")
     return kept.unionByName(new)
 
 

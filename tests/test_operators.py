@@ -256,3 +256,20 @@ def test_a_gap_is_held_against_its_own_stream(spark):
     docs = spark.createDataFrame([('{%s"streams":[%s]}' % (i, stream % last),) for i, last in (("", 9), ('"shot_id":"a",', 9), ('"shot_id":"a",', 4))], "doc string")
     got = sorted((r.shot_id or "", r.rule) for r in C.manifest_violations(C.manifests(docs)).collect() if "gaps" in r.path)
     assert got == [("", "no frame missing"), ("a", "no frame missing"), ("a", "no frame missing"), ("a", "outside its stream")]
+
+
+def test_annotations_of_detected_views_are_replaced_in_a_set_number_of_tasks(spark):
+    from motion_tables.operators import snapshots as S
+
+    docs = ['{"positions":{"P1":{"frames":{"face_on":3,"dtl":null}},"P2":{"frames":null},"P3":null},"views":{"face_on":{"path":"a"},"dtl":{"path":"b"}}}', '{"positions":null,"views":{"face_on":{"path":"c"}}}', '{"positions":{"P1":{"frames":{"face_on":1,"top":2}}}}', "no json", '{"positions":{"P9":{"frames":{"dtl":8,"top":2}}},"views":{"dtl":{"path":"d"},"face_on":{"path":"e"}}}']
+    current = spark.createDataFrame([(p, "P1", 0, "face_on", "old") for p in ("a", "b", "c", "d", "e", None)], "path string, p string, frame int, view string, convention string")
+    out = S.annotations_from_detections(spark.createDataFrame([(x,) for x in docs], "doc string"), current, "new")
+    assert sorted((str(r.path), r.p, r.frame, r.convention) for r in out.collect()) == [("None", "P1", 0, "old"), ("a", "P1", 3, "new"), ("b", "P1", 0, "old"), ("c", "P1", 0, "old"), ("d", "P9", 8, "new"), ("e", "P1", 0, "old")]
+    docs = spark.createDataFrame([('{"positions":{"P1":{"frames":{"dtl":1}}},"views":{"dtl":{"path":"%d"}}}' % k,) for k in range(50)], "doc string").coalesce(1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.annotations_from_detections(docs, current, "new")
+        assert out.count() == 56 and out.rdd.getNumPartitions() == tasks + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
