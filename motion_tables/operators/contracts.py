@@ -89,25 +89,45 @@ def result_artifacts(read: DataFrame) -> DataFrame:
     return read.select("shot_id", F.posexplode("artifacts").alias("artifact", "a")).select("shot_id", "artifact", "a.kind", "a.path")
 
 
+def result_values(read: DataFrame) -> DataFrame:
+    """shot_id, key, value, unit, kind, path: every measurement of a result with every artifact of the same result."""
+    m = read.select("shot_id", F.explode("measurements").alias("key", "m"), "artifacts")
+    return m.select("shot_id", "key", "m", F.explode("artifacts").alias("a")).select("shot_id", "key", "m.value", "m.unit", "a.kind", "a.path")
+
+
+def _rules(path: Column, rules: list[tuple[Column, str]]) -> Column:
+    """Array of (path, rule) of all rules that hold."""
+    return F.array_compact(F.array(*[F.when(c, F.struct(path.alias("path"), F.lit(t).alias("rule"))) for c, t in rules]))
+
+
 def result_violations(read: DataFrame) -> DataFrame:
-    """All rules that analysis results break: shot_id, path, rule."""
+    """All rules that analysis results break: shot_id, path, rule.  Every document is read once and gives all of its violations."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    place = lambda name, c: F.concat(F.lit(f"{name}["), F.col(c).cast("string"), F.lit("]"))
-    top = _broken(read, F.lit("result"), [(blank(F.col("analyzer.name")), "analyzer without a name"), (blank(F.col("analyzer.version")), "analyzer without a version"), ((F.col("status") == "ok") & (F.size("errors") > 0), "ok in spite of errors")])
-    e = result_events(read)
-    ordered = F.col("start_ns") <= F.col("end_ns")
-    events = _broken(e, place("events", "event"), [
-        (blank(F.col("name")), "no name"), (~ordered, "range ends before it begins"), (ordered & ~F.col("timestamp_ns").between(F.col("start_ns"), F.col("end_ns")), "outside its range"),
-        (F.coalesce(~F.col("confidence").between(0.0, 1.0), F.lit(True)), "confidence not from 0 to 1"),
-    ])
-    notes = []
-    for kind in ("warnings", "errors"):
-        n = read.select("shot_id", F.posexplode(kind).alias("note", "n")).select("shot_id", "note", "n.*")
-        notes.append(_broken(n, place(kind, "note"), [(blank(F.col("code")), "no code"), (blank(F.col("message")), "no message")]))
-    m = result_measurements(read)
-    measured = _broken(m, F.concat(F.lit("measurements."), F.col("key")), [(F.coalesce(F.isnan("value"), F.lit(True)), "no number"), (F.col("unit").isNotNull() & blank(F.col("unit")), "blank unit")])
-    made = _broken(result_artifacts(read), place("artifacts", "artifact"), [(blank(F.col("kind")), "no kind"), (~F.coalesce(is_relative_path(F.col("path")), F.lit(False)), "no portable path")])
-    return reduce(DataFrame.unionByName, [top, events, *notes, measured, made])
+
+    def each(name: str, rules) -> Column:
+        """Violations of all entries of an array, none if it is null."""
+        at = lambda i: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+        return F.coalesce(F.flatten(F.transform(name, lambda v, i: _rules(at(i), rules(v)))), F.array())
+
+    def event(e: Column) -> list:
+        at, start, end = e["timestamp_ns"], e["range"]["start_timestamp_ns"], e["range"]["end_timestamp_ns"]
+        return [
+            (blank(e["name"]), "no name"), (~(start <= end), "range ends before it begins"), ((start <= end) & ~at.between(start, end), "outside its range"),
+            (F.coalesce(~e["confidence"].between(0.0, 1.0), F.lit(True)), "confidence not from 0 to 1"),
+        ]
+
+    def measured(m: Column) -> Column:
+        value, unit = m["value"]["value"], m["value"]["unit"]
+        return _rules(F.concat(F.lit("measurements."), m["key"]), [(F.coalesce(F.isnan(value), F.lit(True)), "no number"), (unit.isNotNull() & blank(unit), "blank unit")])
+
+    note = lambda n: [(blank(n["code"]), "no code"), (blank(n["message"]), "no message")]
+    every = F.concat(
+        _rules(F.lit("result"), [(blank(F.col("analyzer.name")), "analyzer without a name"), (blank(F.col("analyzer.version")), "analyzer without a version"), ((F.col("status") == "ok") & (F.size("errors") > 0), "ok in spite of errors")]),
+        each("events", event), each("warnings", note), each("errors", note),
+        F.coalesce(F.flatten(F.transform(F.map_entries("measurements"), measured)), F.array()),
+        each("artifacts", lambda a: [(blank(a["kind"]), "no kind"), (~F.coalesce(is_relative_path(a["path"]), F.lit(False)), "no portable path")]),
+    )
+    return read.select("shot_id", F.inline(every))
 
 
 def result_summaries(read: DataFrame) -> DataFrame:

@@ -103,8 +103,7 @@ def result_events(spark, d):
 
 @_R.add("src9_result_values", f"WITH {_OR} SELECT shot_id, 'tempo' AS key, round(o_totalprice, 4) AS value, CASE WHEN o_custkey % 6 = 0 THEN '' WHEN o_custkey % 7 = 0 THEN NULL ELSE 'ms' END AS unit, 'overlay' AS kind, CASE WHEN o_custkey % 13 = 0 THEN '../overlay.mp4' ELSE 'shots/' || o_orderkey || '.mp4' END AS path FROM ro")
 def result_values(spark, d):
-    read = C.results(result_docs(spark, d))
-    return rounded(C.result_measurements(read).join(C.result_artifacts(read).drop("artifact"), "shot_id"), 4)
+    return rounded(C.result_values(C.results(result_docs(spark, d))), 4)
 
 
 @_R.add("c5_result_violations", f"""WITH {_OR}, {_EV}

@@ -273,3 +273,27 @@ def test_annotations_of_detected_views_are_replaced_in_a_set_number_of_tasks(spa
         assert out.count() == 56 and out.rdd.getNumPartitions() == tasks + 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_results_are_read_once_for_all_rules_and_values(spark):
+    from pyspark.sql import functions as F
+
+    from motion_tables.operators import contracts as C
+
+    docs = [
+        '{"shot_id":"a","analyzer":{"name":"k","version":" "},"status":"ok","events":[{"name":"P1","timestamp_ns":5,"confidence":2,"range":{"start_timestamp_ns":6,"end_timestamp_ns":9}},null,{"name":" ","timestamp_ns":5,"confidence":0.5,"range":{"start_timestamp_ns":9,"end_timestamp_ns":6}}],"errors":[{"code":"","message":"m"}],"warnings":[],"measurements":{"t":{"value":1.5,"unit":""},"u":{"value":2,"unit":null}},"artifacts":[{"kind":"o","path":"../x"},{"kind":"","path":"x/y"}]}',
+        '{"shot_id":"b","analyzer":{"name":"k","version":"1"},"status":"ok"}', "no json",
+    ]
+    read = C.results(spark.createDataFrame([(x,) for x in docs], "doc string"))
+    want = {
+        ("a", "result", "analyzer without a version"), ("a", "result", "ok in spite of errors"), ("a", "events[0]", "outside its range"), ("a", "events[0]", "confidence not from 0 to 1"), ("a", "events[1]", "no name"), ("a", "events[1]", "confidence not from 0 to 1"),
+        ("a", "events[2]", "no name"), ("a", "events[2]", "range ends before it begins"), ("a", "errors[0]", "no code"), ("a", "measurements.t", "blank unit"), ("a", "artifacts[0]", "no portable path"), ("a", "artifacts[1]", "no kind"),
+        (None, "result", "analyzer without a name"), (None, "result", "analyzer without a version"),
+    }
+    got = C.result_violations(read)
+    assert len(got.collect()) == len(want) and {tuple(r) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+    values = C.result_values(read)
+    assert sorted(tuple(r) for r in values.select(F.col("key"), "value", "kind", "path").collect()) == [("t", 1.5, "", "x/y"), ("t", 1.5, "o", "../x"), ("u", 2.0, "", "x/y"), ("u", 2.0, "o", "../x")]
+    assert "Join" not in values._jdf.queryExecution().optimizedPlan().toString()
