@@ -40,7 +40,9 @@ def piecewise_alignment(spark, d):
 @_R.add("w24_playback_plan", f"""WITH {_PIECES}, n AS (SELECT *, row_number() OVER w - 1 AS n, lead(user_frame) OVER w IS NULL AS l FROM al WINDOW w AS (PARTITION BY pair_id ORDER BY user_frame, ref_frame)), k AS (SELECT *, unnest(CASE WHEN l THEN [0] ELSE [0, 1, 2, 3] END) AS k FROM n WHERE pair_id % 20 = pair_id % 20)
 SELECT pair_id, n * 4 + k AS out_frame, user_frame, ref_frame, k / 4.0::DOUBLE AS fraction, round((n * 4 + k) / 30.0::DOUBLE, 6) AS out_seconds FROM k""".replace(" WHERE pair_id % 20 = pair_id % 20", ""))
 def playback_plan(spark, d):
-    return rounded(A.playback(A.piecewise(_pairs(spark, d), _NAMES)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, for a pair becomes many lines
+    pairs = _pairs(spark, d).repartition(tasks, "pair_id")  # dealt out before it does
+    return rounded(A.playback(A.piecewise(pairs, _NAMES)), but=("fraction",))  # which are quarters
 
 
 @_R.add("d12_dtw_features")

@@ -297,3 +297,12 @@ def test_results_are_read_once_for_all_rules_and_values(spark):
     values = C.result_values(read)
     assert sorted(tuple(r) for r in values.select(F.col("key"), "value", "kind", "path").collect()) == [("t", 1.5, "", "x/y"), ("t", 1.5, "o", "../x"), ("u", 2.0, "", "x/y"), ("u", 2.0, "o", "../x")]
     assert "Join" not in values._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_playback_deals_out_pairs_before_they_are_lines(spark):
+    from motion_tables.plans import space_queries as Q
+
+    plan = Q.playback_plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(exchanges) == 1 and exchanges[0] > max(i for i, line in enumerate(lines) if "Generate" in line)
