@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motion_tables.operators.windows import KEY
+from motion_tables.sources.scratch import scratch_folder
 
 BLOCK = 256
 
@@ -54,13 +55,21 @@ def _before_each(tables: Column, entry: Column) -> Column:
     return F.aggregate(tables, start, step)["all"]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df as a table of the shared scratch folder: tables of functions are never found equal, so that Spark would work out each use of them anew."""
+    spark = df.sparkSession
+    at = scratch_folder(spark, "follow")
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def followed(frames: DataFrame, choose: Callable[[Column, Column | None], Column], *, keeps: bool, block: int = BLOCK) -> DataFrame:
     """video_id, frame, pick (a struct of the frame's options; null where there are none).
 
     ``frames`` has video_id, frame (a whole number from 0, once each) and options (an array of structs, which may be empty).  ``choose(options, last)`` gives the place of the pick in
     options, with ``last`` the pick before or None.  With ``keeps`` frames without options are passed over; else they make the next frame start anew.
     """
-    f = frames.select(KEY, F.col("frame").cast("long").alias("frame"), "options").withColumn("_b", F.floor(F.col("frame") / block))
+    f = _kept(frames.select(KEY, F.col("frame").cast("long").alias("frame"), "options").withColumn("_b", F.floor(F.col("frame") / block)))
     some = f.where("size(options) > 0") if keeps else f
     ends = some.groupBy(KEY, "_b").agg(F.max_by("options", "frame").alias("_end"))
     ends = ends.select(KEY, "_b", F.lag("_end").over(Window.partitionBy(KEY).orderBy("_b")).alias("_carried"))
@@ -70,7 +79,8 @@ def followed(frames: DataFrame, choose: Callable[[Column, Column | None], Column
     some = some.withColumn("table", table)
     some = some.withColumn("table", F.when(F.size(F.array_distinct("table")) == 1, F.slice("table", 1, 1)).otherwise(F.col("table")))
 
-    low = some.groupBy(KEY, "_b").agg(F.array_sort(F.collect_list(F.struct("frame", "table", "options"))).alias("s")).withColumn("_bb", F.floor(F.col("_b") / block))
+    low = some.groupBy(KEY, "_b").agg(F.array_sort(F.collect_list(F.struct("frame", "table", "options"))).alias("s"))
+    low = _kept(low.withColumn("_bb", F.floor(F.col("_b") / block)))
     middle = low.select(KEY, "_bb", "_b", _composed(F.col("s.table")).alias("table")).groupBy(KEY, "_bb").agg(F.array_sort(F.collect_list(F.struct("_b", "table"))).alias("s"))
     top = middle.select(KEY, "_bb", _composed(F.col("s.table")).alias("table")).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("_bb", "table"))).alias("s"))
 
@@ -80,7 +90,8 @@ def followed(frames: DataFrame, choose: Callable[[Column, Column | None], Column
     low = low.join(middle, [KEY, "_b"])
     picks = low.select(KEY, F.explode(F.arrays_zip(F.col("s.frame").alias("frame"), F.col("s.options").alias("options"), F.slice(_before_each(F.col("s.table"), F.col("entry")), 2, F.size("s")).alias("at"))).alias("e"))
     picks = picks.select(KEY, "e.frame", F.get("e.options", F.col("e.at")).alias("pick"))
-    return f.select(KEY, "frame").join(picks, [KEY, "frame"], "left")
+    none = f.where("size(options) = 0").select(KEY, "frame", F.lit(None).cast(picks.schema["pick"].dataType).alias("pick"))
+    return picks.unionByName(none)
 
 
 def _options(frames: DataFrame, found: DataFrame) -> DataFrame:

@@ -306,3 +306,10 @@ def test_playback_deals_out_pairs_before_they_are_lines(spark):
     lines = plan.splitlines()
     exchanges = [i for i, line in enumerate(lines) if "Exchange" in line]
     assert len(exchanges) == 1 and exchanges[0] > max(i for i, line in enumerate(lines) if "Generate" in line)
+
+
+def test_followed_picks_work_out_tables_once(spark):
+    from motion_tables.plans.follow_queries import QUERIES
+
+    plan = QUERIES["d19_shaft_segments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "lineitem" not in plan
