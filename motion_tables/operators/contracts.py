@@ -18,11 +18,19 @@ MANIFEST = f"struct<shot_id:string,trigger_timestamp_ns:bigint,streams:array<{ST
 NOTE = "struct<code:string,message:string>"
 EVENT = "struct<name:string,timestamp_ns:bigint,confidence:double,`range`:struct<start_timestamp_ns:bigint,end_timestamp_ns:bigint>>"
 RESULT = f"struct<shot_id:string,analyzer:struct<name:string,version:string>,status:string,events:array<{EVENT}>,warnings:array<{NOTE}>,errors:array<{NOTE}>,measurements:map<string,struct<value:double,unit:string>>,artifacts:array<struct<kind:string,path:string>>>"
+#: What events_in_captures needs of both.
+CAPTURED = "struct<shot_id:string,streams:array<struct<first_timestamp_ns:bigint,last_timestamp_ns:bigint>>>"
+ANALYSED = "struct<shot_id:string,events:array<struct<name:string,timestamp_ns:bigint>>>"
 
 
-def manifests(docs: DataFrame) -> DataFrame:
-    """shot_id, trigger_timestamp_ns and streams (array) of each manifest."""
-    return docs.select(F.from_json("doc", MANIFEST).alias("m")).select("m.*")
+def _read(docs: DataFrame, schema: str) -> DataFrame:
+    """The fields of each document.  It is read in a generator, which filters and fields do not pass: as a projection it would be read, and written, again for each of them."""
+    return docs.select(F.inline(F.array(F.from_json("doc", schema))))
+
+
+def manifests(docs: DataFrame, schema: str = MANIFEST) -> DataFrame:
+    """shot_id, trigger_timestamp_ns and streams (array) of each manifest; the fields of a narrower schema alone cost less to read."""
+    return _read(docs, schema)
 
 
 def manifest_streams(read: DataFrame) -> DataFrame:
@@ -72,9 +80,9 @@ def stream_summaries(streams: DataFrame) -> DataFrame:
     return streams.select("shot_id", "stream", "camera_id", F.col("frame_count").alias("frames"), (ns / F.lit(1e6)).alias("duration_ms"), fps.alias("measured_fps"), F.col("dropped_frame_count").alias("dropped"), F.coalesce(F.size("gaps"), F.lit(0)).cast("long").alias("gaps"))
 
 
-def results(docs: DataFrame) -> DataFrame:
-    """The fields of each analysis result."""
-    return docs.select(F.from_json("doc", RESULT).alias("r")).select("r.*")
+def results(docs: DataFrame, schema: str = RESULT) -> DataFrame:
+    """The fields of each analysis result, or those of a narrower schema."""
+    return _read(docs, schema)
 
 
 def result_events(read: DataFrame) -> DataFrame:
@@ -138,6 +146,8 @@ def result_summaries(read: DataFrame) -> DataFrame:
 
 def events_in_captures(captured: DataFrame, analysed: DataFrame) -> DataFrame:
     """Events of results against the span of their shot's capture, all its streams: shot_id, event, name, inside (null if the shot was not captured)."""
-    span = manifest_streams(captured).groupBy("shot_id").agg(F.min("first_timestamp_ns").alias("first_ns"), F.max("last_timestamp_ns").alias("last_ns"))
-    e = result_events(analysed).join(span, "shot_id", "left")
-    return e.select("shot_id", "event", "name", F.col("timestamp_ns").between(F.col("first_ns"), F.col("last_ns")).alias("inside"))
+    span = captured.select("shot_id", F.array_min("streams.first_timestamp_ns").alias("first_ns"), F.array_max("streams.last_timestamp_ns").alias("last_ns"))
+    span = span.groupBy("shot_id").agg(F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"))
+    e = analysed.select("shot_id", F.arrays_zip(F.col("events.name"), F.col("events.timestamp_ns")).alias("events")).join(span, "shot_id", "left")
+    e = e.select("shot_id", "first_ns", "last_ns", F.posexplode("events").alias("event", "e"))
+    return e.select("shot_id", "event", "e.name", F.col("e.timestamp_ns").between(F.col("first_ns"), F.col("last_ns")).alias("inside"))

@@ -30,9 +30,10 @@ def _fields(of: dict[str, str]) -> list[Column]:
 
 
 def _lines(spark, d, *fields: Column) -> DataFrame:
-    """shot_id, rows: the fields of an order's lines in order."""
+    """shot_id, rows: the fields of an order's lines in order.  Lines go to their order's partition as they are; lists begun before that would be as many as the lines, and wider."""
     row = F.struct(*_ORDER, F.struct(*fields).alias("of"))
-    return D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["of"]).alias("rows"))
+    lines = D.table(spark, d, "lineitem").select("l_orderkey", *_ORDER).repartition("l_orderkey")
+    return lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(row))["of"].alias("rows"))
 
 
 def manifest_docs(spark, d) -> DataFrame:
@@ -118,5 +119,5 @@ def result_violations(spark, d):
 
 @_R.add("c13_events_in_captures", f"WITH {_ST}, {_EV}, sp AS (SELECT shot_id, min(first_timestamp_ns) AS a, max(last_timestamp_ns) AS b FROM st WHERE CAST(shot_id AS BIGINT) % 7 <> 2 GROUP BY shot_id) SELECT ev.shot_id, event, name, timestamp_ns BETWEEN a AND b AS inside FROM ev LEFT JOIN sp ON sp.shot_id = ev.shot_id")
 def events_in_captures(spark, d):
-    captured = C.manifests(manifest_docs(spark, d)).where(F.col("shot_id").cast("long") % 7 != 2)
-    return C.events_in_captures(captured, C.results(result_docs(spark, d)))
+    captured = C.manifests(manifest_docs(spark, d), C.CAPTURED).where(F.col("shot_id").cast("long") % 7 != 2)
+    return C.events_in_captures(captured, C.results(result_docs(spark, d), C.ANALYSED))

@@ -299,6 +299,29 @@ def test_results_are_read_once_for_all_rules_and_values(spark):
     assert "Join" not in values._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_events_in_captures_read_each_document_once(spark):
+    from motion_tables.operators import contracts as C
+    from motion_tables.plans.queries import QUERIES
+
+    plan = QUERIES["c13_events_in_captures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2 and plan.count("StructsToJsonEvaluator") == 2
+
+    def docs(*texts):
+        return spark.createDataFrame([(x,) for x in texts], "doc string")
+
+    captured = docs(
+        '{"shot_id":"a","streams":[{"width":"odd","first_timestamp_ns":5,"last_timestamp_ns":7},null,{"first_timestamp_ns":null,"last_timestamp_ns":9}]}', '{"shot_id":"a","streams":[{"first_timestamp_ns":3,"last_timestamp_ns":4}]}',
+        '{"shot_id":"b","streams":[]}', '{"streams":[{"first_timestamp_ns":0,"last_timestamp_ns":99}]}', "no json", None,
+    )
+    analysed = docs(
+        '{"shot_id":"a","events":[{"name":"P1","timestamp_ns":3},null,{"name":"P2","timestamp_ns":9,"confidence":"odd"},{"name":"P3","timestamp_ns":10},{"name":"P4","timestamp_ns":null}],"warnings":"odd"}', '{"shot_id":"a","events":[{"name":"P5","timestamp_ns":2}]}',
+        '{"shot_id":"b","events":[{"name":"P1","timestamp_ns":1}]}', '{"shot_id":"c","events":[{"name":"P1","timestamp_ns":1}]}', '{"events":[{"name":"P1","timestamp_ns":1}]}', '{"shot_id":"d","events":[]}', '{"shot_id":"d"}', "no json", None,
+    )
+    want = [("a", 0, "P1", True), ("a", 1, None, None), ("a", 2, "P2", True), ("a", 3, "P3", False), ("a", 4, "P4", None), ("a", 0, "P5", False), ("b", 0, "P1", None), ("c", 0, "P1", None), (None, 0, "P1", None)]
+    for m, r in ((C.manifests(captured), C.results(analysed)), (C.manifests(captured, C.CAPTURED), C.results(analysed, C.ANALYSED))):
+        assert sorted(map(str, C.events_in_captures(m, r).collect())) == sorted(f"Row(shot_id={a!r}, event={b}, name={c!r}, inside={d})" for a, b, c, d in want)
+
+
 def test_playback_deals_out_pairs_before_they_are_lines(spark):
     from motion_tables.plans import space_queries as Q
 
